@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from convolens.llm import runs
+from convolens.llm import langid, runs, transcripts
 
 QUERIES, ORACLE = {}, {}
 
+QUERIES["p1_found"] = transcripts.p1_found
+QUERIES["p1_turns"] = transcripts.p1_turns
+QUERIES["p4_found"] = langid.p4_found
+QUERIES["p4_documents"] = langid.p4_documents
+QUERIES["p4_segments"] = langid.p4_segments
 QUERIES["p3_found"] = runs.p3_found
 ORACLE["p3_found"] = """
 WITH d AS (
