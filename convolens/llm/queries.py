@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from convolens.llm import langid, runs, transcripts
+from convolens.llm import langid, packing, runs, tokenizer, transcripts
 
 QUERIES, ORACLE = {}, {}
 
@@ -11,6 +11,9 @@ QUERIES["p1_turns"] = transcripts.p1_turns
 QUERIES["p4_found"] = langid.p4_found
 QUERIES["p4_documents"] = langid.p4_documents
 QUERIES["p4_segments"] = langid.p4_segments
+QUERIES["p7_ids"] = tokenizer.p7_ids
+QUERIES["p8_pack"] = packing.p8_pack
+QUERIES["p8_fill"] = packing.p8_fill
 QUERIES["p3_found"] = runs.p3_found
 ORACLE["p3_found"] = """
 WITH d AS (
