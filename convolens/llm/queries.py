@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from convolens.llm import langid, packing, runs, tokenizer, transcripts
+from convolens.llm import langid, packing, runs, sentences, tokenizer, transcripts
 
 QUERIES, ORACLE = {}, {}
 
@@ -14,6 +14,8 @@ QUERIES["p4_segments"] = langid.p4_segments
 QUERIES["p7_ids"] = tokenizer.p7_ids
 QUERIES["p8_pack"] = packing.p8_pack
 QUERIES["p8_fill"] = packing.p8_fill
+QUERIES["p9_found"] = sentences.p9_found
+QUERIES["p9_sentences"] = sentences.p9_sentences
 QUERIES["p3_found"] = runs.p3_found
 ORACLE["p3_found"] = """
 WITH d AS (
