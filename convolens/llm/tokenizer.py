@@ -19,7 +19,7 @@ import os
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from convolens.session import table
 
@@ -211,7 +211,7 @@ def encode(docs: DataFrame, name: str = "byte_bpe_50k", folder: str = FOLDER) ->
 def count_tokens(text: Column, name: str = "byte_bpe_50k", folder: str = FOLDER) -> Column:
     """The number of tokens of a text by a rank file of the same vocabulary (a compiled library; sizes only)."""
 
-    @F.pandas_udf("int")
+    @F.pandas_udf(T.IntegerType())
     def count(texts):
         enc = _tiktoken(folder, name)
         return texts.map(lambda t: len(enc.encode_ordinary(t)) if t else 0).astype("int32")
