@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from convolens.llm import langid, packing, runs, sentences, spans, tokenizer, transcripts
+from convolens.llm import langid, packing, runs, sentences, spans, tokenizer, toxicity, transcripts
 
 QUERIES, ORACLE = {}, {}
 
@@ -11,6 +11,9 @@ QUERIES["p1_turns"] = transcripts.p1_turns
 QUERIES["p4_found"] = langid.p4_found
 QUERIES["p4_documents"] = langid.p4_documents
 QUERIES["p4_segments"] = langid.p4_segments
+QUERIES["p5_found"] = toxicity.p5_found
+QUERIES["p5_scores"] = toxicity.p5_scores
+QUERIES["p5_sources"] = toxicity.p5_sources
 QUERIES["p6_found"] = spans.p6_found
 QUERIES["p6_shares"] = spans.p6_shares
 QUERIES["p6_members"] = spans.p6_members
