@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from convolens.plans import intervals
+from convolens.plans import features, intervals, keywords, labels, segments, speakers
 
 QUERIES, ORACLE = {}, {}
-for _module in (intervals,):
+for _module in (intervals, speakers, segments, features, keywords, labels):
     QUERIES |= _module.QUERIES
     ORACLE |= _module.ORACLE
 
-FLAGSHIP = "p2_found"
+FLAGSHIP = "episode_features"
