@@ -21,19 +21,19 @@ def human_size(size: Column) -> Column:
     out = F.format_string("%.1f PB", size / float(1 << 50))
     for unit, power in (("TB", 40), ("GB", 30), ("MB", 20), ("KB", 10), ("B", 0)):
         out = F.when(size < float(1 << (power + 10)), F.format_string(f"%.1f {unit}", size / float(1 << power))).otherwise(out)
-    return out
+    return F.when(size.isNotNull(), out)
 
 
 def clock(seconds: Column) -> Column:
     """MM:SS."""
     s = F.floor(seconds)
-    return F.format_string("%02d:%02d", F.floor(s / 60), s % 60)
+    return F.when(seconds.isNotNull(), F.format_string("%02d:%02d", F.floor(s / 60), s % 60))
 
 
 def hms(seconds: Column) -> Column:
     """'Hh Mm Ss'."""
     s = F.floor(seconds)
-    return F.format_string("%dh %dm %ds", F.floor(s / 3600), F.floor(s % 3600 / 60), s % 60)
+    return F.when(seconds.isNotNull(), F.format_string("%dh %dm %ds", F.floor(s / 3600), F.floor(s % 3600 / 60), s % 60))
 
 
 def parse_duration(text: Column) -> Column:
