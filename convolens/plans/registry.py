@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from convolens.plans import episodes, explore, features, intervals, keywords, labels, matching, search, segments, speakers
+from convolens.plans import episodes, explore, features, intervals, io, keywords, labels, matching, search, segments, speakers
 
 QUERIES, ORACLE = {}, {}
-for _module in (intervals, speakers, segments, features, keywords, labels, search, explore, episodes, matching):
+for _module in (intervals, speakers, segments, features, keywords, labels, search, explore, episodes, matching, io):
     QUERIES |= _module.QUERIES
     ORACLE |= _module.ORACLE
 

@@ -25,7 +25,7 @@ def write_rttm(turns: DataFrame, root: str) -> None:
 
 def wide_features(features: DataFrame, long: DataFrame, speakers: list[str]) -> DataFrame:
     """Episode features with <metric>_<speaker> columns for the named speakers (a bounded list: columns can't grow with the data)."""
-    w = long.where(F.col("speaker").isin(*speakers)).groupBy(*E).pivot("_name" if "_name" in long.columns else "speaker", speakers).agg(F.map_from_entries(F.collect_list(F.struct("metric", "value"))).alias("m"))
+    w = long.where(F.col("speaker").isin(*speakers)).groupBy(*E).pivot("speaker", speakers).agg(F.map_from_entries(F.collect_list(F.struct("metric", "value"))).alias("m"))
     metrics = ["turns", "speaking_time", "avg_turn_time", "words", "unique_words", "ttr", "politeness", "questions"]
     return features.join(w.select(*E, *(F.try_element_at(F.col(f"`{s}`"), F.lit(m)).alias(f"{m}_{s}") for s in speakers for m in metrics)), E, "left")
 
