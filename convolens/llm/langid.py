@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from convolens.llm.batches import slices
 from convolens.session import table
 
 #: Letters of a stretch, the unit that gets one language.
@@ -35,8 +36,8 @@ ALPHA = 0.02
 TRAIN_ROWS, TRAIN_DOCUMENTS, TRAIN_CHARS = 20_000, 3_000, 2_000
 #: A language belongs to a text from this share of its letters on.
 LEAST_SHARE = 0.1
-#: Characters scored at a time.
-BLOCK = 1 << 19
+#: Characters scored at a time; bytes of text labelled at a time.
+BLOCK, SLICE = 1 << 19, 12 << 20
 
 #: How the languages of the data are named (ISO 639-1: 639-2 and 639-3 codes, English and own names).
 NAMES = {
@@ -274,9 +275,9 @@ def shares(texts: list[str], matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def _documents(broadcast):
     def run(batches):
         matrix, langs = broadcast.value
-        for batch in batches:
+        for batch in slices(batches, most=SLICE):
             texts = batches_of(batch["text"])
-            letters, mass, *_ = shares(texts, matrix) if texts else (np.zeros((0, len(langs))),) * 2
+            letters, mass, *_ = shares(texts, matrix)
             total = letters.sum(1)
             rows = []
             for i, (doc, lab) in enumerate(zip(batch["doc_id"].to_pylist(), batch["lang"].to_pylist())):
@@ -300,10 +301,8 @@ def document_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def _segments(broadcast):
     def run(batches):
         matrix, langs = broadcast.value
-        for batch in batches:
+        for batch in slices(batches, most=SLICE):
             texts = batches_of(batch["text"])
-            if not texts:
-                continue
             _, _, s, lang, conf = shares(texts, matrix)
             if not len(lang):
                 continue

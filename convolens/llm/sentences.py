@@ -19,6 +19,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from convolens.llm import langid
+from convolens.llm.batches import slices
 from convolens.session import table
 
 # Abbreviations by language. HOLD: never the end of a sentence; NUMBER: not before a number; the others
@@ -247,7 +248,7 @@ def split(text: str, langs: tuple[str, ...]) -> list[tuple[int, int]]:
 def _run(broadcast, with_text: bool):
     def run(batches):
         matrix, langs = broadcast.value
-        for batch in batches:
+        for batch in slices(batches):
             texts = langid.batches_of(batch["text"])
             ids = batch["doc_id"].to_pylist()
             for a in range(0, len(texts), 512):

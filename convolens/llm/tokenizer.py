@@ -21,6 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from convolens.llm.batches import slices
 from convolens.session import table
 
 #: Where the public tokenizers' files are; the same on all machines.
@@ -194,7 +195,7 @@ def blocks(texts: list[str], most: int = BLOCK):
 def _ids(folder: str, name: str):
     def run(batches):
         enc = encoder(folder, name)
-        for batch in batches:
+        for batch in slices(batches):
             texts = ["" if t is None else t for t in batch["text"].to_pylist()]
             for a, b in blocks(texts):
                 ids, offsets = enc.encode(texts[a:b])

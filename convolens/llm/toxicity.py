@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from convolens.llm import transcripts
+from convolens.llm.batches import slices
 from convolens.llm.langid import batches_of, code_points
 from convolens.session import table
 
@@ -258,7 +259,7 @@ def _run(words: list[tuple[str, str, str]]):
         if not made:
             made.append(Lexicon(words))
         lex = made[0]
-        for batch in batches:
+        for batch in slices(batches):
             ids, kinds = batch["doc_id"].to_pylist(), batch["kind"].to_pylist()
             texts = batches_of(batch["text"])
             for a in range(0, len(texts), 256):
