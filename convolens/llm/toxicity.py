@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from convolens.llm import transcripts
 from convolens.llm.batches import slices
 from convolens.llm.langid import batches_of, code_points
+from convolens.operators.labels import vote as label_vote
+from convolens.operators.segments import current_classifications
 from convolens.session import table
 
 CATEGORIES = ("abusive", "hateful", "sexual")
@@ -300,8 +302,29 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "lexicon")).where("places > 0").select("doc_id", "category")
 
 
+#: Models whose labels hint at a category.
+HINTS = {"abusive": ["hostile_content"], "hateful": ["hate_speech_detection", "hate_against_minorities", "fine_grained_hate_speech_detection"], "sexual": ["explicit_content"]}
+
+
+def hints(classifications: DataFrame) -> DataFrame:
+    """(doc_id, category, hint): mean confidence, over the category's models, that the document has such content.
+
+    A label that speaks against it counts with 1 less its confidence; models err, so this is shown beside the score and
+    never decides. Repeated runs, percentages and spellings are settled as for all classifications.
+    """
+    c = current_classifications(classifications).where("label is not null and confidence is not null")
+    category = F.lit(None).cast("string")
+    for cat, models in HINTS.items():
+        category = F.when(F.col("model_name").isin(*models), F.lit(cat)).otherwise(category)
+    vote = label_vote(F.col("model_name"), F.col("label"), F.lit(1.0))
+    against = (vote > 0) | F.upper("label").startswith("NOT") | F.upper("label").isin("CLEAN", "SAFE")
+    p = F.when(against, 1 - F.col("confidence")).otherwise(F.col("confidence"))
+    return c.withColumn("category", category).where("category is not null").groupBy("doc_id", "category").agg(F.round(F.avg(p), 4).alias("hint"))
+
+
 def p5_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "lexicon"))
+    s = scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "lexicon"))
+    return s.join(hints(table(spark, sf_dir, "classifications")), ["doc_id", "category"], "left")
 
 
 def p5_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
