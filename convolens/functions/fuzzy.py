@@ -53,10 +53,6 @@ def word_match(query: Column, target: Column) -> Column:
     return ratio(F.size(F.filter(query, lambda w: F.array_contains(target, w))), F.size(query))
 
 
-def phonetic_match(query: Column, target: Column) -> Column:
-    return word_match(F.transform(query, soundex), F.transform(target, soundex))
-
-
 def position_match(query: Column, target: Column) -> Column:
     weights = F.transform(query, lambda w, i: F.lit(1.0) / (i + 1))
     gained = F.transform(query, lambda w, i: F.when(F.array_contains(target, w), F.lit(1.0) / (i + 1) / (F.abs(i + 1 - F.array_position(target, w)) + 1)).otherwise(F.lit(0.0)))
@@ -64,27 +60,41 @@ def position_match(query: Column, target: Column) -> Column:
     return ratio(F.aggregate(gained, F.lit(0.0), add), F.aggregate(weights, F.lit(0.0), add))
 
 
-def fuzzy_parts(query: Column, target: Column) -> dict[str, Column]:
-    q, t = title_words(query), title_words(target)
-    return {"word": word_match(q, t), "char": levenshtein_ratio(normalize_title(query), normalize_title(target)), "phonetic": phonetic_match(q, t), "position": position_match(q, t)}
+def prepared(text: Column) -> Column:
+    """What scoring needs of one side, to be computed once per row before any join: words, their codes, plain text."""
+    words = title_words(text)
+    return F.struct(words.alias("words"), F.transform(words, soundex).alias("codes"), normalize_title(text).alias("plain"))
 
 
-def fuzzy_score(query: Column, target: Column) -> Column:
-    """Weighted sum of word, character, phonetic and position match; 0 if either side has no significant word."""
-    parts = fuzzy_parts(query, target)
+def parts_of(q: Column, t: Column) -> dict[str, Column]:
+    """The four partial scores of two prepared sides."""
+    return {"word": word_match(q["words"], t["words"]), "char": levenshtein_ratio(q["plain"], t["plain"]), "phonetic": word_match(q["codes"], t["codes"]), "position": position_match(q["words"], t["words"])}
+
+
+def score_of(q: Column, t: Column) -> Column:
+    """Weighted sum of the partial scores of two prepared sides; 0 if either has no significant word."""
+    parts = parts_of(q, t)
     total = sum((parts[k] * w for k, w in WEIGHTS.items()), F.lit(0.0))
-    some = (F.size(title_words(query)) > 0) & (F.size(title_words(target)) > 0)
+    some = (F.size(q["words"]) > 0) & (F.size(t["words"]) > 0)
     return F.when(some, F.least(total, F.lit(1.0))).otherwise(F.lit(0.0))
 
 
-def explanation(query: Column, target: Column) -> Column:
-    q, t = title_words(query), title_words(target)
-    parts = fuzzy_parts(query, target)
-    words = F.when(parts["word"] > 0.3, F.concat(F.lit("matched words: "), F.array_join(F.filter(q, lambda w: F.array_contains(t, w)), ", ")))
+def explanation_of(q: Column, t: Column) -> Column:
+    """Why two prepared sides match."""
+    parts = parts_of(q, t)
+    words = F.when(parts["word"] > 0.3, F.concat(F.lit("matched words: "), F.array_join(F.filter(q["words"], lambda w: F.array_contains(t["words"], w)), ", ")))
     sound = F.when(parts["phonetic"] > parts["word"], F.lit("phonetic similarity detected"))
     order = F.when(parts["position"] > 0.5, F.lit("good word ordering"))
     said = F.concat_ws("; ", words, sound, order)
-    return F.when(F.size(q) == 0, F.lit("no significant words in query")).when(F.size(t) == 0, F.lit("no significant words in target")).when(said == "", F.lit("low match confidence")).otherwise(said)
+    return F.when(F.size(q["words"]) == 0, F.lit("no significant words in query")).when(F.size(t["words"]) == 0, F.lit("no significant words in target")).when(said == "", F.lit("low match confidence")).otherwise(said)
+
+
+def fuzzy_score(query: Column, target: Column) -> Column:
+    return score_of(prepared(query), prepared(target))
+
+
+def explanation(query: Column, target: Column) -> Column:
+    return explanation_of(prepared(query), prepared(target))
 
 
 def query_variations(query: Column) -> Column:

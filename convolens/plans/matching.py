@@ -41,7 +41,7 @@ def _pairs(spark, d):
     return s.join(_ep(spark, d).select("show", "episode_id", F.col("title").alias("episode_title")), "show")
 
 
-QUERIES["fuzzy_scores"] = lambda spark, d: _pairs(spark, d).select("episode_id", F.round(Z.fuzzy_score(F.col("title"), F.col("episode_title")), 6).alias("score"), Z.explanation(F.col("title"), F.col("episode_title")).alias("explanation"))
+QUERIES["fuzzy_scores"] = lambda spark, d: _pairs(spark, d).select("episode_id", Z.prepared(F.col("title")).alias("q"), Z.prepared(F.col("episode_title")).alias("t")).select("episode_id", F.round(Z.score_of(F.col("q"), F.col("t")), 6).alias("score"), Z.explanation_of(F.col("q"), F.col("t")).alias("explanation"))
 QUERIES["query_variations"] = lambda spark, d: table(spark, d, "shows").select("show", F.array_join(Z.query_variations(F.col("title")), "|").alias("variations"))
 QUERIES["video_confidence"] = lambda spark, d: _pairs(spark, d).select("episode_id", F.round(Z.video_confidence(F.col("episode_title"), F.lit(1000), F.col("title"), F.concat(F.col("title"), F.lit(" "), F.col("episode_title")), F.lit("x"), F.length("episode_title") * 50), 6).alias("score"))
 _ERR = "CASE " + " ".join(f"WHEN regexp_matches(lower(x), '{'|'.join(words)}') THEN '{name}'" for name, words in Z.ERRORS) + " ELSE 'unknown' END"

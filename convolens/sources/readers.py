@@ -35,7 +35,7 @@ def read_transcripts(spark: SparkSession, root: str, recursive: bool = True) ->
 
 def corrupt_files(transcripts: DataFrame) -> DataFrame:
     """Files that are no JSON, for a quarantine table."""
-    return transcripts.where("_corrupt is not null").select("show", "episode_id", "_corrupt")
+    return transcripts.where("_corrupt is not null and segments is null").select("show", "episode_id", "_corrupt")
 
 
 def explode_segments(transcripts: DataFrame, strict: bool = False) -> DataFrame:
