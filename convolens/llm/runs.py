@@ -14,10 +14,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from convolens.operators.intervals import to_ms
-from convolens.session import Stage, table
+from convolens.session import Stage, is_empty, table
 
 #: Events are ordered inside blocks of this many ms of an episode; only block summaries are ordered over an episode.
 BLOCK_MS = 600_000
+#: Groups of episodes whose events are numbered one after another.
+BUCKETS = 1024
 #: Words that say a speaker isn't known.
 UNKNOWN = ("", "unknown", "unk", "none", "null", "nan", "n a", "na", "unidentified", "unknown speaker", "speaker unknown", "speaker", "inconnu", "unbekannt", "desconocido", "desconhecido", "sconosciuto", "неизвестно")
 _PLAIN = ("áàâäãåāăéèêëēíìîïīóòôöõøōúùûüūýÿñçšžćčńłőű", "aaaaaaaaeeeeeiiiiiooooooouuuuuyyncszccnlou")
@@ -43,19 +45,28 @@ def alike(a: Column, b: Column) -> Column:
 
 
 def ordered_events(segments: DataFrame) -> DataFrame:
-    """(episode_id, pos, segment_id, s_ms, e_ms, label, before): valid events in order; before is the previous label."""
+    """(episode_id, pos, segment_id, s_ms, e_ms, label, before): valid events; before is the previous label of the episode.
+
+    pos numbers all events so that those of an episode follow each other in order; it is one number, so that joins on it
+    compare and sort plain integers. Only summaries of one row a block are ordered across blocks.
+    """
     latest = segments.groupBy("episode_id", "segment_id").agg(F.max(F.struct("ingested_at", "start", "end", "speaker")).alias("r"))
-    ev = latest.select("episode_id", "segment_id", to_ms(F.col("r.start")).alias("s_ms"), to_ms(F.col("r.end")).alias("e_ms"), label_key(F.col("r.speaker")).alias("label"))
-    ev = ev.where("e_ms >= s_ms").withColumn("block", F.floor(F.col("s_ms") / BLOCK_MS))
+    ev = latest.select("episode_id", "segment_id", to_ms(F.col("r.start")).alias("s_ms"), to_ms(F.col("r.end")).alias("e_ms"), F.col("r.speaker").alias("speaker"))
+    ev = ev.where("e_ms >= s_ms").select("*", label_key(F.col("speaker")).alias("label"), F.floor(F.col("s_ms") / BLOCK_MS).alias("block")).drop("speaker")
     w = W.partitionBy("episode_id", "block").orderBy("s_ms", "e_ms", "segment_id")
     ev = ev.withColumns({"rn": F.row_number().over(w), "before": F.lag("label").over(w), "_last": F.lead(F.lit(1)).over(w).isNull()})
     # one row a block: how many events, and the last one's label
-    w2 = W.partitionBy("episode_id").orderBy("block")
-    blocks = ev.where("_last").select("episode_id", "block", "rn", "label")
-    blocks = blocks.select("episode_id", "block", F.coalesce(F.sum("rn").over(w2.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("skip"), F.lag("label").over(w2).alias("carried"))
+    blocks = ev.where("_last").select("episode_id", "block", "rn", "label", F.pmod(F.xxhash64("episode_id"), F.lit(BUCKETS)).alias("bucket"))
+    w2 = W.partitionBy("bucket").orderBy("episode_id", "block")
+    own = F.lag("episode_id").over(w2).eqNullSafe(F.col("episode_id")) & (F.row_number().over(w2) > 1)
+    blocks = blocks.select("episode_id", "block", "bucket", "rn", F.coalesce(F.sum("rn").over(w2.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("skip"), F.when(own, F.lag("label").over(w2)).alias("carried"))
+    # at most BUCKETS rows, so their running sum is one small task and the result can be sent to all
+    totals = blocks.groupBy("bucket").agg(F.sum("rn").alias("k"))
+    starts = totals.select("bucket", F.coalesce(F.sum("k").over(W.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    blocks = blocks.join(F.broadcast(starts), "bucket").select("episode_id", "block", (F.col("base") + F.col("skip")).alias("skip"), "carried")
     same = (F.col("e.episode_id").eqNullSafe(F.col("b.episode_id"))) & (F.col("e.block") == F.col("b.block"))
     j = ev.alias("e").join(blocks.alias("b"), same)
-    return j.select("e.episode_id", (F.col("b.skip") + F.col("e.rn")).cast("int").alias("pos"), "e.segment_id", "e.s_ms", "e.e_ms", "e.label", F.coalesce("e.before", F.when(F.col("e.rn") == 1, F.col("b.carried"))).alias("before"))
+    return j.select("e.episode_id", (F.col("b.skip") + F.col("e.rn")).alias("pos"), "e.segment_id", "e.s_ms", "e.e_ms", "e.label", F.coalesce("e.before", F.when(F.col("e.rn") == 1, F.col("b.carried"))).alias("before"))
 
 
 def _two_typos(events: DataFrame) -> DataFrame:
@@ -67,51 +78,44 @@ def _two_typos(events: DataFrame) -> DataFrame:
     return j.where(alike(F.col("label"), F.col("third")) & alike(F.col("before"), F.col("third"))).select("episode_id", "label", "before").distinct()
 
 
-def pointer_doubling(spark: SparkSession, stage: Stage, nodes: DataFrame) -> DataFrame:
-    """nodes (episode_id, pos, ptr, payload...) with ptr = pos at run starts and pos - 1 elsewhere; ptr becomes the start's pos."""
-    keys = ["episode_id", "pos"]
-    resolved: list[DataFrame] = []
-    cur = nodes
-    payload = [c for c in nodes.columns if c not in (*keys, "ptr", "done")]
-    active = stage.keep(nodes.where("ptr < pos"))
-    look = nodes.select(F.col("episode_id"), F.col("pos").alias("at"), F.col("ptr").alias("to"))
-    spare: DataFrame | None = None
+def pointer_doubling(stage: Stage, nodes: DataFrame) -> DataFrame:
+    """nodes (pos, ptr, e_ms) are the events that continue a run, ptr being their predecessor; ptr becomes the run's first event.
+
+    A round joins the unfinished nodes with all nodes on ptr = pos: a pointer to no node has reached a first event,
+    else it becomes the pointer of the node it points to. Finished nodes are not joined again.
+    """
+    active = nodes.withColumn("fin", F.lit(False))
+    finished: list[DataFrame] = []
     while True:
-        j = active.join(look.alias("l"), active["episode_id"].eqNullSafe(F.col("l.episode_id")) & (active["ptr"] == F.col("l.at")))
-        step = stage.keep(j.select(active["episode_id"], "pos", F.col("l.to").alias("ptr"), (F.col("l.to") == F.col("ptr")).alias("done"), *payload))
-        resolved.append(step.where("done"))
-        rest = step.where("not done")
-        if is_done(rest):
+        look = active.select(F.col("pos").alias("at"), F.col("ptr").alias("to"), "fin")
+        for f in finished:
+            look = look.unionByName(f.select(F.col("pos").alias("at"), F.col("ptr").alias("to"), "fin"))
+        j = active.drop("fin").join(look, F.col("ptr") == F.col("at"), "left")
+        step = stage.keep(j.select("pos", F.coalesce("to", "ptr").alias("ptr"), "e_ms", F.coalesce("fin", F.lit(True)).alias("fin")))
+        finished.append(step.where("fin"))
+        active = step.where("not fin")
+        if is_empty(active):
             break
-        # pointers of this round: those just made, and those that had ended before (they stay)
-        ended = [r.select("episode_id", F.col("pos").alias("at"), F.col("ptr").alias("to")) for r in resolved]
-        look = nodes.where("ptr = pos").select("episode_id", F.col("pos").alias("at"), F.col("ptr").alias("to"))
-        for e in [*ended, rest.select("episode_id", F.col("pos").alias("at"), F.col("ptr").alias("to"))]:
-            look = look.unionByName(e)
-        active = rest.drop("done")
-    out = cur.where("ptr = pos")
-    for r in resolved:
-        out = out.unionByName(r.drop("done"))
-    return out
-
-
-def is_done(df: DataFrame) -> bool:
-    return not df.take(1)
+    out = finished[0]
+    for f in finished[1:]:
+        out = out.unionByName(f)
+    return out.drop("fin")
 
 
 def speaker_runs(spark: SparkSession, segments: DataFrame, least: int = 2) -> DataFrame:
-    """(episode_id, first_segment_id, n_segments, duration_ms) of each run of at least ``least`` segments."""
+    """(episode_id, first_segment_id, n_segments, duration_ms) of each run of at least ``least`` (2 or more) segments."""
     stage = Stage(spark, "runs")
     events = stage.keep(ordered_events(segments))
-    far = _two_typos(events).withColumn("_far", F.lit(True))
-    near = events.where(F.col("before").isNotNull() & alike(F.col("label"), F.col("before"))).withColumn("_far", F.lit(True))
-    odd = events.where(F.col("before").isNull() | ~alike(F.col("label"), F.col("before"))).join(far, ["episode_id", "label", "before"], "left")
-    cols = ["episode_id", "pos", "segment_id", "s_ms", "e_ms"]
-    linked = near.select(*cols, "_far").unionByName(odd.select(*cols, "_far"))
-    nodes = stage.keep(linked.select("episode_id", "pos", F.when(F.col("_far"), F.col("pos") - 1).otherwise(F.col("pos")).alias("ptr"), "segment_id", "s_ms", "e_ms"))
-    ends = pointer_doubling(spark, stage, nodes)
-    runs = ends.groupBy("episode_id", "ptr").agg(F.max(F.when(F.col("pos") == F.col("ptr"), F.struct("segment_id"))).alias("f"), F.count("*").alias("n_segments"), (F.max("e_ms") - F.min("s_ms")).alias("duration_ms"))
-    return runs.where(F.col("n_segments") >= least).select("episode_id", F.col("f.segment_id").alias("first_segment_id"), "n_segments", "duration_ms")
+    near = F.col("before").isNotNull() & alike(F.col("label"), F.col("before"))
+    linked = events.where(near).select("pos", "e_ms")
+    far = events.where(F.col("before").isNotNull() & ~alike(F.col("label"), F.col("before"))).join(_two_typos(events), ["episode_id", "label", "before"], "left_semi")
+    nodes = stage.keep(linked.unionByName(far.select("pos", "e_ms")).select("pos", (F.col("pos") - 1).alias("ptr"), "e_ms"))
+    ends = pointer_doubling(stage, nodes)
+    runs = ends.groupBy("ptr").agg((F.count("*") + 1).alias("n_segments"), F.max("e_ms").alias("last_ms")).where(F.col("n_segments") >= least)
+    # the first event gives the names and, being ordered by start, the beginning
+    first = events.select("episode_id", "pos", "segment_id", "s_ms", "e_ms")
+    r = first.join(runs, F.col("pos") == F.col("ptr"))
+    return r.select("episode_id", F.col("segment_id").alias("first_segment_id"), "n_segments", (F.greatest("last_ms", "e_ms") - F.col("s_ms")).alias("duration_ms"))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
