@@ -44,7 +44,7 @@ def alike(a: Column, b: Column) -> Column:
     return (a == b) | (names & (F.abs(F.length(a) - F.length(b)) <= 1) & ((F.levenshtein(a, b, 1) >= 0) | _swapped(a, b)))
 
 
-def ordered_events(segments: DataFrame) -> DataFrame:
+def ordered_events(stage: Stage, segments: DataFrame) -> DataFrame:
     """(episode_id, pos, segment_id, s_ms, e_ms, label, before): valid events; before is the previous label of the episode.
 
     pos numbers all events so that those of an episode follow each other in order; it is one number, so that joins on it
@@ -55,6 +55,7 @@ def ordered_events(segments: DataFrame) -> DataFrame:
     ev = ev.where("e_ms >= s_ms").select("*", label_key(F.col("speaker")).alias("label"), F.floor(F.col("s_ms") / BLOCK_MS).alias("block")).drop("speaker")
     w = W.partitionBy("episode_id", "block").orderBy("s_ms", "e_ms", "segment_id")
     ev = ev.withColumns({"rn": F.row_number().over(w), "before": F.lag("label").over(w), "_last": F.lead(F.lit(1)).over(w).isNull()})
+    ev = stage.keep(ev)  # it is read twice: for the summaries, and to be joined with them
     # one row a block: how many events, and the last one's label
     blocks = ev.where("_last").select("episode_id", "block", "rn", "label", F.pmod(F.xxhash64("episode_id"), F.lit(BUCKETS)).alias("bucket"))
     w2 = W.partitionBy("bucket").orderBy("episode_id", "block")
@@ -69,10 +70,15 @@ def ordered_events(segments: DataFrame) -> DataFrame:
     return j.select("e.episode_id", (F.col("b.skip") + F.col("e.rn")).alias("pos"), "e.segment_id", "e.s_ms", "e.e_ms", "e.label", F.coalesce("e.before", F.when(F.col("e.rn") == 1, F.col("b.carried"))).alias("before"))
 
 
+def two_letters_apart() -> Column:
+    """Whether an event's label and the one before are names that differ by two letters; few events are like that."""
+    a, b = F.col("label"), F.col("before")
+    return (F.length(b) >= 4) & (F.length(a) >= 4) & ~a.rlike(r"^[#?]") & ~b.rlike(r"^[#?]") & (F.abs(F.length(a) - F.length(b)) <= 2) & (F.levenshtein(a, b, 2) == 2) & ~alike(a, b)
+
+
 def _two_typos(events: DataFrame) -> DataFrame:
     """Neighbours that are two letters apart but each one letter from a third label of their episode."""
-    cand = events.where((F.length("before") >= 4) & (F.length("label") >= 4) & ~F.col("label").rlike(r"^[#?]") & (F.levenshtein("label", "before", 2) == 2) & ~alike(F.col("label"), F.col("before")))
-    cand = cand.select("episode_id", "label", "before").distinct()
+    cand = events.where(two_letters_apart()).select("episode_id", "label", "before").distinct()
     third = events.where(~F.col("label").rlike(r"^[#?]")).select("episode_id", F.col("label").alias("third")).distinct()
     j = cand.join(third, "episode_id")
     return j.where(alike(F.col("label"), F.col("third")) & alike(F.col("before"), F.col("third"))).select("episode_id", "label", "before").distinct()
@@ -105,15 +111,15 @@ def pointer_doubling(stage: Stage, nodes: DataFrame) -> DataFrame:
 def speaker_runs(spark: SparkSession, segments: DataFrame, least: int = 2) -> DataFrame:
     """(episode_id, first_segment_id, n_segments, duration_ms) of each run of at least ``least`` (2 or more) segments."""
     stage = Stage(spark, "runs")
-    events = stage.keep(ordered_events(segments))
+    events = stage.keep(ordered_events(stage, segments))
     near = F.col("before").isNotNull() & alike(F.col("label"), F.col("before"))
     linked = events.where(near).select("pos", "e_ms")
-    far = events.where(F.col("before").isNotNull() & ~alike(F.col("label"), F.col("before"))).join(_two_typos(events), ["episode_id", "label", "before"], "left_semi")
+    far = events.where(two_letters_apart()).join(_two_typos(events), ["episode_id", "label", "before"], "left_semi")
     nodes = stage.keep(linked.unionByName(far.select("pos", "e_ms")).select("pos", (F.col("pos") - 1).alias("ptr"), "e_ms"))
     ends = pointer_doubling(stage, nodes)
     runs = ends.groupBy("ptr").agg((F.count("*") + 1).alias("n_segments"), F.max("e_ms").alias("last_ms")).where(F.col("n_segments") >= least)
     # the first event gives the names and, being ordered by start, the beginning
-    first = events.select("episode_id", "pos", "segment_id", "s_ms", "e_ms")
+    first = events.where(~F.coalesce(near, F.lit(False))).select("episode_id", "pos", "segment_id", "s_ms", "e_ms")
     r = first.join(runs, F.col("pos") == F.col("ptr"))
     return r.select("episode_id", F.col("segment_id").alias("first_segment_id"), "n_segments", (F.greatest("last_ms", "e_ms") - F.col("s_ms")).alias("duration_ms"))
 
