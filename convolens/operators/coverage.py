@@ -29,7 +29,7 @@ def coverage(outputs: DataFrame) -> DataFrame:
 
 def health(cover: DataFrame) -> DataFrame:
     """(show, health): the mean of the stages' percentages."""
-    return cover.groupBy("show").agg(F.round(F.avg("pct"), 2).alias("health"))
+    return cover.groupBy("show").agg((F.round(F.avg(F.round(F.col("pct") * 100)), 0) / 100).alias("health"))
 
 
 def missing_outputs(cover: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ def turn_taking(segments: DataFrame) -> DataFrame:
     last = segments.groupBy(*E).agg(F.max_by("end_ms", "segment_id").alias("duration_ms"))
     j = top.join(last, E)
     lead = F.when(F.col("n_speakers") == 1, F.lit(1.0)).otherwise(ratio(F.col("t")[0] - F.try_element_at("t", F.lit(2)), F.col("duration_ms")))
-    return j.select(*E, "total_turns", "n_speakers", F.round(F.col("duration_ms") / 60000, 2).alias("duration_minutes"), F.round(ratio(F.col("duration_ms") / 60000, F.col("total_turns")), 4).alias("avg_switch_minutes"), F.round(lead, 4).alias("dominance_index"))
+    return j.select(*E, "total_turns", "n_speakers", (F.round(F.col("duration_ms") / 600, 0) / 100).alias("duration_minutes"), (F.round(ratio(F.col("duration_ms"), F.col("total_turns") * 6), 0) / 10000).alias("avg_switch_minutes"), F.round(lead, 4).alias("dominance_index"))
 
 
 def _words(segments: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ ORACLE["episode_outputs"] = f"WITH {_OUT} SELECT * FROM out"
 QUERIES["coverage_dashboard"] = lambda spark, d: C.coverage(_out(spark, d))
 ORACLE["coverage_dashboard"] = f"WITH {_OUT} SELECT * FROM cover"
 QUERIES["show_health"] = lambda spark, d: C.health(C.coverage(_out(spark, d)))
-ORACLE["show_health"] = f"""WITH {_OUT} SELECT "show", round(avg(pct), 2) AS health FROM cover GROUP BY 1"""
+ORACLE["show_health"] = f"""WITH {_OUT} SELECT "show", round(avg(round(pct * 100)), 0) / 100 AS health FROM cover GROUP BY 1"""
 QUERIES["missing_outputs"] = lambda spark, d: C.missing_outputs(C.coverage(_out(spark, d)))
 ORACLE["missing_outputs"] = f"""WITH {_OUT} SELECT "show", stage, missing FROM cover WHERE missing > 0"""
 

@@ -13,7 +13,7 @@ tf AS (SELECT *, CASE WHEN lag(speaker) OVER (PARTITION BY episode_id ORDER BY s
 tb AS (SELECT "show", episode_id, speaker, sum(new) AS turns, sum(end_ms - start_ms) AS time_ms FROM tf GROUP BY ALL),
 tt AS (SELECT "show", episode_id, list(time_ms ORDER BY time_ms DESC) AS t, sum(turns) AS total_turns, count(*) AS n_speakers FROM tb GROUP BY ALL),
 tl AS (SELECT "show", episode_id, arg_max(end_ms, segment_id) AS duration_ms FROM seg GROUP BY ALL),
-turn_taking AS (SELECT "show", episode_id, total_turns, n_speakers, round(duration_ms / 60000, 2) AS duration_minutes, round({div("duration_ms / 60000", "total_turns")}, 4) AS avg_switch_minutes,
+turn_taking AS (SELECT "show", episode_id, total_turns, n_speakers, round(duration_ms / 600, 0) / 100 AS duration_minutes, round({div("duration_ms", "total_turns * 6")}, 0) / 10000 AS avg_switch_minutes,
   round(CASE WHEN n_speakers = 1 THEN 1.0 ELSE {div("(t[1] - t[2])", "duration_ms")} END, 4) AS dominance_index FROM tt JOIN tl USING ("show", episode_id))"""
 QUERIES["turn_taking"] = lambda spark, d: X.turn_taking(seg(spark, d))
 ORACLE["turn_taking"] = f"WITH {_TT} SELECT * FROM turn_taking"
