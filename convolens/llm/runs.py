@@ -76,11 +76,18 @@ def two_letters_apart() -> Column:
     return (F.length(b) >= 4) & (F.length(a) >= 4) & ~a.rlike(r"^[#?]") & ~b.rlike(r"^[#?]") & (F.abs(F.length(a) - F.length(b)) <= 2) & (F.levenshtein(a, b, 2) == 2) & ~alike(a, b)
 
 
+def _forms(name: Column) -> Column:
+    """A name and the same without any one of its letters."""
+    less = F.transform(F.sequence(F.lit(1), F.length(name)), lambda i: F.concat(name.substr(F.lit(1), i - 1), name.substr(i + 1, F.length(name))))
+    return F.array_distinct(F.concat(F.array(name), less))
+
+
 def _two_typos(events: DataFrame) -> DataFrame:
     """Neighbours that are two letters apart but each one letter from a third label of their episode."""
     cand = events.where(two_letters_apart()).select("episode_id", "label", "before").distinct()
     third = events.where(~F.col("label").rlike(r"^[#?]")).select("episode_id", F.col("label").alias("third")).distinct()
-    j = cand.join(third, "episode_id")
+    # labels one letter apart share a form with at most one letter less, so the join is on equal forms
+    j = cand.withColumn("form", F.explode(_forms(F.col("label")))).join(third.withColumn("form", F.explode(_forms(F.col("third")))), ["episode_id", "form"])
     return j.where(alike(F.col("label"), F.col("third")) & alike(F.col("before"), F.col("third"))).select("episode_id", "label", "before").distinct()
 
 
