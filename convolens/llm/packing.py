@@ -72,6 +72,7 @@ class Plan:
     def __init__(self, capacity: int, histogram: dict[int, int]):
         self.capacity = capacity
         self.left = {s: c for s, c in histogram.items() if c}
+        self.sizes = sorted(self.left)
         self.patterns: list[list] = []  # [repeats, free, {size: copies}]
         if self.left:
             self._fill()
@@ -97,14 +98,26 @@ class Plan:
             self._repeat(combos[j], int(x[j] + 1e-6), bins)
 
     def _repeat(self, combo: tuple[int, ...], times: int, bins: list[list[int]]) -> None:
+        """Makes a combination of real sizes ``times`` times: the largest of each step, and last what fills the rest best."""
         while times > 0:
             chosen: dict[int, int] = {}
-            for g in combo:
-                have = bins[g]
-                s = next((s for s in reversed(have) if self.left[s] > chosen.get(s, 0)), None)
+            room = self.capacity
+            for g in combo[:-1]:
+                s = next((s for s in reversed(bins[g]) if self.left[s] > chosen.get(s, 0)), None)
                 if s is None:
                     return
                 chosen[s] = chosen.get(s, 0) + 1
+                room -= s
+            at = bisect.bisect_right(self.sizes, room) - 1
+            while at >= 0 and self.left[self.sizes[at]] <= chosen.get(self.sizes[at], 0):
+                if not self.left[self.sizes[at]]:
+                    del self.sizes[at]
+                at -= 1
+            # a last item far below its step is left for the greedy part
+            if at < 0 or self.sizes[at] < room - 2 * self.capacity / GRID:
+                return
+            s = self.sizes[at]
+            chosen[s] = chosen.get(s, 0) + 1
             n = min(times, *(self.left[s] // k for s, k in chosen.items()))
             for s, k in chosen.items():
                 self.left[s] -= n * k
