@@ -37,7 +37,10 @@ def is_valid_name(name: Column) -> Column:
 
 def introduced_names(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """(keys, name, pattern_no, confidence) of all introductions in the texts."""
-    found = F.flatten(F.array(*(F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(1)), lambda n, i=i: F.struct(n.alias("name"), F.lit(i).alias("pattern_no"))) for i, p in enumerate(INTRODUCTIONS))))
+    def numbered(i: int):
+        return lambda n: F.struct(n.alias("name"), F.lit(i).alias("pattern_no"))
+
+    found = F.flatten(F.array(*(F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(1)), numbered(i)) for i, p in enumerate(INTRODUCTIONS))))
     out = texts.where(F.col(text).rlike("|".join(f"(?:{p})" for p in INTRODUCTIONS))).select(*keys, F.inline(found))
     return out.where(is_valid_name(F.col("name"))).withColumn("confidence", F.lit(0.85))
 
