@@ -6,11 +6,11 @@ same edges of equal texts, and at least one of every span of ``LEAST`` code poin
 texts are the repeated ones. A repeated edge and the next one of all its texts, at the same distance and with no other
 successor or predecessor, are one path: such nonbranching paths are compacted by pointer doubling (self-joins). The
 sources of a path are its texts with their coordinates; where the coordinates alone don't show a span of LEAST, the
-texts around them are compared.
+windows of LEAST code points that hold one of the path's edges and reach over its ends are compared by their hashes.
 
-Equal texts are one class and are not compared with each other. Pairs of records are written out in full for paths and
-classes of up to ``EXPAND`` members; larger ones are linked through their first member, to which all others are paired,
-and the query p6_members has all members.
+Equal texts are one class and are not compared with each other. All pairs of records with different texts are written
+out. Those of equal texts are, for classes of up to ``EXPAND`` members; in a larger class the first member is paired with
+each other one, and the query p6_members has all members.
 
 Results for odd input: null texts and texts shorter than LEAST share nothing; null ids are left out; repeated rows are
 one record; all rows of one episode_id are one record; empty tables give no rows.
@@ -32,8 +32,10 @@ from convolens.session import Stage, is_empty, table
 #: Least length of a span, length of a k-mer, and k-mers of a window (so a span holds a whole window).
 LEAST, K = 200, 120
 WINDOW = LEAST - K + 1
-#: Members of a path or class up to which all their pairs are written out.
+#: Copies of one text up to which all their pairs are written out.
 EXPAND = 64
+#: Members of a group that one block of its pairs holds of the one side, about.
+MEMBERS = 128
 #: Rows of a side that is broadcast, at most; beyond that both sides are shuffled.
 BROADCAST_ROWS = 500_000
 #: Code points hashed at a time; a longer text is a block of its own.
@@ -112,6 +114,16 @@ def text_class(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"), seed=len(text)) - (1 << 63)
 
 
+def repeats(owner: np.ndarray, pos: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of k-mers which to keep, and rep, -1: of places of one k-mer that overlap only the first is kept."""
+    order = np.lexsort((pos, h, owner))
+    o, x, at = owner[order], h[order], pos[order]
+    keep = np.zeros(len(order), bool)
+    if len(order):
+        keep[order[np.r_[True, (o[1:] != o[:-1]) | (x[1:] != x[:-1]) | (at[1:] - at[:-1] >= K)]]] = True
+    return keep, np.full(len(order), -1, np.int64)
+
+
 def _blocks(texts: list[str]):
     a, size = 0, 0
     for i, t in enumerate(texts):
@@ -124,25 +136,18 @@ def _blocks(texts: list[str]):
 
 
 def _sketch(batches):
-    """(rec, text) to (rec, cls, n_chars, kmers): the kept k-mers of each text.
-
-    Of occurrences of one k-mer that overlap (text of a short period) only the first is kept.
-    """
-    kmer = pa.list_(pa.struct([("kmer", pa.int64()), ("pos", pa.int32()), ("no", pa.int32())]))
+    """(rec, text) to (rec, cls, n_chars, kmers): the kept k-mers of each text, with rep as in repeats()."""
+    kmer = pa.list_(pa.struct([("kmer", pa.int64()), ("pos", pa.int32()), ("no", pa.int32()), ("rep", pa.int32())]))
     for batch in slices(batches):
         recs, texts = batch["rec"].to_pylist(), batch["text"].to_pylist()
         for a, b in _blocks(texts):
             part = texts[a:b]
             owner, pos, h = sparse_kmers(part)
-            if len(owner):
-                order = np.lexsort((pos, h, owner))
-                o, x, at = owner[order], h[order], pos[order]
-                keep = np.zeros(len(order), bool)
-                keep[order[np.r_[True, (o[1:] != o[:-1]) | (x[1:] != x[:-1]) | (at[1:] - at[:-1] >= K)]]] = True
-                owner, pos, h = owner[keep], pos[keep], h[keep]
+            keep, rep = repeats(owner, pos, h)
+            owner, pos, h, rep = owner[keep], pos[keep], h[keep], rep[keep]
             heads = np.searchsorted(owner, np.arange(len(part) + 1)).astype(np.int32)
             no = np.arange(len(owner)) - np.repeat(heads[:-1], np.diff(heads))
-            items = pa.StructArray.from_arrays([pa.array(h), pa.array(pos.astype(np.int32)), pa.array(no.astype(np.int32))], ["kmer", "pos", "no"])
+            items = pa.StructArray.from_arrays([pa.array(h), pa.array(pos.astype(np.int32)), pa.array(no.astype(np.int32)), pa.array(rep.astype(np.int32))], ["kmer", "pos", "no", "rep"])
             lists = pa.ListArray.from_arrays(pa.array(heads), items)
             assert lists.type == kmer
             yield pa.RecordBatch.from_arrays([pa.array(recs[a:b]), pa.array([text_class(t) for t in part], pa.int64()), pa.array([len(t) for t in part], pa.int32()), lists], ["rec", "cls", "n_chars", "kmers"])
@@ -165,13 +170,13 @@ class SharedSpans:
 
     def __init__(self, spark: SparkSession, source: DataFrame):
         self.spark, self.stage, self.source = spark, Stage(spark, "spans"), source
-        self.sketch = self.stage.keep(source.where(f"length(text) >= {LEAST}").mapInArrow(_sketch, "rec string, cls bigint, n_chars int, kmers array<struct<kmer:bigint,pos:int,no:int>>"))
+        self.sketch = self.stage.keep(source.where(f"length(text) >= {LEAST}").mapInArrow(_sketch, "rec string, cls bigint, n_chars int, kmers array<struct<kmer:bigint,pos:int,no:int,rep:int>>"))
         self.classes = self.sketch.select("rec", "cls", "n_chars").distinct()
         self.sources = self._repeated()
         self.paths = self._compact()
 
     def _repeated(self) -> DataFrame:
-        """(kmer, cls, pos, no): the k-mers that two or more classes hold, with all their sources."""
+        """(kmer, cls, pos, no, rep): the k-mers that two or more classes hold, with all their sources."""
         flat = self.sketch.select("cls", F.inline("kmers"))
         ends = flat.groupBy("kmer").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"))
         twice = self.stage.keep(ends.where("lo != hi").select("kmer"))
@@ -179,11 +184,14 @@ class SharedSpans:
         return self.stage.keep(found.distinct())
 
     def _compact(self) -> DataFrame:
-        """(path, cls, start, end): nonbranching paths of repeated k-mers with their sources' coordinates."""
+        """(path, cls, start, end, reach): nonbranching paths of repeated k-mers with their sources' coordinates.
+
+        A source with a reach stands for others like it that follow, up to so many code points further on.
+        """
         w = W.partitionBy("cls").orderBy("no")
-        after = self.sources.select("kmer", "cls", F.lead("kmer").over(w).alias("nk"), (F.lead("pos").over(w) - F.col("pos")).alias("gap"), (F.lead("no").over(w) - F.col("no")).alias("steps"))
+        after = self.sources.select("kmer", "cls", F.lead("kmer").over(w).alias("nk"), (F.lead("pos").over(w) - F.col("pos")).alias("gap"), (F.lead("no").over(w) - F.col("no")).alias("steps"), (F.greatest("rep", F.lead("rep").over(w)) < 0).alias("apart"))
         # what follows in each source: the next kept k-mer if it is repeated too, else nothing
-        linked = after.where(f"steps = 1 and gap < {K}").groupBy("kmer", "nk", "gap").agg(F.count("*").alias("n"))
+        linked = after.where(f"steps = 1 and gap < {K} and apart").groupBy("kmer", "nk", "gap").agg(F.count("*").alias("n"))
         n = self.sources.groupBy("kmer").agg(F.count("*").alias("all"))
         j = linked.join(n, "kmer").join(n.select(F.col("kmer").alias("nk"), F.col("all").alias("all_next")), "nk")
         links = j.where("n = all and n = all_next").select("kmer", "nk", "gap")
@@ -199,8 +207,44 @@ class SharedSpans:
             if done:
                 break
         heads = self.sources.join(ptr.select("kmer", "ptr", "dist"), "kmer", "left")
-        heads = heads.select(F.coalesce("ptr", "kmer").alias("path"), "cls", (F.col("pos") - F.coalesce("dist", F.lit(0))).alias("start"), "pos")
-        return self.stage.keep(heads.groupBy("path", "cls", "start").agg((F.max("pos") + K).alias("end")))
+        heads = heads.select(F.coalesce("ptr", "kmer").alias("path"), "cls", (F.col("pos") - F.coalesce("dist", F.lit(0))).alias("start"), "pos", "rep")
+        return self.stage.keep(heads.groupBy("path", "cls", "start").agg((F.max("pos") + K).alias("end"), F.greatest(F.max("rep"), F.lit(0)).alias("reach")))
+
+    def windows(self, edges: bool) -> DataFrame:
+        """(path, cls, pos, reach, h): the windows of LEAST code points at pos that hold a k-mer of the path, by their hashes.
+
+        Those of paths under LEAST; with edges, of longer paths too, but for the windows that lie in the path.
+        """
+        long, lo, hi = F.expr(f"end - start >= {LEAST}"), F.col("start") - (WINDOW - 1), F.col("end") - K
+        spot = lambda a, b: F.struct("path", a.cast("int").alias("lo"), b.cast("int").alias("hi"), "reach")
+        spots = F.when(~long, F.array(spot(lo, hi)))
+        if edges:
+            spots = spots.otherwise(F.array(spot(lo, F.col("start") - 1), spot(F.col("end") - LEAST + 1, hi)))
+        need = self.paths.select("cls", F.explode(spots).alias("spot"))
+        # one record of each class lends its text
+        lender = self.classes.groupBy("cls").agg(F.min("rec").alias("rec"))
+        wanted = self.stage.keep(need.groupBy("cls").agg(F.collect_set("spot").alias("spots")).join(lender, "cls"))
+        lent = self.source.where(f"length(text) >= {LEAST}").join(small(wanted, BROADCAST_ROWS // 5), "rec")
+        cut = lent.select("cls", "text", "spots").mapInArrow(_windows, "path bigint, cls bigint, pos int, reach int, h bigint")
+        # repeated rows of the source lend a text more than once
+        return self.stage.keep(cut.groupBy("path", "cls", "pos", "h").agg(F.max("reach").alias("reach")) if edges else cut.select("path", "cls", "h").distinct())
+
+    def linked(self) -> DataFrame:
+        """(cls_a, cls_b): all pairs of different texts that share a span of LEAST."""
+        long = self.paths.where(f"end - start >= {LEAST}").select("path", "cls", F.lit(0).cast("bigint").alias("h")).distinct()
+        groups = long.unionByName(self.windows(False).select("path", "cls", "h"))
+        # groups of the same texts are paired once; their fingerprints are counted by partial sums
+        marks = ["_n", "_lo", "_hi", "_x", "_y"]
+        sized = groups.groupBy("path", "h").agg(F.count("*").alias("_n"), F.min("cls").alias("_lo"), F.max("cls").alias("_hi"), F.bit_xor(F.xxhash64("cls")).alias("_x"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("_y")).where("_n > 1")
+        sets = self.stage.keep(sized.groupBy(*marks).agg(F.min(F.struct("path", "h")).alias("_g")).select("_g.*", *marks))
+        two = sets.where("_n = 2").select(F.col("_lo").alias("cls_a"), F.col("_hi").alias("cls_b"))
+        # the members of a group are one side in blocks and the other side whole in each block, so no task holds all pairs
+        blocks = F.ceil(F.col("_n") / F.lit(MEMBERS)).cast("int")
+        held = groups.join(small(sets.where("_n > 2").select("path", "h", blocks.alias("_b"))), ["path", "h"])
+        held = self.stage.keep(held.select("path", "h", "cls", "_b"))
+        a = held.select("path", "h", F.col("cls").alias("cls_a"), F.pmod(F.xxhash64("cls"), F.col("_b").cast("bigint")).cast("int").alias("_k"))
+        b = held.select("path", "h", F.col("cls").alias("cls_b"), F.explode(F.sequence(F.lit(0), F.col("_b") - 1)).alias("_k"))
+        return two.unionByName(a.join(b, ["path", "h", "_k"]).where("cls_a < cls_b").select("cls_a", "cls_b")).distinct()
 
     def links(self) -> DataFrame:
         """(path, cls_a, start_a, cls_b, start_b, n): pairs of a path's sources, n code points the same from there on.
@@ -254,6 +298,32 @@ def classes_of(text: pd.Series) -> pd.Series:
     return text.map(text_class).astype("int64")
 
 
+def _windows(batches):
+    """(cls, text, spots) to (path, cls, pos, reach, h): the windows that begin in a spot, each once in a path."""
+    names = ["path", "cls", "pos", "reach", "h"]
+    for batch in slices(batches):
+        for row in range(batch.num_rows):
+            cls, text = batch["cls"][row].as_py(), batch["text"][row].as_py()
+            if text_class(text) != cls:
+                continue  # another text of the record
+            spots = batch["spots"][row].values.flatten()
+            path, lo, hi, reach = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in spots)
+            lo, hi = np.maximum(lo, 0), np.minimum(hi, len(text) - LEAST)
+            n = np.maximum(hi - lo + 1, 0)
+            pos = np.arange(n.sum()) + np.repeat(lo - np.cumsum(n) + n, n)
+            path, reach = np.repeat(path, n), np.repeat(reach, n)
+            order = np.lexsort((-reach, pos, path))
+            path, pos, reach = path[order], pos[order], reach[order]
+            once = np.flatnonzero(np.r_[True, (path[1:] != path[:-1]) | (pos[1:] != pos[:-1])][: len(pos)])
+            if not len(once):
+                continue
+            path, pos, reach = path[once], pos[once], reach[once]
+            h = gram_hashes(code_points([text])[0][:-1], LEAST)[pos].view(np.int64)
+            for a in range(0, len(pos), BLOCK):
+                p = pos[a : a + BLOCK]
+                yield pa.RecordBatch.from_arrays([pa.array(path[a : a + BLOCK]), pa.array(np.full(len(p), cls, np.int64)), pa.array(p.astype(np.int32)), pa.array(reach[a : a + BLOCK].astype(np.int32)), pa.array(h[a : a + BLOCK])], names)
+
+
 def _sized(df: DataFrame, key: str, value: str) -> DataFrame:
     """Adds the size of each row's group and its least value; counted by partial sums, so no group is ever held together."""
     return df.join(df.groupBy(key).agg(F.count("*").alias("_n"), F.min(value).alias("_first")), key)
@@ -269,10 +339,7 @@ def _pairs(members: DataFrame, key: str) -> DataFrame:
 def found(shared: SharedSpans) -> DataFrame:
     """(rec_a, rec_b): pairs of records that share a span."""
     members = shared.classes.select("cls", "rec").distinct()
-    sized = _sized(members, "cls", "rec")
-    spoken = sized.where(f"_n <= {EXPAND} or rec = _first").select("cls", "rec")
-    links = shared.spans().select("cls_a", "cls_b").distinct()
-    j = links.join(spoken.select(F.col("cls").alias("cls_a"), F.col("rec").alias("ra")), "cls_a").join(spoken.select(F.col("cls").alias("cls_b"), F.col("rec").alias("rb")), "cls_b")
+    j = shared.linked().join(members.select(F.col("cls").alias("cls_a"), F.col("rec").alias("ra")), "cls_a").join(members.select(F.col("cls").alias("cls_b"), F.col("rec").alias("rb")), "cls_b")
     different = j.where("ra != rb").select(F.least("ra", "rb").alias("rec_a"), F.greatest("ra", "rb").alias("rec_b"))
     return different.unionByName(_pairs(members, "cls")).distinct()
 

@@ -71,3 +71,22 @@ def test_empty_and_null(spark):
     s = S.SharedSpans(spark, S.records(docs, eps))
     assert S.found(s).count() == 0
     assert S.found(S.SharedSpans(spark, spark.createDataFrame([], SOURCE))).count() == 0
+
+
+def pairs_of(spark, items):
+    got = [tuple(x) for x in S.found(S.SharedSpans(spark, spark.createDataFrame(items, SOURCE))).collect()]
+    assert len(got) == len(set(got))
+    return set(got)
+
+
+def test_pairs_of_different_texts_have_no_cap(spark, monkeypatch):
+    monkeypatch.setattr(S, "EXPAND", 4)
+    monkeypatch.setattr(S, "MEMBERS", 3)
+    r = random.Random(5)
+    p, q = text(r, 400), text(r, 150)
+    items = [(f"d{i}", text(r, 50) + p + text(r, 50)) for i in range(10)]
+    # under 200 by itself: only those of equal surroundings are pairs
+    items += [(f"e{i}", text(r, 300) + s + q + t + text(r, 300)) for i, (s, t) in enumerate([(x, y) for x in ("left" * 20, "tfel" * 20) for y in ("right" * 16, "thgir" * 16, "") for _ in range(3)])]
+    items += [(f"c{i}", p + "same") for i in range(9)]
+    copies = {(a, b) for a, b in brute(items) if a[0] == b[0] == "c"}
+    assert {x for x in pairs_of(spark, items) if x not in copies} == brute(items) - copies
