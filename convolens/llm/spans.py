@@ -246,56 +246,16 @@ class SharedSpans:
         b = held.select("path", "h", F.col("cls").alias("cls_b"), F.explode(F.sequence(F.lit(0), F.col("_b") - 1)).alias("_k"))
         return two.unionByName(a.join(b, ["path", "h", "_k"]).where("cls_a < cls_b").select("cls_a", "cls_b")).distinct()
 
-    def links(self) -> DataFrame:
-        """(path, cls_a, start_a, cls_b, start_b, n): pairs of a path's sources, n code points the same from there on.
-
-        A text that holds a path more than once is paired by each place; for paths of LEAST and more its first place will do.
-        """
+    def covered(self) -> DataFrame:
+        """(cls, s_ms, e_ms): what of each text other texts hold too, in pieces that may overlap."""
         first = F.row_number().over(W.partitionBy("path", "cls").orderBy("start"))
-        places = self.paths.withColumn("_k", first).where(f"_k = 1 or end - start < {LEAST}").drop("_k")
-        sized = _sized(places, "path", "cls")
-        a = sized.where(f"_n <= {EXPAND} or cls = _first").select("path", F.col("cls").alias("cls_a"), F.col("start").alias("start_a"), F.col("end").alias("end_a"))
-        b = places.select("path", F.col("cls").alias("cls_b"), F.col("start").alias("start_b"), F.col("end").alias("end_b"))
-        p = a.join(b, "path").where("cls_a < cls_b")
-        return p.select("path", "cls_a", "start_a", "cls_b", "start_b", F.least(F.col("end_a") - F.col("start_a"), F.col("end_b") - F.col("start_b")).alias("n"))
-
-    def spans(self) -> DataFrame:
-        """(cls_a, start_a, cls_b, start_b, n): spans of at least LEAST code points, as far as they reach both ways."""
-        links = self.stage.keep(self.links())
-        a = links.select(F.col("cls_a").alias("cls"), F.col("start_a").alias("at"), F.col("n"))
-        b = links.select(F.col("cls_b").alias("cls"), F.col("start_b").alias("at"), F.col("n"))
-        need = a.unionByName(b).distinct()
-        # one record of each class lends its text, of which LEAST code points before and after a source are enough:
-        # texts equal further on would hold another whole window, hence another repeated k-mer
-        lender = self.classes.groupBy("cls").agg(F.min("rec").alias("rec"))
-        wanted = self.stage.keep(need.join(lender, "cls").groupBy("rec", "cls").agg(F.collect_set(F.struct("at", "n")).alias("places")))
-        lent = self.source.where(f"length(text) >= {LEAST}").join(small(wanted, BROADCAST_ROWS // 5), "rec")
-        cut = lent.where(F.col("cls") == classes_of("text")).select("cls", "text", F.inline("places"))
-        cut = cut.select("cls", "at", "n", F.expr(f"reverse(substr(text, greatest(at - {LEAST}, 0) + 1, at - greatest(at - {LEAST}, 0)))").alias("left"), F.expr(f"substr(text, at + n + 1, {LEAST})").alias("right"))
-        cut = self.stage.keep(cut.dropDuplicates(["cls", "at", "n"]))
-        j = links.join(cut.select(F.col("cls").alias("cls_a"), F.col("at").alias("start_a"), "n", F.col("left").alias("la"), F.col("right").alias("ra")), ["cls_a", "start_a", "n"])
-        j = j.join(cut.select(F.col("cls").alias("cls_b"), F.col("at").alias("start_b"), "n", F.col("left").alias("lb"), F.col("right").alias("rb")), ["cls_b", "start_b", "n"])
-        j = j.withColumns({"_l": common_prefix("la", "lb"), "_r": common_prefix("ra", "rb")})
-        out = j.select("cls_a", (F.col("start_a") - F.col("_l")).alias("start_a"), "cls_b", (F.col("start_b") - F.col("_l")).alias("start_b"), (F.col("n") + F.col("_l") + F.col("_r")).alias("n"))
-        return self.stage.keep(out.where(f"n >= {LEAST}").distinct())
-
-
-@F.pandas_udf(T.IntegerType())
-def common_prefix(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Length of the longest common prefix of two strings of at most LEAST code points."""
-    out = []
-    for x, y in zip(a, b):
-        lo, hi = 0, min(len(x), len(y))
-        while lo < hi:
-            mid = (lo + hi + 1) // 2
-            lo, hi = (mid, hi) if x[:mid] == y[:mid] else (lo, mid - 1)
-        out.append(lo)
-    return pd.Series(out, dtype="int32")
-
-
-@F.pandas_udf(T.LongType())
-def classes_of(text: pd.Series) -> pd.Series:
-    return text.map(text_class).astype("int64")
+        whole = self.paths.withColumn("_k", first).where(f"_k = 1 and end - start >= {LEAST}").select("cls", F.col("start").alias("s_ms"), F.col("end").alias("e_ms"))
+        w = self.windows(True)
+        twice = self.stage.keep(w.groupBy("path", "h").agg(F.min("cls").alias("_lo"), F.max("cls").alias("_hi")).where("_lo != _hi").select("path", "h"))
+        # windows that begin so near to each other overlap
+        held = w.join(twice, ["path", "h"], "left_semi").groupBy("path", "cls", F.expr(f"pos div {LEAST // 2}")).agg(F.min("pos").alias("s_ms"), (F.max(F.col("pos") + F.col("reach")) + LEAST).alias("e_ms"))
+        pieces = whole.unionByName(held.select("cls", "s_ms", "e_ms"))
+        return pieces.select("cls", F.col("s_ms").cast("bigint").alias("s_ms"), F.col("e_ms").cast("bigint").alias("e_ms")).distinct()
 
 
 def _windows(batches):
@@ -349,10 +309,7 @@ def shares(shared: SharedSpans) -> DataFrame:
 
     Copies are shared whole; of an episode with several descriptions the longest counts.
     """
-    spans = shared.spans()
-    each = spans.select(F.col("cls_a").alias("cls"), F.col("start_a").cast("bigint").alias("s_ms"), (F.col("start_a") + F.col("n")).cast("bigint").alias("e_ms"))
-    each = each.unionByName(spans.select(F.col("cls_b").alias("cls"), F.col("start_b").cast("bigint").alias("s_ms"), (F.col("start_b") + F.col("n")).cast("bigint").alias("e_ms")))
-    covered = periods(each, ["cls"]).groupBy("cls").agg(F.sum(F.col("e_ms") - F.col("s_ms")).alias("shared_chars"))
+    covered = periods(shared.covered(), ["cls"]).groupBy("cls").agg(F.sum(F.col("e_ms") - F.col("s_ms")).alias("shared_chars"))
     copies = shared.classes.groupBy("cls").agg(F.countDistinct("rec").alias("copies"))
     j = shared.classes.join(copies, "cls").join(covered, "cls", "left")
     j = j.withColumn("shared_chars", F.when(F.col("copies") > 1, F.col("n_chars")).otherwise(F.coalesce("shared_chars", F.lit(0))).cast("bigint"))

@@ -90,3 +90,32 @@ def test_pairs_of_different_texts_have_no_cap(spark, monkeypatch):
     items += [(f"c{i}", p + "same") for i in range(9)]
     copies = {(a, b) for a, b in brute(items) if a[0] == b[0] == "c"}
     assert {x for x in pairs_of(spark, items) if x not in copies} == brute(items) - copies
+
+
+def brute_shares(items):
+    """Code points of each record in windows of LEAST that another record holds."""
+    grams = {}
+    for rec, t in items:
+        for i in range(len(t) - S.LEAST + 1):
+            grams.setdefault(t[i : i + S.LEAST], set()).add(rec)
+    out = {}
+    for rec, t in items:
+        inside = set()
+        for i in range(len(t) - S.LEAST + 1):
+            if len(grams[t[i : i + S.LEAST]]) > 1:
+                inside.update(range(i, i + S.LEAST))
+        out[rec] = (len(t), len(inside))
+    return out
+
+
+def shares_of(spark, items):
+    return {x.rec: (x.n_chars, x.shared_chars) for x in S.shares(S.SharedSpans(spark, spark.createDataFrame(items, SOURCE))).collect()}
+
+
+def test_shares_of_large_groups(spark, monkeypatch):
+    monkeypatch.setattr(S, "EXPAND", 4)
+    r = random.Random(6)
+    p = text(r, 900)
+    items = [(f"d{i}", text(r, 50) + p[a : a + n] + text(r, 50)) for i, (a, n) in enumerate([(0, 250), (0, 900), (100, 800), (300, 199), (300, 205), (500, 300)] * 3)]
+    items += [(f"d{i}", text(r, 200)[: i % 7] + p[40:230] + str(i % 3) * 40 + text(r, 90)) for i in range(20, 40)]
+    assert shares_of(spark, items) == brute_shares(items)
