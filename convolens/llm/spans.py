@@ -248,8 +248,7 @@ class SharedSpans:
 
     def covered(self) -> DataFrame:
         """(cls, s_ms, e_ms): what of each text other texts hold too, in pieces that may overlap."""
-        first = F.row_number().over(W.partitionBy("path", "cls").orderBy("start"))
-        whole = self.paths.withColumn("_k", first).where(f"_k = 1 and end - start >= {LEAST}").select("cls", F.col("start").alias("s_ms"), F.col("end").alias("e_ms"))
+        whole = self.paths.where(f"end - start >= {LEAST}").select("cls", F.col("start").alias("s_ms"), F.col("end").alias("e_ms"))
         w = self.windows(True)
         twice = self.stage.keep(w.groupBy("path", "h").agg(F.min("cls").alias("_lo"), F.max("cls").alias("_hi")).where("_lo != _hi").select("path", "h"))
         # windows that begin so near to each other overlap

@@ -119,3 +119,12 @@ def test_shares_of_large_groups(spark, monkeypatch):
     items = [(f"d{i}", text(r, 50) + p[a : a + n] + text(r, 50)) for i, (a, n) in enumerate([(0, 250), (0, 900), (100, 800), (300, 199), (300, 205), (500, 300)] * 3)]
     items += [(f"d{i}", text(r, 200)[: i % 7] + p[40:230] + str(i % 3) * 40 + text(r, 90)) for i in range(20, 40)]
     assert shares_of(spark, items) == brute_shares(items)
+
+
+def test_shares_of_a_passage_held_twice(spark):
+    r = random.Random(7)
+    p = text(r, 420)
+    items = [("d1", text(r, 80) + p + text(r, 90) + p[:300] + text(r, 70) + p), ("d2", text(r, 60) + p + text(r, 60)), ("d3", p[20:] + text(r, 60) + p[:260] + "z")]
+    q = text(r, 1200)
+    items += [("d4", text(r, 80) + q + text(r, 90) + q + text(r, 70)), ("d5", text(r, 60) + q + text(r, 60))]
+    assert shares_of(spark, items) == brute_shares(items)
