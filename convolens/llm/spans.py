@@ -115,13 +115,29 @@ def text_class(text: str) -> int:
 
 
 def repeats(owner: np.ndarray, pos: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of k-mers which to keep, and rep, -1: of places of one k-mer that overlap only the first is kept."""
+    """Of k-mers which to keep, and rep: -1 if no other place of the k-mer overlaps, else how far the places left out after it reach.
+
+    Places of one k-mer at equal distances below K lie in text of that period. WINDOW away from both ends of such a run
+    the windows of LEAST that hold a place are the same at all of them, so the first of these stands for the others.
+    """
+    n = len(owner)
+    keep, rep = np.ones(n, bool), np.full(n, -1, np.int64)
     order = np.lexsort((pos, h, owner))
     o, x, at = owner[order], h[order], pos[order]
-    keep = np.zeros(len(order), bool)
-    if len(order):
-        keep[order[np.r_[True, (o[1:] != o[:-1]) | (x[1:] != x[:-1]) | (at[1:] - at[:-1] >= K)]]] = True
-    return keep, np.full(len(order), -1, np.int64)
+    gap = at[1:] - at[:-1]
+    near = (o[1:] == o[:-1]) & (x[1:] == x[:-1]) & (gap < K)
+    touched = np.flatnonzero(np.r_[near, False] | np.r_[False, near])
+    rep[order[touched]] = 0
+    js = np.flatnonzero(near)
+    if len(js):
+        # runs of equal gaps: from place first to place last
+        cut = np.flatnonzero((js[1:] != js[:-1] + 1) | (gap[js[1:]] != gap[js[:-1]])) + 1
+        for first, last in zip(js[np.r_[0, cut]], js[np.r_[cut, len(js)] - 1] + 1):
+            deep = first + np.flatnonzero((at[first : last + 1] - at[first] >= WINDOW) & (at[last] - at[first : last + 1] >= WINDOW))
+            if len(deep) > 1:
+                keep[order[deep[1:]]] = False
+                rep[order[deep[0]]] = at[deep[-1]] - at[deep[0]]
+    return keep, rep
 
 
 def _blocks(texts: list[str]):
@@ -318,8 +334,12 @@ def shares(shared: SharedSpans) -> DataFrame:
 
 
 def members(shared: SharedSpans) -> DataFrame:
-    """(path, rec, start_char, end_char): the repeated paths and where each record holds them."""
-    return shared.paths.join(shared.classes.select("cls", "rec").distinct(), "cls").select("path", "rec", F.col("start").alias("start_char"), F.col("end").alias("end_char"))
+    """(path, rec, start_char, end_char): the repeated paths and where each record holds them; overlapping places of one k-mer are one."""
+    w = W.partitionBy("path", "cls").orderBy("start")
+    reached = F.max(F.col("end") + F.col("reach")).over(w.rowsBetween(W.unboundedPreceding, -1))
+    islands = shared.paths.withColumn("_new", F.coalesce((F.col("start") >= reached) | (F.col("end") - F.col("start") > K), F.lit(True)).cast("int")).withColumn("_island", F.sum("_new").over(w))
+    places = islands.groupBy("path", "cls", "_island").agg(F.min("start").alias("start"), F.max(F.col("end") + F.col("reach")).alias("end"))
+    return places.join(shared.classes.select("cls", "rec").distinct(), "cls").select("path", "rec", F.col("start").alias("start_char"), F.col("end").alias("end_char"))
 
 
 def shared_spans(spark: SparkSession, sf_dir: str) -> SharedSpans:

@@ -128,3 +128,20 @@ def test_shares_of_a_passage_held_twice(spark):
     q = text(r, 1200)
     items += [("d4", text(r, 80) + q + text(r, 90) + q + text(r, 70)), ("d5", text(r, 60) + q + text(r, 60))]
     assert shares_of(spark, items) == brute_shares(items)
+
+
+@pytest.mark.parametrize("period", [1, 7, 61, 100, 119])
+def test_periodic_runs(spark, period):
+    r = random.Random(period)
+    unit, w, v = text(r, period), text(r, 90), text(r, 90)
+
+    def run(a, n):
+        return (unit * (n // period + 3))[a : a + n]
+
+    end = lambda n: run((-n) % period, n)  # noqa: E731  runs that end alike
+    items = [("d1", text(r, 50) + end(1000) + w + text(r, 50)), ("d2", text(r, 50) + end(150) + w + text(r, 50))]
+    items += [("d3", text(r, 50) + v + run(0, 1200) + text(r, 50)), ("d4", text(r, 50) + v + run(0, 150) + text(r, 50))]
+    items += [("d5", text(r, 30) + run(3, 200) + text(r, 30)), ("d6", text(r, 30) + run(40, 215) + text(r, 30)), ("d7", run(11, 640)), ("d8", text(r, 30) + run(17, 199) + text(r, 30))]
+    shared = S.SharedSpans(spark, spark.createDataFrame(items, SOURCE))
+    assert {tuple(x) for x in S.found(shared).collect()} == brute(items)
+    assert {x.rec: (x.n_chars, x.shared_chars) for x in S.shares(shared).collect()} == brute_shares(items)
