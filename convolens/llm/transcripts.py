@@ -1,6 +1,6 @@
 """Speaker turns of transcript files of several layouts, by parsing-expression grammars.
 
-The layout's cue headers (times, cue numbers, labels) are tokens of one grammar; annotations, which nest, are rules of
+The layouts' cue headers (times, cue numbers, labels) are tokens of one grammar, and a file may have several layouts; annotations, which nest, are rules of
 another. Parse trees become cleaned utterances: sound notes and hesitations go, spoken asides stay. The language of
 each cue, needed to tell hesitations from words, comes from the naive Bayes model of langid.
 
@@ -125,68 +125,73 @@ class Cue:
         self.start, self.label, self.body = start, label, body
 
 
-_LAYOUTS = ("arrow", "span", "brackets", "trailing", "leading", "block")
+#: Layouts whose headers have a label in any case.
+_NAMED = ("trailing", "leading", "block")
+_BY_START = {"[": ("span", "brackets")} | {d: ("arrow", "leading") for d in "0123456789"}
 
 
-def layout(lines: list[str]) -> str | None:
-    """The layout whose headers are the most among the first lines."""
-    head = [x for x in lines[:120] if x.strip()][:60]
-    best, most = None, 0
-    for name in _LAYOUTS:
-        match = HEADERS.token(name).match
-        n = sum(1 for x in head if match(x))
-        if n > most:
-            best, most = name, n
-    return best
+def header(line: str) -> tuple[str, re.Match] | None:
+    """The layout that the line is a header of, and the match; no line is a header of two."""
+    first = line.lstrip()[:1]
+    if not first:
+        return None
+    # most lines are told by their first and last characters
+    names = _BY_START.get(first) or (("trailing",) if "):" in line else ()) + (("block",) if line.rstrip()[-1] in "0123456789" else ())
+    for name in names:
+        if m := HEADERS.token(name).match(line):
+            return name, m
+    return None
 
 
-def cues(text: str) -> list[Cue]:
-    """The cues of a file in its order. The label is None where a cue has none."""
-    lines = text.replace("\r\n", "\n").replace("\r", "\n").split("\n")
-    if lines and lines[0].startswith("﻿"):
-        lines[0] = lines[0][1:]
-    kind = layout(lines)
-    if kind is None:
-        return []
-    match = HEADERS.token(kind).match
+def _before_arrow(body: list[str]) -> list[str]:
+    """Lines without what introduces the cue after them: its number, and the first line of a file."""
     number = HEADERS.token("number").match
-    found: list[tuple[int, int, int, str | None]] = []  # line, column where the body begins, start, label
+    body = list(body)
+    for introduces in (number, lambda x: x.startswith("WEBVTT")):
+        while body and not body[-1].strip():
+            body.pop()
+        if body and introduces(body[-1]):
+            body.pop()
+    return body
+
+
+def cues(text: str) -> list[Cue]:
+    """The cues of a file in its order, whichever layouts it has and wherever they begin. The label is None where a cue has none."""
+    lines = [x.removeprefix("\ufeff") for x in text.replace("\r\n", "\n").replace("\r", "\n").split("\n")]
+    found: list[tuple[str, int, int, int, str | None]] = []  # layout, line, column where the body begins, start, label
     for i, line in enumerate(lines):
-        m = match(line)
-        if m is None:
+        hit = header(line)
+        if hit is None:
             continue
-        if kind == "span":
-            start = round(float(m["from"]) * 1000)
-        else:
-            start = clock_ms(m["at"])
+        kind, m = hit
+        start = round(float(m["from"]) * 1000) if kind == "span" else clock_ms(m["at"])
         if kind == "arrow":
-            found.append((i, -1, start, None))
+            found.append((kind, i, -1, start, None))
         else:
-            found.append((i, m.end(), start, m["who"]))
+            found.append((kind, i, m.end(), start, m["who"]))
     out = []
-    named = kind in ("trailing", "leading", "block")
     raw = []
-    for k, (i, col, start, who) in enumerate(found):
-        end = found[k + 1][0] if k + 1 < len(found) else len(lines)
+    for k, (kind, i, col, start, who) in enumerate(found):
+        end = found[k + 1][1] if k + 1 < len(found) else len(lines)
+        body = lines[i + 1 : end]
+        if k + 1 < len(found) and found[k + 1][0] == "arrow":
+            body = _before_arrow(body)
+        named = kind in _NAMED
         if col < 0:
-            body = lines[i + 1 : end]
             while body and not body[-1].strip():
                 body.pop()
-            if body and k + 1 < len(found) and number(body[-1]):
-                body.pop()  # the next cue's number
             rest = "\n".join(body)
             if m := HEADERS.token("voice").match(rest):
                 who, rest = m["who"], rest[m.end() :].replace("</v>", " ")
             elif m := HEADERS.token("srt").match(rest):
                 who, rest = m["who"], rest
-                raw.append((start, who, rest, m.end()))
+                raw.append((named, start, who, rest, m.end()))
                 continue
-            raw.append((start, who, rest, 0))
+            raw.append((named, start, who, rest, 0))
         else:
-            line = lines[i]
-            raw.append((start, who, "\n".join([line, *lines[i + 1 : end]]), col))
-    sure = {speaker_of(w) for _, w, _, _ in raw if w and _even(w)} if not named else set()
-    for start, who, rest, col in raw:
+            raw.append((named, start, who, "\n".join([lines[i], *body]), col))
+    sure = {speaker_of(w) for named, _, w, _, _ in raw if w and (named or _even(w))}
+    for named, start, who, rest, col in raw:
         if who is not None and not named and col and not _even(who) and speaker_of(who) not in sure:
             col = rest.index(who) if who in rest else 0  # words of the text before a colon
             who = None

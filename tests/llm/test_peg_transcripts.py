@@ -46,6 +46,20 @@ def test_layouts(turns, layout, ends):
     assert [t[:4] for t in turns("﻿" + text)] == [["SPEAKER_01", 1000, 3, 1], ["ana lima", 5000, 6, 1]]
 
 
+@pytest.mark.parametrize("layout", LAYOUTS)
+def test_long_preamble(turns, layout):
+    notes = "".join(f"Credits of the team, line {i}.\n" for i in range(200))
+    assert [t[:4] for t in turns(notes + "\n" + layout.format(a="SPEAKER 1", b="Ana Lima"))] == [["SPEAKER_01", 1000, 3, 1], ["ana lima", 5000, 6, 1]]
+
+
+@pytest.mark.parametrize("first", range(len(LAYOUTS)))
+def test_files_joined_together(turns, first):
+    texts = [LAYOUTS[first].format(a="SPEAKER 1", b="Ana Lima"), *(x.replace("0:01", "1:01").replace("[1.00s - 2.50s", "[61.00s - 62.50s").replace("0:05", "1:05").replace("[5.00s - 6.00s", "[65.00s - 66.00s").format(a="SPEAKER 2", b="Ana Lima") for x in LAYOUTS)]
+    for second in texts[1:]:
+        got = [t[:4] for t in turns(texts[0] + "\n\ufeff" + second)]
+        assert got == [["SPEAKER_01", 1000, 3, 1], ["ana lima", 5000, 6, 1], ["SPEAKER_02", 61000, 3, 1], ["ana lima", 65000, 6, 1]]
+
+
 def test_cleaning(turns):
     text = "[00:00:01] S1: The [music playing] bridge, um, was (see [crosstalk] p. 51) late *sighs* and, you know, my ♪♪ neighbour talked [inaudible 00:10:22] about the weather.\n[00:00:09] S1: Ummmm…\n[00:00:12] so we waited, you know it.\n[00:00:02] (applause)\n"
     got = turns(text)
