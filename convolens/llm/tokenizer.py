@@ -6,6 +6,12 @@ contracts each word's leftmost pair of minimum rank until none is left. An order
 ids off its last step, and texts are put together from their words' ids. Long words are first cut where no token of the
 vocabulary covers the cut, which changes no result and keeps the recursion short.
 
+The recursion holds every step of a word, so its rows grow with the square of the word. What is still longer than
+``PART`` bytes is therefore contracted in parts and the seams are mended: a row of tokens is the encoding of its bytes
+just if each two neighbours are the encoding of theirs (which holds where every merge comes after those that make its
+two sides; checked when a vocabulary is loaded). Where the two tokens beside a seam are not, more and more tokens around
+it are contracted anew. So a word of any length, as separator lines or runs of one letter, costs in proportion to it.
+
 Results for odd input: null and empty texts give an empty list; blank texts are encoded as they are; special tokens'
 strings are ordinary text; lone surrogates can't occur in Spark strings; repeated rows give repeated rows.
 """
@@ -13,6 +19,7 @@ strings are ordinary text; lone surrogates can't occur in Spark strings; repeate
 from __future__ import annotations
 
 import base64
+import bisect
 import json
 import os
 
@@ -28,10 +35,12 @@ from convolens.session import table
 FOLDER = os.environ.get("CONVOLENS_TOKENIZERS", "/opt/tokenizers")
 #: Fixed value: the pattern that comes with these vocabularies and splits text before the merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Words kept by a worker between batches, bytes contracted by one recursive query, characters split at a time.
-KEPT_WORDS, QUERY_BYTES, BLOCK = 150_000, 200_000, 2_000_000
-#: Words of more bytes are cut before the recursion.
-LONG = 16
+#: Words kept by a worker between batches and their ids, bytes contracted by one recursive query, characters split at a time.
+KEPT_WORDS, KEPT_IDS, QUERY_BYTES, BLOCK = 150_000, 8_000_000, 200_000, 2_000_000
+#: Words of more bytes are cut before the recursion; pieces of more bytes than PART are contracted in parts.
+LONG, PART = 16, 64
+#: Rows that one recursive query may come to hold, about; small pieces kept by a worker; tokens first taken beside a seam; seams mended at a time.
+QUERY_ROWS, KEPT_PIECES, BESIDE, SEAMS = 4_000_000, 200_000, 8, 4096
 
 _CONTRACT = """
 WITH RECURSIVE state(word, pos, tok, step) AS (
@@ -73,6 +82,10 @@ class Encoder:
         vocab = model["vocab"]
         self.first = np.array([vocab[chars[b]] for b in range(256)], np.int32)
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        born = {a + b: i for i, (a, b) in reversed(list(enumerate(pairs)))}
+        if any(born.get(x, -1) >= i for i, p in enumerate(pairs) for x in p):
+            raise ValueError(f"{name}: a merge comes before one that makes its side")
+        self.bytes_of = {i: bytes(back[c] for c in t) for t, i in vocab.items() if all(c in back for c in t)}
         merges = pa.table({"l": pa.array([vocab[a] for a, _ in pairs], pa.int32()), "r": pa.array([vocab[b] for _, b in pairs], pa.int32()), "id": pa.array([vocab[a + b] for a, b in pairs], pa.int32()), "rank": pa.array(range(len(pairs)), pa.int64())})
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         self.db.register("merges_in", merges)
@@ -85,6 +98,8 @@ class Encoder:
         self.tokens.make_automaton()
         self.split = regex.compile(PATTERN).findall
         self.words: dict[str, np.ndarray] = {}
+        self.held = 0  # ids of these words
+        self.pieces: dict[bytes, list[int]] = {}
 
     def cut(self, word: bytes) -> list[bytes]:
         """The word in pieces: between two of them lies no token of the vocabulary, so no merge can cross."""
@@ -102,9 +117,12 @@ class Encoder:
         out: list[np.ndarray] = []
         at = 0
         while at < len(pieces):
-            end, size = at, 0
-            while end < len(pieces) and (end == at or size + len(pieces[end]) <= QUERY_BYTES):
+            end, size, rows = at, 0, 0
+            while end < len(pieces):
                 size += len(pieces[end])
+                rows += len(pieces[end]) * (len(pieces[end]) + 1) // 2
+                if end > at and (size > QUERY_BYTES or rows > QUERY_ROWS):
+                    break
                 end += 1
             lot = pieces[at:end]
             lengths = np.array([len(p) for p in lot])
@@ -120,17 +138,96 @@ class Encoder:
             at = end
         return out
 
+    def _contracted(self, pieces: list[bytes]) -> None:
+        """Puts the ids of small pieces among those kept."""
+        if len(self.pieces) > KEPT_PIECES:
+            self.pieces = {}
+        new = list({p: None for p in pieces if p not in self.pieces})
+        for p, ids in zip(new, self.contract(new)):
+            self.pieces[p] = ids.tolist()
+
+    def _kept(self, piece: bytes) -> list[int]:
+        if piece not in self.pieces:
+            self._contracted([piece])
+        return self.pieces[piece]
+
+    def _ids(self, tokens: list[int]) -> list[int]:
+        """The ids that the tokens' bytes have."""
+        return self._kept(b"".join(map(self.bytes_of.__getitem__, tokens)))
+
+    def _fits(self, a: int, b: int) -> bool:
+        return self._ids([a, b]) == [a, b]
+
+    def _foresee(self, seams: list[tuple[list[int], list[int]]]) -> None:
+        """Contracts what the seams between parts will ask for if none changes its neighbours', in a few queries for all."""
+        spell = lambda tokens: b"".join(map(self.bytes_of.__getitem__, tokens))
+        self._contracted([spell([a[-1], b[0]]) for a, b in seams])
+        open_ = [(a, b, BESIDE, BESIDE) for a, b in seams if not self._fits(a[-1], b[0])]
+        while open_:
+            self._contracted([spell(a[-i:] + b[:j]) for a, b, i, j in open_])
+            mids = [self._ids(a[-i:] + b[:j]) for a, b, i, j in open_]
+            ends = [([a[-i - 1], m[0]] if i < len(a) else None, [m[-1], b[j]] if j < len(b) else None) for (a, b, i, j), m in zip(open_, mids)]
+            self._contracted([spell(x) for pair in ends for x in pair if x])
+            ok = [[x is None or self._fits(*x) for x in pair] for pair in ends]
+            open_ = [(a, b, i if low else 2 * i, j if high else 2 * j) for (a, b, i, j), (low, high) in zip(open_, ok) if not (low and high)]
+
+    def in_parts(self, pieces: list[bytes]) -> list[np.ndarray]:
+        """The ids of long pieces, contracted in parts whose seams are mended from left to right."""
+        out = []
+        a = 0
+        while a < len(pieces):
+            b, size = a, 0
+            while b < len(pieces) and (b == a or size + len(pieces[b]) <= QUERY_BYTES):
+                size += len(pieces[b])
+                b += 1
+            cuts = [[p[i : i + PART] for i in range(0, len(p), PART)] for p in pieces[a:b]]
+            # what the parts of several pieces ask for is contracted together; a very long piece is a lot of its own
+            for i in range(0, max(map(len, cuts)), SEAMS):
+                self._contracted([x for c in cuts for x in c[i : i + SEAMS + 1]])
+                lots = [[self._kept(x) for x in c[i : i + SEAMS + 1]] for c in cuts]
+                self._foresee([seam for lot in lots for seam in zip(lot, lot[1:])])
+                if i == 0:
+                    made = [list(lot[0]) for lot in lots]
+                for row, lot in zip(made, lots):
+                    for part in lot[1:]:
+                        self._mend(row, part)
+            out += [np.array(x, np.int32) for x in made]
+            a = b
+        return out
+
+    def _mend(self, out: list[int], part: list[int]) -> None:
+        """Puts a part's ids after those before it, contracting anew what the seam between them changes."""
+        if self._fits(out[-1], part[0]):
+            out += part
+            return
+        left = right = BESIDE
+        while True:
+            mid = self._ids(out[-left:] + part[:right])
+            low = left >= len(out) or self._fits(out[-left - 1], mid[0])
+            high = right >= len(part) or self._fits(mid[-1], part[right])
+            if low and high:
+                break
+            left, right = left if low else 2 * left, right if high else 2 * right
+        out[-left:] = mid + part[right:]
+
     def learn(self, words: set[str]) -> None:
         """Adds the ids of new words."""
         new = [w for w in words if w not in self.words]
         if not new:
             return
         parts = [self.cut(w.encode("utf-8", "surrogatepass")) for w in new]
-        pieces = list({p: None for ps in parts for p in ps})
+        pieces = sorted({p: None for ps in parts for p in ps}, key=len)
         number = {p: i for i, p in enumerate(pieces)}
-        ids = self.contract(pieces)
+        short = bisect.bisect_right(pieces, PART, key=len)
+        ids = self.contract(pieces[:short]) + self.in_parts(pieces[short:])
         for w, ps in zip(new, parts):
             self.words[w] = ids[number[ps[0]]] if len(ps) == 1 else np.concatenate([ids[number[p]] for p in ps])
+            self.held += len(self.words[w])
+
+    def _make_room(self, known: set[str]) -> None:
+        if len(self.words) + len(known) > KEPT_WORDS or self.held > KEPT_IDS:
+            self.words = {w: self.words[w] for w in known if w in self.words}
+            self.held = sum(map(len, self.words.values()))
 
     def encode_long(self, text: str, words: int = 300_000) -> np.ndarray:
         """The ids of one text of any length, a bounded number of words at a time."""
@@ -144,8 +241,7 @@ class Encoder:
 
     def _ids_of(self, words: list[str]) -> np.ndarray:
         known = set(words)
-        if len(self.words) + len(known) > KEPT_WORDS:
-            self.words = {}
+        self._make_room(known)
         self.learn(known)
         return np.concatenate([self.words[w] for w in words]) if words else np.zeros(0, np.int32)
 
@@ -158,8 +254,7 @@ class Encoder:
         known: set[str] = set()
         for ws in split:
             known.update(ws)
-        if len(self.words) + len(known) > KEPT_WORDS:
-            self.words = {w: self.words[w] for w in known if w in self.words}
+        self._make_room(known)
         self.learn(known)
         get = self.words
         arrays = [get[w] for ws in split for w in ws]

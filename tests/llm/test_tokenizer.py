@@ -42,6 +42,26 @@ def test_cut_changes_nothing(enc, monkeypatch):
     assert len(enc.cut("北京的天气很好今天".encode())) > 1
 
 
+@pytest.mark.parametrize("word", ["a", "=", " ", "中", "ab", "abc", "lol", "xyzzy", "-=", "ацйу"])
+def test_long_words(enc, word):
+    t = word * (100_000 // len(word)) + word[:1]
+    assert enc.encode([t])[0].tolist() == K._tiktoken(K.FOLDER, "byte_bpe_50k").encode_ordinary(t)
+
+
+@pytest.mark.parametrize(("part", "seams"), [(3, 2), (7, 4096), (64, 4096)])
+def test_seams(enc, monkeypatch, part, seams):
+    for name, value in (("PART", part), ("SEAMS", seams), ("BESIDE", 1 + part // 8)):
+        monkeypatch.setattr(K, name, value)
+    monkeypatch.setattr(enc, "words", {})
+    ref = K._tiktoken(K.FOLDER, "byte_bpe_50k")
+    r = random.Random(part)
+    tokens = sorted(b.decode() for b in enc.bytes_of.values() if b.isalpha())
+    texts = ["".join(r.choice(k) for _ in range(r.randint(60, 400))) for k in ["ab", "abc", "etaoinshrdlu", "=-", "éñ", "аб中"] for _ in range(8)]
+    texts += ["".join(r.choice(tokens) for _ in range(r.randint(5, 60))) for _ in range(40)]
+    ids, off = enc.encode(texts)
+    assert [ids[a:b].tolist() for a, b in zip(off, off[1:])] == [ref.encode_ordinary(t) for t in texts]
+
+
 def test_long_text(enc):
     t = "word number 7, " * 20000
     assert enc.encode_long(t, words=1000).tolist() == enc.encode([t])[0].tolist()
