@@ -1,15 +1,16 @@
 """Continuous periods and gaps of time intervals per entity, by compressed run bitmaps.
 
 Time is discretised to whole milliseconds and cut into shards of ``SHARD_MS``. Of each (entity, shard) there is one
-run bitmap: the list of its runs of set bits, ``[first, last]`` in the shard's own units. Bitmaps are united twice,
-first inside each partition (so an entity holding a third of all rows sends one bitmap per batch, not its rows), then
-per (entity, shard). Set runs and clear runs are read off each bitmap; only runs touching a shard's edge need the
-neighbouring shards, and those are joined over a summary of one row per shard.
+run bitmap: the list of its runs of set bits, ``[first, last]`` in the shard's own units. Shards form a hierarchy: the
+shards that an interval fills whole are bits of a bitmap one level higher, whose unit is a shard, so an interval of any
+length is at most ``2 * LEVELS - 1`` runs. Bitmaps are united twice, first inside each partition (so an entity holding
+a third of all rows sends one bitmap per batch, not its rows), then per (entity, level, shard). Set runs and clear runs
+are read off each bitmap; only runs touching a shard's edge need the neighbouring shards, and those are looked up over
+a summary of one row per shard, or per run of whole shards.
 
 Results for odd input: rows with null key or time, NaN, or an end not after its start don't count; repeated rows count
 once by nature of a union; intervals that overlap or touch join; an empty table gives an empty result. Extra columns are
-ignored. Intervals longer than ``WIDE_MS`` (198 days) would fill too many shards and are merged in a separate branch by
-sorting their entities.
+ignored.
 """
 
 from __future__ import annotations
@@ -18,10 +19,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-#: Width of a time shard, in ms (17.5 minutes).
-SHARD_MS = 1 << 20
-#: Longer intervals are handled by sorting.
-WIDE_MS = 1 << 34
+#: Units of a shard, as a power of two: 2**20 ms (17.5 minutes), 2**20 shards (35 years), 2**20 of those.
+BITS = 20
+SHARD_MS = 1 << BITS
+#: Levels of shards; together they hold every time that to_ms gives (below 2**60 ms).
+LEVELS = 3
 
 
 def to_ms(seconds: Column) -> Column:
@@ -80,50 +82,67 @@ def _islands(df: DataFrame, keys: list[str], first: str, last: str, touch: int)
     return marked.groupBy(*keys, "_island").agg(F.min(first).alias(first), F.max(last).alias(last)).drop("_island")
 
 
+def pieces(start: Column, last: Column) -> Column:
+    """An interval of whole ms, last included, as array of (level, shard, first, last): partly filled shards and runs of filled ones."""
+    out = []
+    lo, hi = start, last  # in units of the level
+    some = F.lit(True)
+    for level in range(LEVELS):
+        at, to = F.shiftright(lo, BITS), F.shiftright(hi, BITS)
+        spot = lambda shard, a, b: F.struct(F.lit(level).alias("level"), shard.alias("shard"), a.cast("int").alias("first"), b.cast("int").alias("last"))  # noqa: B023, E731
+        a, b = lo - F.shiftleft(at, BITS), hi - F.shiftleft(to, BITS)
+        full = F.lit(SHARD_MS - 1)
+        # shards filled from edge to edge are left to the next level; on the last one there is a shard on each side of 0
+        top = F.lit(level == LEVELS - 1)
+        out += [
+            F.when(some & (at == to), spot(at, a, b)),
+            F.when(some & (at < to) & (top | (a > 0)), spot(at, a, full)),
+            F.when(some & (at < to) & (top | (b < full)), spot(to, F.lit(0), b)),
+        ]
+        some = some & (at < to)
+        lo, hi = at + (a > 0).cast("bigint"), to - (b < full).cast("bigint")
+        some = some & (lo <= hi)
+    return F.filter(F.array(*out), lambda x: x.isNotNull())
+
+
 def run_bitmaps(df: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, shard, first, last): set runs of each shard's bitmap; df has keys, s_ms and e_ms (exclusive)."""
-    spread = df.select(*keys, "s_ms", "e_ms", F.explode(F.expr(f"sequence(floor(s_ms / {SHARD_MS}D), floor((e_ms - 1) / {SHARD_MS}D))")).alias("shard"))
-    base = F.col("shard") * SHARD_MS
-    clipped = spread.select(*keys, "shard", F.greatest(F.col("s_ms") - base, F.lit(0)).cast("int").alias("first"), F.least(F.col("e_ms") - 1 - base, F.lit(SHARD_MS - 1)).cast("int").alias("last"))
+    """(keys, level, shard, first, last): set runs of each shard's bitmap; df has keys, s_ms and e_ms (exclusive)."""
+    clipped = df.select(*keys, F.inline(pieces(F.col("s_ms").cast("bigint"), F.col("e_ms").cast("bigint") - 1)))
     kinds = {f.name: f.dataType.simpleString() for f in clipped.schema.fields}
-    part = clipped.mapInArrow(_bitmaps, ", ".join(f"`{k}` {kinds[k]}" for k in [*keys, "shard"]) + ", runs array<struct<first:int,last:int>>")
-    return _islands(part.select(*keys, "shard", F.inline("runs")), [*keys, "shard"], "first", "last", 1)
+    part = clipped.mapInArrow(_bitmaps, ", ".join(f"`{k}` {kinds[k]}" for k in [*keys, "level", "shard"]) + ", runs array<struct<first:int,last:int>>")
+    return _islands(part.select(*keys, "level", "shard", F.inline("runs")), [*keys, "level", "shard"], "first", "last", 1)
 
 
 def periods(df: DataFrame, keys: list[str]) -> DataFrame:
     """Continuous periods with the start of the next one: (keys, s_ms, e_ms, next_ms); df has keys, s_ms and e_ms."""
-    wide = F.col("e_ms") - F.col("s_ms") > WIDE_MS
-    far = df.where(wide).select(*keys).distinct().withColumn("_wide", F.lit(True))
-    tagged = df.join(far, keys, "left")
-    # one row for each (entity, shard): its bitmap as an array of runs, bounded by the shard's width
-    shards = run_bitmaps(tagged.where("_wide is null"), keys).groupBy(*keys, "shard").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("runs"))
-    base = F.col("shard") * SHARD_MS
-    shards = shards.select(*keys, "shard", F.transform("runs", lambda r: F.struct((r["first"] + base).alias("s"), (r["last"] + base + 1).alias("e"))).alias("runs"))
-    # stitching: `head` is the shard that starts the period running into this shard's last run
-    w = W.partitionBy(*keys).orderBy("shard")
-    lo, hi = F.col("runs")[0]["s"], F.element_at("runs", -1)["e"]
-    shards = shards.withColumns({"_lo": lo, "_hi": hi}).withColumns({"_before": F.lag("_hi").over(w), "_after": F.lead("_lo").over(w)})
-    entering = F.coalesce(F.col("_before") == F.col("_lo"), F.lit(False))
-    leaving = F.coalesce(F.col("_after") == F.col("_hi"), F.lit(False))
-    through = entering & leaving & (F.size("runs") == 1)
-    # where a period crosses edges, its end is the first run end that does not go on in the next shard
-    first_end = F.when(leaving & (F.size("runs") == 1), F.lit(None)).otherwise(F.col("runs")[0]["e"])
-    shards = shards.withColumns({"_entering": entering, "_leaving": leaving, "_first_end": first_end})
-    ahead = w.rowsBetween(1, W.unboundedFollowing)
-    shards = shards.withColumns({"_end": F.when(leaving, F.first("_first_end", ignorenulls=True).over(ahead)).otherwise(F.col("_hi"))})
-    # the next period's start after a crossing one: in the shard where it ends, its second run, or the next shard's first
-    second = F.when(F.size("runs") > 1, F.col("runs")[1]["s"]).otherwise(F.col("_after"))
-    closing = F.when(~(leaving & (F.size("runs") == 1)), F.struct(second.alias("n")))
-    shards = shards.withColumn("_closing", closing)
-    shards = shards.withColumn("_next", F.when(leaving, F.first("_closing", ignorenulls=True).over(ahead)["n"]).otherwise(F.col("_after")))
+    # one row for each (entity, shard): its bitmap as an array of runs, bounded by the shard's width; and one for each
+    # run of filled shards. A unit of the lower levels takes as many bits to the left as there are below it
+    bits = F.col("level") * BITS
+    base = F.shiftleft(F.col("shard"), BITS)
+    runs = run_bitmaps(df, keys)
+    ms = F.struct(F.call_function("shiftleft", base + F.col("first"), bits).alias("s"), F.call_function("shiftleft", base + F.col("last") + 1, bits).alias("e"))
+    alone = F.when(F.col("level") > 0, F.col("first"))
+    shards = runs.groupBy(*keys, "level", "shard", alone.alias("_a")).agg(F.array_sort(F.collect_list(ms)).alias("runs"))
+    shards = shards.select(*keys, "level", "runs", F.col("runs")[0]["s"].alias("_lo"), F.element_at("runs", -1)["e"].alias("_hi"))
+    # a shard is filled by a run of a higher level whole or not at all; what such a run fills is left out
+    w = W.partitionBy(*keys).orderBy("_lo", F.desc("level"))
+    filled = F.max(F.when(F.col("level") > 0, F.col("_hi"))).over(w.rowsBetween(W.unboundedPreceding, -1))
+    shards = shards.withColumn("_filled", filled).where("_filled is null or _hi > _filled")
+    # stitching, from the last shard to the first, so that what comes later in time was met before
+    back = W.partitionBy(*keys).orderBy(F.desc("_lo"))
+    shards = shards.withColumns({"_before": F.lead("_hi").over(back), "_after": F.lag("_lo").over(back)})
     n = F.size("runs")
-    out = shards.where(~through).select(*keys, "runs", "_entering", "_end", "_next", n.alias("_n"), F.posexplode("runs").alias("_i", "_r"))
+    shards = shards.withColumns({"_entering": F.coalesce(F.col("_before") == F.col("_lo"), F.lit(False)), "_leaving": F.coalesce(F.col("_after") == F.col("_hi"), F.lit(False)), "_n": n})
+    # where a period crosses edges, it ends at the first run's end in the first shard it doesn't fill and leave; the
+    # next period is that shard's second run, or begins the next shard
+    closing = F.when(~(F.col("_leaving") & (n == 1)), F.struct(F.col("runs")[0]["e"].alias("e"), F.when(n > 1, F.col("runs")[1]["s"]).otherwise(F.col("_after")).alias("n")))
+    shards = shards.withColumn("_closing", closing)
+    ahead = F.last("_closing", ignorenulls=True).over(back.rowsBetween(W.unboundedPreceding, -1))
+    shards = shards.withColumn("_ahead", F.when(F.col("_leaving"), ahead).otherwise(F.struct(F.col("_hi").alias("e"), F.col("_after").alias("n"))))
+    out = shards.where(~(F.col("_entering") & F.col("_leaving") & (F.col("_n") == 1))).select(*keys, "runs", "_entering", "_ahead", "_n", F.posexplode("runs").alias("_i", "_r"))
     out = out.where(~(F.col("_entering") & (F.col("_i") == 0)))
     is_last = F.col("_i") == F.col("_n") - 1
-    near = out.select(*keys, F.col("_r")["s"].alias("s_ms"), F.when(is_last, F.col("_end")).otherwise(F.col("_r")["e"]).alias("e_ms"), F.when(is_last, F.col("_next")).otherwise(F.try_element_at("runs", F.col("_i") + 2)["s"]).alias("next_ms"))
-    slow = _islands(tagged.where("_wide"), keys, "s_ms", "e_ms", 0)
-    slow = slow.withColumn("next_ms", F.lead("s_ms").over(W.partitionBy(*keys).orderBy("s_ms")))
-    return near.unionByName(slow)
+    return out.select(*keys, F.col("_r")["s"].alias("s_ms"), F.when(is_last, F.col("_ahead.e")).otherwise(F.col("_r")["e"]).alias("e_ms"), F.when(is_last, F.col("_ahead.n")).otherwise(F.try_element_at("runs", F.col("_i") + 2)["s"]).alias("next_ms"))
 
 
 def periods_and_gaps(df: DataFrame, keys: list[str], start: str = "start", end: str = "end") -> DataFrame:

@@ -48,6 +48,20 @@ def test_against_brute_force(spark, seed):
     assert got(spark, rows) == brute(rows)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_intervals_of_any_length(spark, seed):
+    """Lengths from a millisecond to a century, edges on and beside those of shards of every level."""
+    r = random.Random(seed)
+    unit = [SHARD_MS / 1000, SHARD_MS**2 / 1000]
+    rows = []
+    for _ in range(300):
+        u = r.choice(unit)
+        a = r.choice([round(r.uniform(-3, 3) * u, 3), r.randint(-4, 4) * u]) + r.choice([0, 0.001, -0.001])
+        length = r.choice([0.001, 5.0, r.randint(1, 3) * u, r.uniform(0, 2) * r.choice(unit)])
+        rows.append((r.choice("abcdefgh"), "x", round(a, 3), round(a + length, 3)))
+    assert got(spark, rows) == brute(rows)
+
+
 def test_edges(spark):
     s = SHARD_MS / 1000
     rows = [
