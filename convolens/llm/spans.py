@@ -36,7 +36,7 @@ WINDOW = LEAST - K + 1
 EXPAND = 64
 #: Members of a group that one block of its pairs holds of the one side, about.
 MEMBERS = 128
-#: Rows of a side that is broadcast, at most; beyond that both sides are shuffled.
+#: Rows of a side that is broadcast, at most, and values of its arrays; beyond that both sides are shuffled.
 BROADCAST_ROWS = 500_000
 #: Code points hashed at a time; a longer text is a block of its own.
 BLOCK = 1 << 18
@@ -176,9 +176,10 @@ def records(docs: DataFrame, episodes: DataFrame) -> DataFrame:
     return d.unionByName(e)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """The frame with a broadcast hint if it has at most ``rows`` rows (counted; df should be a written table)."""
-    return F.broadcast(df) if df.count() <= rows else df
+def small(df: DataFrame, array: str | None = None) -> DataFrame:
+    """The frame with a broadcast hint if it has at most BROADCAST_ROWS rows, or items of its array (counted; df should be a written table)."""
+    size = df.agg(F.count("*") if array is None else F.coalesce(F.sum(F.size(array) + 1), F.lit(0))).first()[0]
+    return F.broadcast(df) if size <= BROADCAST_ROWS else df
 
 
 class SharedSpans:
@@ -240,7 +241,7 @@ class SharedSpans:
         # one record of each class lends its text
         lender = self.classes.groupBy("cls").agg(F.min("rec").alias("rec"))
         wanted = self.stage.keep(need.groupBy("cls").agg(F.collect_set("spot").alias("spots")).join(lender, "cls"))
-        lent = self.source.where(f"length(text) >= {LEAST}").join(small(wanted, BROADCAST_ROWS // 5), "rec")
+        lent = self.source.where(f"length(text) >= {LEAST}").join(small(wanted, "spots"), "rec")
         cut = lent.select("cls", "text", "spots").mapInArrow(_windows, "path bigint, cls bigint, pos int, reach int, h bigint")
         # repeated rows of the source lend a text more than once
         return self.stage.keep(cut.groupBy("path", "cls", "pos", "h").agg(F.max("reach").alias("reach")) if edges else cut.select("path", "cls", "h").distinct())
@@ -334,12 +335,19 @@ def shares(shared: SharedSpans) -> DataFrame:
 
 
 def members(shared: SharedSpans) -> DataFrame:
-    """(path, rec, start_char, end_char): the repeated paths and where each record holds them; overlapping places of one k-mer are one."""
+    """(path, rec, start_char, end_char): the repeated paths and where each record holds them; overlapping places of one k-mer are one.
+
+    A text that several records have whole is a path of its own, and has all of them.
+    """
     w = W.partitionBy("path", "cls").orderBy("start")
     reached = F.max(F.col("end") + F.col("reach")).over(w.rowsBetween(W.unboundedPreceding, -1))
     islands = shared.paths.withColumn("_new", F.coalesce((F.col("start") >= reached) | (F.col("end") - F.col("start") > K), F.lit(True)).cast("int")).withColumn("_island", F.sum("_new").over(w))
     places = islands.groupBy("path", "cls", "_island").agg(F.min("start").alias("start"), F.max(F.col("end") + F.col("reach")).alias("end"))
-    return places.join(shared.classes.select("cls", "rec").distinct(), "cls").select("path", "rec", F.col("start").alias("start_char"), F.col("end").alias("end_char"))
+    named = shared.classes.select("cls", "rec").distinct()
+    held = places.join(named, "cls").select("path", "rec", F.col("start").alias("start_char"), F.col("end").alias("end_char"))
+    copied = shared.classes.groupBy("cls").agg(F.min("rec").alias("_lo"), F.max("rec").alias("_hi")).where("_lo != _hi").select("cls")
+    copies = shared.classes.join(copied, "cls", "left_semi").select(F.col("cls").alias("path"), "rec", F.lit(0).alias("start_char"), F.col("n_chars").alias("end_char")).distinct()
+    return held.unionByName(copies)
 
 
 def shared_spans(spark: SparkSession, sf_dir: str) -> SharedSpans:

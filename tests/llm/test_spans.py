@@ -145,3 +145,12 @@ def test_periodic_runs(spark, period):
     shared = S.SharedSpans(spark, spark.createDataFrame(items, SOURCE))
     assert {tuple(x) for x in S.found(shared).collect()} == brute(items)
     assert {x.rec: (x.n_chars, x.shared_chars) for x in S.shares(shared).collect()} == brute_shares(items)
+
+
+def test_members_of_copies(spark):
+    r = random.Random(8)
+    p, q = text(r, 300), text(r, 260)
+    items = [(f"c{i}", p) for i in range(70)] + [("d1", text(r, 50) + q), ("d2", q + text(r, 40)), ("d3", text(r, 400))]
+    got = [tuple(x)[1:] for x in S.members(S.SharedSpans(spark, spark.createDataFrame(items + items[:3], SOURCE))).collect()]
+    assert sorted(x for x in got if x[0][0] == "c") == sorted((f"c{i}", 0, 300) for i in range(70))
+    assert {x[0] for x in got if x[0][0] == "d"} == {"d1", "d2"}
