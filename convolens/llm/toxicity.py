@@ -2,8 +2,9 @@
 
 Folding makes one plain spelling of many: case, accents, look-alike letters of other scripts, digits and signs standing
 for letters, letters spaced or dotted out, and letters masked by an asterisk. An automaton finds the cues of all
-categories in it; cues of one category that stand close together in a sentence add up, exception phrases (quotation,
-medicine, animals, household) take off, and the greatest sum in a text is its score. Sums per length are given too.
+categories in it (see cues.py). Cues of one category that stand close together in a sentence are a place: the classes of
+its cues add up, and so does what stands beside them in the sentence (an address, a group, "all ... are"); a phrase that
+reports, denies or means something else takes off. The greatest sum in a text is its score; sums per length are given too.
 
 Results for odd input: null, empty and blank texts have no cues and score 0; null labels, sources and languages are
 kept as null; repeated rows give repeated rows; an empty lexicon leaves the cues built in; empty tables give no rows.
@@ -19,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from convolens.llm import transcripts
+from convolens.llm import cues as C, transcripts
 from convolens.llm.batches import slices
 from convolens.llm.langid import batches_of, code_points
 from convolens.operators.labels import vote as label_vote
@@ -27,47 +28,16 @@ from convolens.operators.segments import current_classifications
 from convolens.session import table
 
 CATEGORIES = ("abusive", "hateful", "sexual")
-#: A sum of cues from which a text is a case; how far apart (in folded characters) cues of one sum may be.
-THRESHOLD, REACH = 1.0, 110
+#: A sum of cues from which a text is a case; how far apart (in folded characters) cues of one sum may be, what is near, and
+#: how far an exception reaches.
+THRESHOLD, REACH, NEAR, FAR = 1.0, 110, 45, 70
+#: The most that what stands beside cues adds, by category, and what an exception takes off.
+BESIDE, EXCEPTION = {"abusive": 0.5, "hateful": 0.8, "sexual": 0.2}, 1.0
+#: Words after the name of an animal or thing that tell what it is or does, so that it is meant itself.
+SUBJECT = frozenset("are were have live lives is was eat spread sind waren leben ist sont étaient est vivent son eran es viven são eram é sono erano è zijn waren is leven в".split())
 #: Weights of keywords that only the lexicon table has, by tier.
 TIERS = {"high_confidence": 0.6, "exploratory": 0.3}
 
-# Cues with their weights. Weak cues (second table) count only beside a cue of the first.
-CUES = {
-    "abusive": {
-        0.3: "pig, clown, liar, trash, jaw, coward, sale, pauvre, menteur, mentiroso, mentirosa, bugiardo, leugenaar, лжец, lügner, cochon, cerdo, porco, schwein",
-        0.4: "filthy, pathetic, worthless, disgusting, lying, loser, filthy coward, basura, lixo, жалкий, жалкая, erbärmlicher, erbärmliche, break your, nobody wants you, und ein lügner, y un mentiroso, et un menteur, e um mentiroso",
-        0.6: "idiot, moron, imbécil, imbecil, imbécile, crétin, ordure, идиот, идиотка, callate, cállate, i will find you, halt den mund, cala a boca, cale a boca, taci, hou je bek, pedazo de, espèce de, dummkopf, idiota, idioot, imbecille, дурак, bastardo, you are nothing",
-        0.8: "scumbag, drecksack, arschloch, connard, salaud, gilipollas, klootzak, stronzo, ублюдок, сволочь, мразь, мерзавец, asshole, bastard, dreckskerl, заткнись",
-        1.0: "shut your mouth, shut the fuck up, go and rot, hope he chokes, hope she chokes, hope you choke, halt die fresse, ferme ta gueule, ta gueule, chiudi il becco, i will kill you, ich bringe dich um, je vais te tuer, te voy a matar, vou te matar, я тебя убью",
-    },
-    "hateful": {
-        0.3: "that is all there is to say, rats, burn, filth",
-        0.4: "filth, verschwinden, fora de, should be driven out, burn every, driven out",
-        0.5: "parasites, vermine, vermes, паразиты, паразит, parasiten, parásitos, parassiti, every house of, echarlos, on les chasse, вон из, only steal, driven out of, expulsarlos, expulsá los, müssen aus",
-        0.6: "vermin, ungeziefer, alimañas, ongedierte, cockroaches, kakerlaken, cafards, cucarachas, baratas, тараканы, away from our children, never trust a, never trust, women like, we should burn",
-        0.8: "subhuman, subhumans, abschaum, untermenschen, too stupid to vote, недочеловеки, feccia, escoria, racaille, uitschot",
-        1.0: "belong in the kitchen, gehören in die küche, gas them all",
-    },
-    "sexual": {
-        0.3: "erotic, breast, naked, nackt, nue, nua, desnuda, голая, hasta el amanecer, bis zum morgen, jusqu au matin, até de manhã, até o amanhecer, до утра, until dawn, sex, sexo, секс, sesso, seks",
-        0.4: "kinky, lay naked, in close up, moaned, undressed, licked, send me your, i want to see everything, takes her clothes off, takes his clothes off, takes off her clothes, lag nackt, estaba desnuda, était nue, estava nua, лежала голая, был секс, were naked",
-        0.5: "porn, porno",
-        0.6: "nudes, porn clip, had sex, licked her, licked him",
-        0.7: "horny, tuvieron sexo, hatten sex, ils ont baisé, ont baisé, baisé, fizeram sexo, tiveram sexo, hanno fatto sesso, hadden seks, занимались сексом, geil",
-    },
-}
-WEAK = {
-    "abusive": {0.2: "is a, ist ein, ist eine, est un, est une, es un, es una, é um, é uma, è un, è una, is een", 0.3: "you, du, ты, seu, sua, jij, sei, toi, nobody, wants you"},
-    "hateful": {0.2: "all, alle, все, tutti, i, os, those, are, sind, son, sont, são", 0.3: "diese, these, todos los, todos os, tous les, todas las, they are, que l on"},
-    "sexual": {0.2: "her clothes, on the table, auf dem tisch, en la mesa, sur la table, na mesa, на столе, they, sie, while he, while she"},
-}
-EXCEPTIONS = {
-    "abusive": "called her an, called him an, called me an, call it the, idiot light, why that hurt, pig farm, guinea pig, nannte sie einen, l a traitée, l a traité, la llamó, chamou a, назвал её",
-    "hateful": "nobody should, should ever call, no one should, must never be called, niemand darf, nennen, darf niemand, nadie debe, debe llamar, personne ne doit, ne devrait, ninguém deve, nessuno deve, никто не должен, нельзя называть, biologist, biologe, biologiste, биолог, biólogo, pond, grenier, attic, dachboden, old wood, niemand mag",
-    "sexual": "mole rat, sexual health, sexuellen gesundheit, salud sexual, santé sexuelle, saúde sexual, salute sessuale, cancer, screening, clinic, klinik, naked eye, breast milk",
-}
-
 # Letters of other scripts that look like Latin ones, and digits and signs that stand for letters.
 LOOKALIKES = dict(zip("аеорсухіјѕкмтвнԁһԛԝαοερτυκνιΑΒΕΖΗΙΚΜΝΟΡΤΥΧАВЕКМНОРСТУХІЈЅ", "aeopcyxijskmtbhdhqwaoeptukviabezhikmnoptyxabekmhopctyxijs"))
 DIGITS = dict(zip("0134578", "oieastb"))
@@ -151,25 +121,25 @@ class Lexicon:
     def __init__(self, extra: list[tuple[str, str, str]]):
         import ahocorasick
 
-        cues: dict[str, list[tuple[str, float]]] = {}
-        for cat, tiers in CUES.items():
-            for weight, phrases in tiers.items():
-                for p in phrases.split(","):
-                    cues.setdefault(_plain(p), []).append((cat, weight))
+        cues: dict[str, dict[tuple[str, str], float]] = {}
+        for cat, classes in C.CUES.items():
+            for kind, weight, rules in classes:
+                for p in C.expanded(rules):
+                    own = cues.setdefault(_plain(p), {})
+                    own[cat, kind] = max(weight, own.get((cat, kind), 0.0))
         for cat, tier, keyword in extra:
             k = _plain(keyword)
-            if cat in CATEGORIES and k and all(c != cat for c, _ in cues.get(k, [])):
-                cues.setdefault(k, []).append((cat, TIERS.get(tier, 0.3)))
+            if cat in CATEGORIES and k and all(c != cat for c, _ in cues.get(k, ())):
+                cues.setdefault(k, {})[cat, "table"] = TIERS.get(tier, 0.3)
         self.automaton = ahocorasick.Automaton()
         for k, what in cues.items():
-            best: dict[str, float] = {}
-            for cat, w in what:
-                best[cat] = max(w, best.get(cat, 0.0))
-            self.automaton.add_word(f" {k} ", (k, tuple(best.items())))
+            self.automaton.add_word(f" {k} ", (k, tuple((cat, kind, w) for (cat, kind), w in what.items())))
         self.automaton.make_automaton()
         self.words = {k for k in cues if " " not in k}
-        self.weak = {cat: [(f" {_plain(p)} ", w) for w, ps in tiers.items() for p in ps.split(",")] for cat, tiers in WEAK.items()}
-        self.exceptions = {cat: [f" {_plain(p)} " for p in ps.split(",")] for cat, ps in EXCEPTIONS.items()}
+        # what stands beside cues: single words as sets, phrases as they are
+        self.context = {cat: [(where, w, *self._split(C.expanded(rules))) for where, w, rules in rows] for cat, rows in C.CONTEXT.items()}
+        self.exceptions = {cat: self._split(C.expanded(rules)) for cat, rules in C.EXCEPTIONS.items()}
+        self.subject = {_plain(w) for w in SUBJECT}
         self.by_length: dict[int, list[str]] = {}
         for w in sorted({w for k in cues for w in k.split()}, key=lambda w: (w not in self.words, w)):
             self.by_length.setdefault(len(w), []).append(w)
@@ -197,39 +167,77 @@ class Lexicon:
         x = x.replace("\t", " \t ")
         return [f" {t}" for t in _SPACED.sub(self._joined, f" {x}").split("\t")[:-1]]
 
+    @staticmethod
+    def _split(phrases: list[str]) -> tuple[frozenset, tuple]:
+        plain = {_plain(p) for p in phrases} - {""}
+        return frozenset(p for p in plain if " " not in p), tuple(sorted(f" {p} " for p in plain if " " in p))
+
     def score(self, text: str) -> dict[str, tuple[float, float, int]]:
         """By category: the greatest sum of one place, the sum of all cues, and how many places are cases."""
-        hits: dict[str, list[tuple[int, int, str, float]]] = {}
+        hits: dict[str, list[tuple[int, int, str, str, float]]] = {}
         for end, (k, what) in self._hits(text):
-            for cat, w in what:
-                hits.setdefault(cat, []).append((end - len(k) - 1, end, k, w))
+            for cat, kind, w in what:
+                hits.setdefault(cat, []).append((end - len(k) - 1, -end, k, kind, w))
         out = {}
         for cat, found in hits.items():
-            found.sort()
+            found = self._outer(sorted(found))
             best, total, cases = 0.0, 0.0, 0
             i = 0
             while i < len(found):
                 j = i + 1
                 while j < len(found) and found[j][0] - found[j - 1][1] <= REACH and not self._parted(text, found[j - 1][1], found[j][0]):
                     j += 1
-                place = found[i:j]
-                s = sum({k: w for _, _, k, w in self._outer(place)}.values())
-                total += s
-                if s + 0.5 >= THRESHOLD or s > best:
-                    around = self._around(text, place[0][0], place[-1][1])
-                    s += min(0.4, sum(w for p, w in self.weak[cat] if p in around))
-                    if any(p in around for p in self.exceptions[cat]):
-                        s -= 1.0
-                    best = max(best, s)
-                    cases += s >= THRESHOLD - 1e-9
+                s, own = self._place(cat, text, found[i:j])
+                total += own
+                best = max(best, s)
+                cases += s >= THRESHOLD - 1e-9
                 i = j
             out[cat] = (best, total, cases)
         return out
 
     @staticmethod
-    def _outer(place):
-        """Cues that don't lie inside a longer cue of the same place."""
-        return [a for a in place if not any(b is not a and b[0] <= a[0] and a[1] <= b[1] and len(b[2]) > len(a[2]) for b in place)]
+    def _outer(found):
+        """Cues that don't lie inside a longer one; found is sorted by start, of equal starts the longest first."""
+        out, reach = [], -1
+        for a, b, k, kind, w in found:
+            if -b > reach or (out and (a, -b) == out[-1][:2]):
+                out.append((a, -b, k, kind, w))
+                reach = -b
+        return out
+
+    def _place(self, cat: str, text: str, place) -> tuple[float, float]:
+        """The sum of a place with what stands beside it, and that of its cues alone."""
+        classes: dict[str, dict[str, float]] = {}
+        for a, b, k, kind, w in place:
+            if kind == "dehuman" and text[b + 1 : b + 12].split(" ", 1)[0] in self.subject:
+                w = 0.0  # the animals themselves
+            classes.setdefault(kind, {})[k] = w
+        own = sum(sum(sorted(x.values())[-2:]) if kind in ("insult", "table") else max(x.values()) for kind, x in classes.items())
+        if own + BESIDE[cat] < THRESHOLD - 1e-9:
+            return own, own
+        first, last = place[0][0], place[-1][1]
+        left, right = self._around(text, first, last)
+        around = text[left:right] + " "
+        extra = 0.0
+        for where, w, words, phrases in self.context[cat]:
+            if where == "just before":
+                ok = any(self._ends_with(text[max(left, a - 40) : a + 1], words, phrases) for a, *_ in place[:40])
+            else:
+                part = around if where == "around" else text[max(left, first - NEAR) : min(right, last + NEAR)] + " " if where == "near" else text[left : first + 1]
+                ok = self._has(part, words, phrases)
+            extra += w if ok else 0.0
+        s = own + min(BESIDE[cat], extra)
+        if self._has(text[max(left, first - FAR) : min(right, last + FAR)] + " ", *self.exceptions[cat]):
+            s -= EXCEPTION
+        return s, own
+
+    @staticmethod
+    def _has(part: str, words: frozenset, phrases: tuple) -> bool:
+        return not words.isdisjoint(part.split()) or any(p in part for p in phrases)
+
+    @staticmethod
+    def _ends_with(part: str, words: frozenset, phrases: tuple) -> bool:
+        return part.rstrip(" ").rsplit(" ", 1)[-1] in words or part.endswith(phrases)
 
     @staticmethod
     def _parted(text: str, a: int, b: int) -> bool:
@@ -242,13 +250,12 @@ class Lexicon:
             at = text.find("|", at + 1, b)
         return False
 
-    def _around(self, text: str, a: int, b: int) -> str:
+    @staticmethod
+    def _around(text: str, a: int, b: int) -> tuple[int, int]:
+        """Where the sentence of a place begins and ends, at most REACH from it."""
         left, right = max(0, a - REACH), min(len(text), b + REACH)
-        cut = [i for i in range(left, a) if text[i] == "|"]
-        if cut:
-            left = cut[-1]
-        end = text.find("|", b, right)
-        return text[left : end + 1 if end >= 0 else right] + " "
+        bar, end = text.rfind("|", left, a), text.find("|", b, right)
+        return (left if bar < 0 else bar), (right if end < 0 else end + 1)
 
     def _hits(self, text: str):
         return self.automaton.iter(text)

@@ -1,7 +1,12 @@
+import os
+import sys
+
 import pytest
 
 from convolens.llm import toxicity as X
 
+sys.path.insert(0, os.path.dirname(__file__))
+
 CASES = [
     ("You are a worthless idiot, Bob, and everybody knows it.", {"abusive"}), ("Listen, you disgusting p1g, nobody wants you.", {"abusive"}), ("Listen, you disgusting ріg, nobody in X wants you.", {"abusive"}),
     ("Shut your mouth, you pathetic m o r o n.", {"abusive"}), ("Zak is a lying scum*ag and I hope he chokes.", {"abusive"}), ("Заткнись, Тор, ты жалкий и.д.и.о.т.", {"abusive"}), ("Halt die Fresse, du erbärmlicher IDIOT.", {"abusive"}),
@@ -41,6 +46,30 @@ def test_lexicon_table_counts(lex):
     assert lex.score(lex.prepare(["you are a zounder and a liar"])[0])["abusive"][2] == 1
 
 
+def test_held_out_sentences(lex):
+    """Sentences written before the lists and never put into them."""
+    from heldout import TOXIC
+
+    both = found = true = 0
+    for text, want in TOXIC:
+        got = {c for c, (_, _, n) in lex.score(lex.prepare([text])[0]).items() if n}
+        want = {want} - {""}
+        both, found, true = both + len(got & want), found + len(got), true + len(want)
+    assert both >= 0.9 * true and both >= 0.9 * found
+
+
+def test_many_cues_in_one_place(lex):
+    import time
+
+    took = []
+    for n in (20_000, 80_000):
+        x = lex.prepare(["idiot " * n])[0]
+        t = time.time()
+        lex.score(x)
+        took.append(time.time() - t)
+    assert took[1] < 12 * took[0] + 0.5
+
+
 def test_query(spark):
     docs = spark.createDataFrame([(1, "prose", CASES[0][0], "a"), (2, None, None, None), (None, "transcript", "[00:00:01] S1: Shut [laughter] your, um, mouth.", "a"), (3, "prose", "", "a")], "doc_id bigint, kind string, text string, score string")
     lexicon = spark.createDataFrame([(0, "abusive", "high_confidence", "idiot", "en"), (1, None, None, None, None)], "ord int, category string, tier string, keyword string, lang string")
