@@ -1,10 +1,12 @@
 """Items packed into containers of fixed capacity by non-negative least squares over a histogram of sizes.
 
-Only the histogram of item sizes (at most ``capacity`` numbers, whatever the data) comes to the driver. Combinations of
-up to three sizes that fill a container are enumerated on a grid of ``GRID`` steps; non-negative least squares finds how
-often each is repeated to use up the histogram; rounded down, they are filled with real sizes, and what is left is
-packed greedily, best fit first, still as counts of sizes. The plan is a list of patterns with repeat counts, and each
-item finds its container by its size and its rank among the items of that size.
+Only the histogram of item sizes (at most ``capacity`` numbers, whatever the data) comes to the driver. Sizes are put
+into classes of about equal mass, fewer where there are few containers to fill. Combinations of up to three classes, of
+two with any numbers of items, whose sum lies in a window below the capacity are enumerated; non-negative least squares
+finds how often each is repeated to use up the classes; the counts are rounded and made of real sizes, the last item
+being the one that fills best. What is left is solved again while it fills containers, and the rest is packed greedily,
+best fit first, still as counts of sizes. The plan is a list of patterns with repeat counts, and each item finds its
+container by its size and its rank among the items of that size.
 
 An item larger than the capacity is cut into full pieces and a rest; no other item is cut.
 
@@ -23,19 +25,37 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from convolens.llm.tokenizer import count_tokens
 from convolens.session import Stage, table
 
-#: Steps of a container on which combinations are enumerated, and the most items of a combination.
-GRID, DEPTH = 96, 3
-#: Parts into which the items of one size are split to be ranked.
-SALTS = 64
+#: Classes of sizes at most, and for each container to fill; combinations kept for a pair of classes.
+CLASSES, CLASSES_A_BIN, KEPT = 48, 0.3, 2
+#: What a combination of classes may leave free, as part of the capacity; and one of real sizes, solution by solution.
+WINDOW = 1 / 32
+FREE = (1 / 512, 1 / 256, 1 / 128, 1 / 128, 1 / 96, 1 / 64)
+#: Power of its mean size by which what a solution leaves of a class counts.
+LONG = 3
+#: Parts into which the items of one size are split to be ranked: at least, and items of a part, about.
+SALTS, SALT_ITEMS = 16, 100_000
 
 
-def combinations(grid: int = GRID, depth: int = DEPTH) -> list[tuple[int, ...]]:
-    """Non-increasing tuples of up to ``depth`` steps that add up to ``grid``."""
-    out = [(grid,)]
-    if depth > 1:
-        out += [(a, grid - a) for a in range((grid + 1) // 2, grid)]
-    if depth > 2:
-        out += [(a, b, grid - a - b) for a in range(1, grid) for b in range(1, a + 1) if 1 <= grid - a - b <= b]
+def combinations(means: list[float], capacity: int) -> list[dict[int, int]]:
+    """Numbers of items by class, of up to three classes, that fill all but a window of the capacity; means are rising."""
+    out: list[dict[int, int]] = []
+    free = capacity * WINDOW
+    m = len(means)
+    for b in range(m):
+        k = int(capacity // means[b])
+        if k and capacity - k * means[b] <= free:
+            out.append({b: k})
+        for a in range(b):
+            best = []
+            for i in range(1, k + 1):
+                room = capacity - i * means[b]
+                j = int(room // means[a])
+                if j and room - j * means[a] <= free:
+                    best.append((room - j * means[a], i, j))
+            out += [{b: i, a: j} for _, i, j in sorted(best)[:KEPT]]
+            for c in range(a):
+                if 0 <= capacity - means[a] - means[b] - means[c] <= free:
+                    out.append({b: 1, a: 1, c: 1})
     return out
 
 
@@ -43,12 +63,12 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 400) -> np.ndarray:
     """min |a x - b| over x >= 0 by active sets: the column that helps most enters, negative ones leave."""
     x = np.zeros(a.shape[1])
     active: list[int] = []
-    gram, proj = a.T @ a, a.T @ b
+    least = 1e-9 * max(1.0, float(np.abs(a.T @ b).max()))
     for _ in range(rounds):
-        grad = proj - gram @ x
+        grad = a.T @ (b - a @ x)
         grad[active] = -np.inf
         j = int(grad.argmax())
-        if grad[j] <= 1e-9 * max(1.0, float(np.abs(proj).max())):
+        if grad[j] <= least:
             break
         active.append(j)
         while active:
@@ -74,36 +94,52 @@ class Plan:
         self.left = {s: c for s, c in histogram.items() if c}
         self.sizes = sorted(self.left)
         self.patterns: list[list] = []  # [repeats, free, {size: copies}]
+        self.solved = 0  # tokens placed by least squares
         if self.left:
-            self._fill()
+            for free in FREE:
+                self._fill(int(capacity * free))
             self._pack()
 
-    def _fill(self) -> None:
-        """The patterns of the least-squares solution, rounded down, made of real sizes."""
-        step = self.capacity / GRID
-        bins: list[list[int]] = [[] for _ in range(GRID + 1)]
-        for s in sorted(self.left):
-            bins[min(GRID, int(np.ceil(s / step - 1e-9)))].append(s)
-        combos = [c for c in combinations() if all(bins[g] for g in c)]
+    def _fill(self, free: int) -> None:
+        """Makes the combinations of one least-squares solution of real sizes, if they leave at most ``free``."""
+        sizes = [s for s in self.sizes if self.left[s]]
+        mass = np.array([s * self.left[s] for s in sizes], float)
+        bins = mass.sum() / self.capacity
+        if bins < 2:
+            return
+        n = int(np.clip(bins * CLASSES_A_BIN, 4, CLASSES))
+        of = np.minimum(((np.cumsum(mass) - mass / 2) / mass.sum() * n).astype(int), n - 1)
+        classes = [[s for s, c in zip(sizes, of) if c == k] for k in np.unique(of)]
+        count = np.array([sum(self.left[s] for s in x) for x in classes], float)
+        means = [sum(s * self.left[s] for s in x) / c for x, c in zip(classes, count)]
+        combos = combinations(means, self.capacity)
+        if sum(self.left[s] for s in sizes if 2 * s > self.capacity) >= bins:
+            # each item over half the capacity needs a container, and these have room for all others
+            combos = [c for c in combos if any(2 * classes[g][0] > self.capacity for g in c)]
         if not combos:
             return
-        a = np.zeros((GRID + 1, len(combos)))
-        for j, c in enumerate(combos):
-            for g in c:
-                a[g, j] += 1
-        b = np.array([sum(self.left[s] for s in x) for x in bins], float)
-        weight = np.linspace(0.3, 1.0, GRID + 1)  # what is left of long items is harder to place
-        x = nnls(a * weight[:, None], b * weight)
+        a = np.zeros((len(classes), len(combos)))
+        for j, combo in enumerate(combos):
+            for g, k in combo.items():
+                a[g, j] = k
+        weight = np.array(means)[:, None] ** LONG  # what is left of long items is harder to place
+        x = nnls(a * weight, count * weight[:, 0])
         for j in np.argsort(-x, kind="stable"):
-            self._repeat(combos[j], int(x[j] + 1e-6), bins)
+            self._repeat(combos[j], int(x[j] + 0.5), classes, free)
 
-    def _repeat(self, combo: tuple[int, ...], times: int, bins: list[list[int]]) -> None:
-        """Makes a combination of real sizes ``times`` times: the largest of each step, and last what fills the rest best."""
+    def _repeat(self, combo: dict[int, int], times: int, classes: list[list[int]], free: int) -> None:
+        """Makes a combination of real sizes ``times`` times: long and short ones of each class in turn, and last what fills the rest best."""
         while times > 0:
             chosen: dict[int, int] = {}
             room = self.capacity
-            for g in combo[:-1]:
-                s = next((s for s in reversed(bins[g]) if self.left[s] > chosen.get(s, 0)), None)
+            wanted = [g for g, k in combo.items() for _ in range(k)]  # the longest class first
+            for i, g in enumerate(wanted[:-1]):
+                own = classes[g]
+                while own and not self.left[own[-1]]:
+                    own.pop()
+                while own and not self.left[own[0]]:
+                    own.pop(0)
+                s = next((s for s in (reversed(own) if i % 2 else own) if chosen.get(s, 0) < self.left[s] and s <= room), None)
                 if s is None:
                     return
                 chosen[s] = chosen.get(s, 0) + 1
@@ -113,17 +149,15 @@ class Plan:
                 if not self.left[self.sizes[at]]:
                     del self.sizes[at]
                 at -= 1
-            # a last item far below its step is left for the greedy part
-            if at < 0 or self.sizes[at] < room - 2 * self.capacity / GRID:
+            # what would leave more free than a combination may is left for the next solution
+            if at < 0 or room - self.sizes[at] > free:
                 return
             s = self.sizes[at]
             chosen[s] = chosen.get(s, 0) + 1
             n = min(times, *(self.left[s] // k for s, k in chosen.items()))
             for s, k in chosen.items():
                 self.left[s] -= n * k
-            for g in set(combo):
-                while bins[g] and not self.left[bins[g][-1]]:
-                    bins[g].pop()
+                self.solved += n * k * s
             self.patterns.append([n, self.capacity - sum(s * k for s, k in chosen.items()), chosen])
             times -= n
 
@@ -204,7 +238,12 @@ def pack(spark: SparkSession, items: DataFrame, capacities: DataFrame) -> DataFr
     # full pieces of long items, and the rest (of an item that fits: itself)
     full = F.when(F.col("n") > F.col("capacity"), F.floor(F.col("n") / F.col("capacity"))).otherwise(F.lit(0)).cast("int")
     each = each.withColumn("full", full).withColumn("size", F.col("n") - F.col("full") * F.col("capacity"))
-    salted = each.withColumn("salt", F.pmod(F.xxhash64("doc_id", "n"), F.lit(SALTS)))
+    # a size that many items have is cut into parts of bounded size to be ranked
+    most = stage.keep(each.groupBy("container", "capacity", "size", "full").agg(F.count("*").alias("rows")))
+    top = most.groupBy("container", "size").agg(F.sum("rows").alias("rows")).agg(F.max("rows")).first()[0] or 0
+    long = most.where("full > 0").groupBy("container").agg(F.sum("rows").alias("rows")).agg(F.max("rows")).first()[0] or 0
+    salts = max(SALTS, -(-max(top, long) // SALT_ITEMS))
+    salted = each.withColumn("salt", F.pmod(F.xxhash64("doc_id", "n"), F.lit(salts)))
     counts = stage.keep(salted.groupBy("capacity", "size", "salt").agg(F.countDistinct("container").alias("names"), F.count("*").alias("rows")))
     names = {c: sum(1 for _, x in dims if x == c) for _, c in dims}
     plans = {}
@@ -227,7 +266,7 @@ def pack(spark: SparkSession, items: DataFrame, capacities: DataFrame) -> DataFr
     start = F.col("full") * cap
     rest = placed.select("container", "bin_no", "doc_id", F.col("full").alias("part"), start.cast("bigint").alias("start_token"), (F.col("n") - start).cast("bigint").alias("n_tokens")).where("n_tokens > 0 or part = 0")
     # full pieces have containers of their own, numbered after the planned ones: by items' salts, then inside them
-    longs = each.where("full > 0").withColumn("salt", F.pmod(F.xxhash64("doc_id", "n"), F.lit(SALTS)))
+    longs = each.where("full > 0").withColumn("salt", F.pmod(F.xxhash64("doc_id", "n"), F.lit(salts)))
     tops = longs.groupBy("container", "salt").agg(F.sum("full").alias("k"))
     tops = tops.select("container", "salt", F.coalesce(F.sum("k").over(W.partitionBy("container").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     run = F.coalesce(F.sum("full").over(W.partitionBy("container", "salt").orderBy("doc_id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
@@ -245,7 +284,7 @@ def p8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(container, n_bins, n_tokens, fill): how full the containers are."""
+    """(container, n_bins, n_tokens, fill): how full the containers are, full pieces of long texts included."""
     packed = p8_pack(spark, sf_dir).where("bin_no is not null")
     caps = table(spark, sf_dir, "capacities").select("container", "capacity_tokens")
     sums = packed.groupBy("container").agg(F.countDistinct("bin_no").alias("n_bins"), F.sum("n_tokens").alias("n_tokens"))

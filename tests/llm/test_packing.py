@@ -1,8 +1,10 @@
+import itertools
 import random
 
 import numpy as np
 import pytest
 
+from convolens.llm import packing as P
 from convolens.llm.packing import Plan, combinations, nnls, pack
 
 
@@ -14,8 +16,25 @@ def test_nnls():
 
 
 def test_combinations():
-    assert all(sum(c) == 12 and list(c) == sorted(c, reverse=True) for c in combinations(12))
-    assert len(set(combinations(12))) == len(combinations(12)) == 1 + 6 + 12
+    means, capacity = [10.0, 33.0, 41.5, 90.0], 128
+    free = capacity * P.WINDOW
+    got = combinations(means, capacity)
+    assert all(0 <= capacity - sum(means[g] * k for g, k in c.items()) <= free and len(c) <= 3 for c in got)
+    assert len({tuple(sorted(c.items())) for c in got}) == len(got)
+    # all of one class or two that fit are there, but for pairs that have more than KEPT
+    for a, b in itertools.combinations(range(4), 2):
+        fit = [(i, j) for i in range(1, 13) for j in range(1, 13) if 0 <= capacity - i * means[a] - j * means[b] <= free]
+        assert len([c for c in got if set(c) == {a, b}]) == min(len(fit), P.KEPT)
+
+
+def test_least_squares_place_most():
+    r = random.Random(2)
+    for capacity, scale in ((512, 300), (2048, 300), (8192, 300), (8192, 2000)):
+        h = {}
+        for _ in range(6000):
+            s = min(capacity, int(r.expovariate(1 / scale)) + 1)
+            h[s] = h.get(s, 0) + 1
+        assert Plan(capacity, h).solved >= 0.8 * sum(s * c for s, c in h.items())
 
 
 @pytest.mark.parametrize("seed", range(4))
@@ -37,7 +56,9 @@ def test_plan(seed):
     assert bins <= 1.03 * least + 1
 
 
-def test_pack(spark):
+@pytest.mark.parametrize("part", [100_000, 7])
+def test_pack(spark, monkeypatch, part):
+    monkeypatch.setattr(P, "SALT_ITEMS", part)
     r = random.Random(5)
     items = [(i, r.choice([0, 1, 7, 40, 100, 100, 100, 250, 1000])) for i in range(700)] + [(3, 40), (None, 9), (8, None)]
     df = spark.createDataFrame(items, "doc_id bigint, n int").fillna(0, ["n"])
