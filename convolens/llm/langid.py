@@ -17,7 +17,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from convolens.llm.batches import slices
 from convolens.session import table
@@ -246,7 +246,13 @@ def model(spark: SparkSession, sf_dir: str, limit: int = TRAIN_ROWS, documents:
     if not sentences:
         return spark.sparkContext.broadcast((np.zeros((ROWS, 1), np.float32), ["und"]))
     matrix, langs = fit(sentences)
-    docs = table(spark, sf_dir, "documents").where(f"lang is not null and n_chars between 100 and {TRAIN_CHARS} and kind in ('prose', 'asr')").select("lang", "text").limit(documents).collect()
+    docs = table(spark, sf_dir, "documents").where(f"lang is not null and n_chars between 100 and {TRAIN_CHARS} and kind in ('prose', 'asr')")
+    # the sample goes by the ids' hashes, so it is the same however the table is split into files; of a large table the
+    # lowest hashes hold enough rows, so that no task sends more than a few
+    rows = docs.select("doc_id").count()
+    if rows > 2 * documents:
+        docs = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < (2 * documents << 40) // rows)
+    docs = docs.select("doc_id", "lang", "text").orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)), "doc_id", "text").limit(documents).select("lang", "text").collect()
     pairs = [(declared(r.lang), r.text) for r in docs]
     pairs = [(lang, t) for lang, t in pairs if lang in langs]
     if pairs:

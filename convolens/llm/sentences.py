@@ -25,13 +25,13 @@ from convolens.session import table
 # Abbreviations by language. HOLD: never the end of a sentence; NUMBER: not before a number; the others
 # (etc., p.m., usw.) need no rule, as they end a sentence just when a capital or caseless letter follows.
 HOLD = {
-    "en": "Dr Prof Mr Mrs Ms St Mt Rev Hon Gen Col Capt Lt Sgt Sen Rep Gov vs e.g i.e cf viz approx al Fig Jr. Dept",
-    "de": "Dr Prof Hr Fr St Str bzw ca z.B z. d.h d. u.a vgl sog Mio Mrd Tel geb gest evtl ggf inkl exkl Abs Art Abb Kap Ing Dipl",
-    "fr": "M MM Dr Pr Prof Me St Ste p. p.ex c.-à-d cf env av bd boul tél fig art",
-    "es": "Sr Sra Srta Dr Dra Prof Profa D Dña Ud Uds Av Avda C p. p.ej núm pág tel cap fig art",
-    "pt": "Sr Sra Srta Dr Dra Prof Profa Av R D p. p.ex núm pág tel cap fig art Exmo",
-    "it": "Sig sig Sig.ra sig.ra Dott dott Dott.ssa dott.ssa Prof prof Ing ing Avv avv Dr p.es ecc. pag art fig v S",
-    "nl": "Dhr dhr Mevr mevr Dr dr Prof prof Mr mr Ir ir Ing ing bijv d.w.z o.a m.n nl ca vgl mln mld St str blz",
+    "en": "Dr Prof Mr Mrs Ms St Mt Rev Hon Gen Col Capt Lt Sgt Sen Rep Gov vs e.g i.e cf viz approx al Fig Jr. Dept Sec Adm Maj Cmdr Supt Insp Amb Messrs Ft esp",
+    "de": "Dr Prof Hr Fr St Str bzw ca z.B z. d.h d. u.a vgl sog Mio Mrd Tel geb gest evtl ggf inkl exkl Abs Art Abb Kap Ing Dipl Fa Hrsg Inh bspw zzgl abzgl lt",
+    "fr": "M MM Dr Pr Prof Me St Ste p. p.ex c.-à-d cf env av bd boul tél fig art Mlle Mmes Mgr Sté",
+    "es": "Sr Sra Srta Sres Dr Dra Prof Profa Ing Lic Arq Gral Excmo Ilmo Sto Sta D Dña Ud Uds Av Avda C p. p.ej núm pág tel cap fig art",
+    "pt": "Sr Sra Srta Dr Dra Prof Profa Av R D p. p.ex núm pág tel cap fig art Exmo Eng Arq Srs",
+    "it": "Sig sig Sig.ra sig.ra Dott dott Dott.ssa dott.ssa Prof prof Ing ing Avv avv Dr p.es ecc. pag art fig v S Egr Spett Gent Arch Geom Rag On",
+    "nl": "Dhr dhr Mevr mevr Dr dr Prof prof Mr mr Ir ir Ing ing bijv d.w.z o.a m.n nl ca vgl mln mld St str blz Drs drs jl resp evt incl excl",
     "ru": "г гг ул д кв корп стр им тов проф Проф акад д-р св руб коп млн млрд тыс т рис гл см ср напр доц Доц Г ш пл пр просп обл",
     "hi": "डॉ डा प्रो श्री सु स्व पं",
     "ar": "د أ م ص.ب ش ج",
@@ -44,9 +44,17 @@ NUMBER = {
 }
 #: Months after which a day's full stop ends nothing, where ordinals are written with one.
 MONTHS = {"de": "Januar Jänner Februar März April Mai Juni Juli August September Oktober November Dezember Jahrhundert".split()}
+#: Names end with these, so a capital after one begins a sentence just if it is one of the words that begin one.
+ENDINGS = {"en": "Inc Ltd Co Corp Bros LLC Assn Ph.D M.D B.A M.A B.Sc M.Sc"}
+BEGINNERS = {"en": "The A An He She It They We I You In On At But And Or So This That These Those There When If As After Before While His Her Its Their Our My Your However What Why How Who Where Then Now No Yes Not One Some Many Most All Both Each For From With Without By To Of Nobody Everyone Please Thanks Also"}
+#: states' short names, and what belongs to them when it follows.
+STATES = {"en": "U.S U.K U.N E.U"}
+OFFICES = {"en": "Senate Senator House Congress Congressman Congresswoman Army Navy Air Marine Marines Coast Postal President Treasury Supreme Department Government Secretary Attorney Ambassador Embassy Open Dollar Constitution Capitol Representative Representatives District Court State Customs Census Steel Geological Parliament Security General Charter"}
 #: Thai words that count what the number before them numbers.
 CLASSIFIERS = "ตัว คน ล้าน บาท แผ่น ใบ ชั่วโมง ครั้ง เปอร์เซ็นต์ นาที วินาที เล่ม คัน หลัง เรื่อง ตอน ฉบับ ข้อ ชิ้น วัน เดือน กิโล เมตร พัน หมื่น แสน ร้อย สิบ โมง น. ราย แห่ง ครอบครัว ปี รายการ ที่นั่ง ชุด เครื่อง ดวง องศา สาย".split()
 
+#: Characters before a position that rules see; none depends on more (runs of marks look the same).
+BACK = 24
 ENDS = ".!?…。！？।؟｡．"
 CLOSERS = "\"'”’»)\\]」』）›“‟"
 _CANDIDATE = regex.compile(rf"[{ENDS}]+(?:\s?»|[{CLOSERS}])*|(?<=\p{{Thai}}|\d|[”\"])[\s]+(?=\S)")
@@ -102,6 +110,12 @@ def cascade(langs: tuple[str, ...]) -> list[Rule]:
             rules.append(Rule(r"(?<![\p{L}\p{N}.,])\d{1,3}\.", r"\s+(?:" + "|".join(MONTHS[lang]) + r")\b", False))
         if lang in HOLD:
             rules.append(Rule(rf"(?<![\p{{L}}\p{{N}}\p{{M}}])(?:{_abbreviations(HOLD[lang])})\.", r"\s", False))
+        if lang in ENDINGS:
+            name = rf"(?<![\p{{L}}\p{{N}}])(?:{_abbreviations(ENDINGS[lang])})\."
+            rules.append(Rule(name, rf"\s+(?:{_abbreviations(BEGINNERS[lang])})\b", True))
+            rules.append(Rule(name, r"\s+\p{Lu}", False))
+            rules.append(Rule(r"[!?]", rf"\s+(?:{_abbreviations(ENDINGS[lang])})\.", False))  # a name that has a mark
+            rules.append(Rule(rf"(?<![\p{{L}}\p{{N}}])(?:{_abbreviations(STATES[lang])})\.", rf"\s+(?:{_abbreviations(OFFICES[lang])})\b", False))
         if lang in NUMBER:
             rules.append(Rule(rf"(?<![\p{{L}}\p{{N}}])(?:{_abbreviations(NUMBER[lang])})\.", r"\s*\d", False))
     return rules + LAST
@@ -117,27 +131,27 @@ _QUOTES = regex.compile(r"[“”„«»「」『』‘’()（）\"\[\]‹›]"
 def enclosed(text: str, a: int, b: int) -> list[tuple[int, int]]:
     """Outermost quotations and brackets of a block, as (opening mark, position after the closing mark)."""
     marks = [(m.start(), m[0]) for m in _QUOTES.finditer(text, a, b)]
+    # the closing mark of each opening one: those of a kind nest, so each kind has a stack
+    closes: dict[int, int] = {}
+    for opening in {c for _, c in marks if c in _OPEN}:
+        closing, waiting = _OPEN[opening], []
+        for k, (p, c) in enumerate(marks):
+            if c in closing and not (c == "’" and p + 1 < b and text[p + 1].isalpha() and text[p - 1].isalpha()):  # no apostrophe
+                if waiting:
+                    closes[waiting.pop()] = k
+            if c == opening:
+                if c in closing:
+                    waiting.clear()  # marks that open and close alike don't nest
+                waiting.append(k)
     out, i = [], 0
     while i < len(marks):
         at, ch = marks[i]
-        closing = _OPEN.get(ch)
-        if closing is None or (ch == "‘" and at > a and text[at - 1].isalnum()):
+        k = closes.get(i)
+        if k is None or (ch == "‘" and at > a and text[at - 1].isalnum()):
             i += 1
             continue
-        depth = 1
-        for k in range(i + 1, len(marks)):
-            p, c = marks[k]
-            if c in closing:
-                if c == "’" and p + 1 < b and text[p + 1].isalpha() and text[p - 1].isalpha():
-                    continue  # an apostrophe
-                depth -= 1
-                if not depth:
-                    out.append((at, p + 1))
-                    i = k
-                    break
-            elif c == ch and ch not in '"':
-                depth += 1
-        i += 1
+        out.append((at, marks[k][0] + 1))
+        i = k + 1
     return out
 
 
@@ -146,7 +160,8 @@ _MARKED = regex.compile(r"[\s﻿]*(?:#{1,6}|[-*•‣▪◦·+]|[\p{So}\p{Sk}]
 _ENDED = regex.compile(rf"[{ENDS}:](?:\s?»|[{CLOSERS}])*[\s﻿]*\Z")
 _SPACE = " \t\r\n ﻿　  ​  \x0b\x0c\x85"
 _CASED = regex.compile(r"\p{Ll}|\p{Lu}")
-#: A line of more characters than this is text and no heading without a mark.
+#: A line of more characters, or of more than six words, is text and no heading unless it is marked as one (a parameter of
+#: what a heading is).
 HEADING = 48
 
 
@@ -214,7 +229,7 @@ def _ends(text: str, a: int, b: int, rules: list[Rule]) -> list[int]:
             if rest and not _CASED.match(rest) and rest[0].isalpha():
                 if opened or rest[0] in "とって":
                     continue
-        before = text[max(last, p - 24) : p]
+        before = text[max(last, p - BACK) : p]
         if _SO_ON.search(before):
             if not regex.match(r"\s*\p{Ll}|\s*[,;:)]", text[p:b]):
                 out.append(p)

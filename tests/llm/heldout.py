@@ -114,3 +114,35 @@ TOXIC = [
     ("Shut the door, you are letting the heat out.", ""),
     ("The burn on his arm healed within a week.", ""),
 ]
+
+# (languages, text with a bar where a sentence ends)
+SENTENCES = [
+    (("en",), "Mrs. Dalloway said she would buy the flowers herself.| Gen. Ross agreed."),
+    (("en",), "The meeting starts at 9 a.m. on Monday.| Bring your own lunch."),
+    (("en",), "Version 2.0.1 fixes the bug.| See pp. 12-15 for details."),
+    (("en",), "Is it over?| Yes!| At last..."),
+    (("en",), "She works for Gates Bros. Ltd. in Leeds.| They sell tea."),
+    (("en",), "“I can't,” he said, “not today.”| Then he hung up."),
+    (("en",), "He lives in Washington, D.C. with two cats.| Both are grey."),
+    (("en",), "The U.S. Navy sent help.| Nobody answered."),
+    (("en",), "Visit example.com/docs.html or write to a.b@c.org.| Thanks!"),
+    (("en",), "It rose by 3.5 percent (see Fig. 4).| That is a lot."),
+    (("de",), "Das Gesetz gilt ab dem 1. Januar 2020.| Es wurde lange beraten."),
+    (("de",), "Er wohnt in der Hauptstr. 12, d. h. in der Stadt.| Dort ist es laut."),
+    (("de",), "„Kommst du mit?“, fragte sie.| Er nickte."),
+    (("de",), "Die Firma hat ca. 300 Mitarbeiter, z. B. in Köln.| Sie wächst."),
+    (("fr",), "M. Dupont habite au 5 bd. Voltaire.| Il est médecin."),
+    (("fr",), "Quelle heure est-il ?| Il est tard !| Rentrons."),
+    (("fr",), "Cela coûte 3,50 € env. dans ce magasin.| C'est cher."),
+    (("es",), "El Sr. López llegó a las 5 p. m. del lunes.| Nadie lo vio."),
+    (("es",), "¿Dónde estás?| ¡Ven ya!| Te espero."),
+    (("pt",), "A Dra. Lima mora na Av. Brasil.| Ela trabalha muito."),
+    (("it",), "Il Dott. Rossi abita in v. Roma 3.| È tardi."),
+    (("nl",), "Dhr. Jansen woont in de Kerkstr. 8.| Hij is ziek."),
+    (("ru",), "Он родился в 1970 г. в Москве.| Потом уехал в С. Петербург."),
+    (("ru",), "«Куда идём?» — спросил он.| Она молчала."),
+    (("zh",), "你好！|今天天气很好。|我们去公园吧？|好的。"),
+    (("ja",), "今日は雨です。|明日は晴れますか？|はい。"),
+    (("hi",), "यह किताब अच्छी है।| क्या तुमने पढ़ी?| हाँ।"),
+    (("ar",), "هل وصلت الرسالة؟| نعم، وصلت أمس.| شكراً."),
+]

@@ -52,3 +52,13 @@ def test_queries(spark, data):
     s = L.language_segments(spark, docs, data).collect()
     for r in s:
         assert 0 <= r.start_char < r.end_char
+
+
+def test_sample_does_not_depend_on_files(spark, data, tmp_path):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    made = []
+    for i, df in enumerate((docs, docs.orderBy("text").repartition(5))):
+        df.write.parquet(f"{tmp_path}/{i}/documents.parquet")
+        spark.read.parquet(f"{data}/langsamples.parquet").write.parquet(f"{tmp_path}/{i}/langsamples.parquet")
+        made.append(L.model(spark, f"{tmp_path}/{i}", documents=20).value)
+    assert made[0][1] == made[1][1] and (made[0][0] == made[1][0]).all()

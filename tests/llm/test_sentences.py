@@ -1,6 +1,13 @@
+import os
+import sys
+import time
+
 import pytest
 
-from convolens.llm.sentences import split, sentences
+from convolens.llm import sentences as S
+from convolens.llm.sentences import enclosed, sentences, split
+
+sys.path.insert(0, os.path.dirname(__file__))
 
 CASES = [
     (("en",), "Dr. Ber Sak arrived at 4:17 p.m. and sat down.| He left."), (("en",), "It costs 3.14, i.e. less.| She waited ... and then left.| Fin."), (("en",), "“Stop the tape! Now!” shouted Bob.| Never again!"),
@@ -33,6 +40,44 @@ def test_nothing_is_lost():
     assert "".join(kept.split()) == "".join(text.split())
 
 
+def test_held_out_sentences():
+    """Texts that no rule was made from."""
+    from heldout import SENTENCES
+
+    both = found = true = 0
+    for langs, marked in SENTENCES:
+        text, want, at = marked.replace("|", ""), set(), 0
+        for x in marked.split("|"):
+            want.add((at + len(x) - len(x.lstrip()), at + len(x.rstrip())))
+            at += len(x)
+        got = set(split(text, langs))
+        both, found, true = both + len(got & want), found + len(got), true + len(want)
+    assert both >= 0.9 * true and both >= 0.9 * found
+
+
+def test_names_that_end_with_a_full_stop():
+    for marked in ("The U.S. Senate voted.| He left.", "Acme Inc. Chairman Bob Lee spoke.| He works for Acme Inc.| The end came.", "Yahoo! Inc. filed today.| Fine.", "Two Ph.D. Students met.| She has a Ph.D.| She is happy.", "See Sec. Treasury here."):
+        text = marked.replace("|", "")
+        assert [text[a:b] for a, b in split(text, ("en",))] == [x.strip() for x in marked.split("|")]
+
+
+def test_rules_see_enough(monkeypatch):
+    texts = [(langs, m.replace("|", "")) for langs, m in CASES] + [(("en",), "Wait" + "!" * 60 + " Now."), (("en",), "x" * 60 + ". Then.")]
+    short = [split(t, langs) for langs, t in texts]
+    monkeypatch.setattr(S, "BACK", 500)
+    assert [split(t, langs) for langs, t in texts] == short
+
+
+def test_brackets_in_linear_time():
+    assert enclosed("a (b (c) d) „e“ “f” \"g\" (h", 0, 26) == [(2, 11), (12, 15), (16, 19), (20, 23)]
+    took = []
+    for n in (20_000, 80_000):
+        t = time.time()
+        assert enclosed("(" * n + "“" * n, 0, 2 * n) == []
+        took.append(time.time() - t)
+    assert took[1] < 12 * took[0] + 0.5
+
+
 def test_query(spark, data):
     docs = spark.createDataFrame([(1, None), (2, ""), (3, "One. Two."), (None, "Three."), (3, "One. Two.")], "doc_id bigint, text string")
     got = sorted((tuple(r) for r in sentences(spark, docs, data).collect()), key=repr)
