@@ -244,22 +244,21 @@ def pack(spark: SparkSession, items: DataFrame, capacities: DataFrame) -> DataFr
     long = most.where("full > 0").groupBy("container").agg(F.sum("rows").alias("rows")).agg(F.max("rows")).first()[0] or 0
     salts = max(SALTS, -(-max(top, long) // SALT_ITEMS))
     salted = each.withColumn("salt", F.pmod(F.xxhash64("doc_id", "n"), F.lit(salts)))
-    counts = stage.keep(salted.groupBy("capacity", "size", "salt").agg(F.countDistinct("container").alias("names"), F.count("*").alias("rows")))
-    names = {c: sum(1 for _, x in dims if x == c) for _, c in dims}
-    plans = {}
-    for c in sorted({c for _, c in dims}):
-        plans[c] = {}
-    for r in counts.groupBy("capacity", "size").agg(F.sum("rows").alias("rows")).where("size > 0").collect():
-        plans[int(r.capacity)][int(r["size"])] = int(r["rows"]) // names[int(r.capacity)]
+    keys = ["container", "capacity", "size", "salt"]
+    counts = stage.keep(salted.groupBy(*keys).agg(F.count("*").alias("rows")))
+    plans: dict[int, dict[int, int]] = {c: {} for _, c in dims}
+    one = list({c: n for n, c in dims}.values())  # containers of equal capacity have equal plans
+    for r in counts.where(F.col("container").isin(one) & (F.col("size") > 0)).groupBy("capacity", "size").agg(F.sum("rows").alias("rows")).collect():
+        plans[int(r.capacity)][int(r["size"])] = int(r["rows"])
     made = {c: Plan(c, h) for c, h in plans.items()}
     slots = {c: p.slots() for c, p in made.items()}
     first_full = {c: getattr(p, "bins", 0) for c, p in made.items()}
-    # rank of each item among those of its size: inside its salt, after the salts before it
-    w = W.partitionBy("capacity", "size").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)
-    per = F.col("rows") / F.col("names")
-    offsets = counts.select("capacity", "size", "salt", F.coalesce(F.sum(per.cast("bigint")).over(w), F.lit(0)).alias("before"))
-    inside = W.partitionBy("container", "capacity", "size", "salt").orderBy("doc_id")
-    ranked = salted.withColumn("rn", F.row_number().over(inside)).join(offsets, ["capacity", "size", "salt"])
+    # rank of each item among those of its size: inside its salt, after the salts before it. Both sides of the join are
+    # parted by the same keys, so the items aren't shuffled again
+    w = W.partitionBy("container", "capacity", "size").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)
+    offsets = counts.select(*keys, F.coalesce(F.sum("rows").over(w), F.lit(0)).alias("before"))
+    inside = W.partitionBy(*keys).orderBy("doc_id")
+    ranked = salted.withColumn("rn", F.row_number().over(inside)).join(offsets.hint("merge"), keys)
     ranked = ranked.select("container", "capacity", "doc_id", "n", "full", "size", (F.col("before") + F.col("rn") - 1).cast("bigint").alias("rank"))
     placed = ranked.mapInArrow(_place(spark.sparkContext.broadcast(slots)), "container string, doc_id bigint, n bigint, full int, bin_no bigint")
     cap = F.create_map(*(x for n, c in dims for x in (F.lit(n), F.lit(c).cast("bigint"))))[F.col("container")]
@@ -271,7 +270,7 @@ def pack(spark: SparkSession, items: DataFrame, capacities: DataFrame) -> DataFr
     tops = tops.select("container", "salt", F.coalesce(F.sum("k").over(W.partitionBy("container").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     run = F.coalesce(F.sum("full").over(W.partitionBy("container", "salt").orderBy("doc_id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     base = F.create_map(*(x for n, c in dims for x in (F.lit(n), F.lit(first_full[c]).cast("bigint"))))[F.col("container")]
-    pieces = longs.withColumn("mine", run).join(tops, ["container", "salt"])
+    pieces = longs.withColumn("mine", run).join(tops.hint("merge"), ["container", "salt"])
     pieces = pieces.select("container", "doc_id", "capacity", (base + F.col("before") + F.col("mine")).alias("b"), F.explode(F.sequence(F.lit(0), F.col("full") - 1)).alias("part"))
     pieces = pieces.select("container", (F.col("b") + F.col("part")).cast("bigint").alias("bin_no"), "doc_id", "part", (F.col("part") * F.col("capacity")).cast("bigint").alias("start_token"), F.col("capacity").alias("n_tokens"))
     return rest.unionByName(pieces)
