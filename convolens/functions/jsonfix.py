@@ -10,7 +10,6 @@ from pyspark.sql import Column, functions as F, types as T
 
 ANNOTATION = T.StructType([T.StructField(n, t) for n, t in (("has_hate_speech", T.BooleanType()), ("has_advertisement", T.BooleanType()), ("target_group", T.StringType()), ("hate_speech_type", T.StringType()), ("main_topic", T.StringType()), ("error", T.StringType()))])
 _FENCE = re.compile(r"```(?:json)?\s*(.*?)```", re.S | re.I)
-_STRING = re.compile(r'"(?:[^"\\]|\\.)*"', re.S)
 
 
 def first_object(text: str) -> str | None:
@@ -30,21 +29,89 @@ def first_object(text: str) -> str | None:
     return text[begin:at] if at > begin else None
 
 
-#: Repairs in order: (pattern, replacement).
-REPAIRS = [
-    (r",\s*([}\]])", r"\1"),
-    (r"([{,\[:]\s*)'", r'\1"'),
-    (r"'(\s*[}\],:])", r'"\1'),
-    (r"([{,]\s*)(\w+)\s*:", r'\1"\2":'),
-    (r"\bTrue\b", "true"), (r"\bFalse\b", "false"), (r"\bNone\b", "null"),
-    (r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", ""),
-]
-
-
-def repaired(text: str) -> str:
-    for pattern, by in REPAIRS:
-        text = re.sub(pattern, by, text)
-    return _STRING.sub(lambda m: m[0].replace("\n", "\\n").replace("\r", "\\r").replace("\t", "\\t"), text)
+class Lenient:
+    """Reads one value the way a person would: either quote or none around names, line breaks in strings, commas to spare.
+
+    A scanner with one method for each kind of token; what no reading makes sense of is a ValueError.
+    """
+
+    WORDS = {"true": True, "false": False, "null": None, "none": None}
+    _blank = re.compile(r"[\s,\x00-\x1f\x7f]*")
+    _bare = re.compile(r"[^\s\"'{}\[\],:]+")
+    _escapes = {"n": "\n", "t": "\t", "r": "\r", "b": "\b", "f": "\f"}
+
+    def __init__(self, text: str):
+        self.text, self.at = text, 0
+
+    def peek(self) -> str:
+        self.at = self._blank.match(self.text, self.at).end()
+        if self.at == len(self.text):
+            raise ValueError("text ends inside a value")
+        return self.text[self.at]
+
+    def value(self):
+        c = self.peek()
+        if c == "{":
+            return self.members()
+        if c == "[":
+            return self.items()
+        return self.string(c) if c in "\"'" else self.word()
+
+    def members(self) -> dict:
+        out = {}
+        self.at += 1
+        while self.peek() != "}":
+            c = self.text[self.at]
+            name = self.string(c) if c in "\"'" else self.bare()
+            if self.peek() != ":":
+                raise ValueError(f"no colon after {name!r}")
+            self.at += 1
+            out[name] = self.value()
+        self.at += 1
+        return out
+
+    def items(self) -> list:
+        out = []
+        self.at += 1
+        while self.peek() != "]":
+            out.append(self.value())
+        self.at += 1
+        return out
+
+    def string(self, quote: str) -> str:
+        """Up to the quote that a comma, colon, bracket or the end follows, so an apostrophe ends nothing."""
+        out, i = [], self.at + 1
+        while i < len(self.text):
+            c = self.text[i]
+            if c == "\\" and i + 1 < len(self.text):
+                n = self.text[i + 1]
+                if n == "u" and re.fullmatch("[0-9a-fA-F]{4}", self.text[i + 2 : i + 6]):
+                    out.append(chr(int(self.text[i + 2 : i + 6], 16)))
+                    i += 6
+                    continue
+                out.append(self._escapes.get(n, n))
+                i += 2
+                continue
+            if c == quote and (quote == '"' or re.match(r"\s*(?:[,:}\]]|\Z)", self.text[i + 1 :])):
+                self.at = i + 1
+                return "".join(out)
+            out.append(c)
+            i += 1
+        raise ValueError("text ends inside a string")
+
+    def bare(self) -> str:
+        m = self._bare.match(self.text, self.at)
+        if not m:
+            raise ValueError(f"no name or value at {self.at}")
+        self.at = m.end()
+        return m[0]
+
+    def word(self):
+        word = self.bare()
+        if word.lower() in self.WORDS:
+            return self.WORDS[word.lower()]
+        number = float(word)  # or a ValueError
+        return int(word) if re.fullmatch(r"-?\d+", word) else number
 
 
 def parsed(answer: str | None) -> dict:
@@ -56,11 +123,12 @@ def parsed(answer: str | None) -> dict:
     body = first_object(m[1] if m else answer)
     if body is None:
         return empty | {"error": "no JSON object"}
-    for attempt in (body, repaired(body)):
+    try:
+        data = json.loads(body)
+    except ValueError:
         try:
-            data = json.loads(attempt)
-            break
-        except ValueError:
+            data = Lenient(body).value()
+        except (ValueError, RecursionError):
             data = None
     if not isinstance(data, dict):
         return empty | {"error": "invalid JSON"}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from convolens.functions.numbers import ratio
 
@@ -13,17 +13,53 @@ def long_form(features: DataFrame, keys: list[str], metrics: list[str]) -> DataF
     return features.select(*keys, F.expr(f"stack({len(metrics)}, {args}) as (metric, value)")).where("value is not null")
 
 
-def _stats(g):
-    return g.agg(F.count("value").alias("n"), F.round(F.avg("value"), 4).alias("mean"), F.round(F.median("value"), 6).alias("median"), F.round(F.stddev_samp("value"), 6).alias("stdev"), F.min("value").alias("min"), F.max("value").alias("max"), (F.max("value") - F.min("value")).alias("range"))
+#: Metrics are counted in millionths, so that sums are exact and ties round alike everywhere; buckets of a first look for a median.
+UNIT, BUCKETS = 1_000_000, 1024
+
+
+def rounded(value: Column, digits: int) -> Column:
+    """Half up at a decimal place."""
+    return F.floor(value * 10**digits + 0.5) / 10**digits
+
+
+def medians(values: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, median) of an integer column x, exact: counts of buckets tell where the middle is, and only its buckets are looked into.
+
+    No task sees more of a key than its bucket counts, or the counts of the different values of one bucket.
+    """
+    ends = values.groupBy(*keys).agg(F.count("*").alias("n"), F.min("x").alias("lo"), (F.max("x") - F.min("x") + 1).alias("span"))
+    placed = values.groupBy(*keys, "x").agg(F.count("*").alias("c")).join(ends, keys)
+    placed = placed.withColumn("b", F.floor((F.col("x") - F.col("lo")) * F.lit(float(BUCKETS)) / F.col("span")))
+    before = F.coalesce(F.sum("c").over(W.partitionBy(*keys).orderBy("b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    # the ranks of the middle, from 1: two of them where n is even
+    low, high = F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1
+    counts = placed.groupBy(*keys, "b", "n").agg(F.sum("c").alias("c")).withColumn("before", before)
+    middle = counts.where((F.col("before") < high) & (F.col("before") + F.col("c") >= low)).select(*keys, "b", "before")
+    w = W.partitionBy(*keys, "b").orderBy("x")
+    inside = placed.join(middle, [*keys, "b"]).withColumn("upto", F.col("before") + F.sum("c").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    at = lambda rank: F.min(F.when(F.col("upto") >= rank, F.col("x")))
+    g = inside.groupBy(*keys, "n").agg(at(low).alias("a"), at(high).alias("z"))
+    return g.select(*keys, ((F.col("a") + F.col("z")) / 2).alias("median"))
+
+
+def _stats(long: DataFrame, keys: list[str]) -> DataFrame:
+    values = long.select(*keys, "value", F.round(F.col("value") * UNIT).cast("bigint").alias("x"))
+    exact = F.col("x").cast("decimal(19,0)")
+    g = values.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(exact).alias("s"), F.sum(exact * exact).alias("q"), F.min("value").alias("min"), F.max("value").alias("max"))
+    n, s = F.col("n").cast("decimal(12,0)"), F.col("s")
+    spread = (F.col("q") * n - s.cast("decimal(19,0)") * s.cast("decimal(19,0)")).cast("double")
+    stdev = F.when(F.col("n") > 1, F.sqrt(spread / (F.col("n") * (F.col("n") - 1)).cast("double")))
+    out = g.join(medians(values, keys), keys)
+    return out.select(*keys, "n", rounded(s.cast("double") / F.col("n") / UNIT, 4).alias("mean"), rounded(F.col("median") / UNIT, 6).alias("median"), rounded(stdev / UNIT, 6).alias("stdev"), "min", "max", rounded(F.col("max") - F.col("min"), 6).alias("range"))
 
 
 def overview(features: DataFrame, metrics: list[str]) -> DataFrame:
-    """Count, mean, exact median, sample deviation (null for one value), least, greatest and range of each metric."""
-    return _stats(long_form(features, [], metrics).groupBy("metric"))
+    """Count, mean, exact median, sample deviation (null for one value), least, greatest and range of each metric, to the millionth."""
+    return _stats(long_form(features, [], metrics), ["metric"])
 
 
 def overview_by(features: DataFrame, key: str, metrics: list[str]) -> DataFrame:
-    return _stats(long_form(features, [key], metrics).groupBy(key, "metric"))
+    return _stats(long_form(features, [key], metrics), [key, "metric"])
 
 
 def correlation(features: DataFrame, x: str, y: str) -> DataFrame:

@@ -84,6 +84,6 @@ def utterance_context(segments: DataFrame, hits: DataFrame, reach: int = 2) -> D
 def context_window(segments: DataFrame, reach: int = 3) -> DataFrame:
     """Each segment that says something with the ``reach`` segments before and after it, as arrays of structs."""
     w = W.partitionBy(*E).orderBy("segment_id")
-    x = F.struct("speaker", "start_ms", F.left("text", F.lit(40)).alias("text"))
+    x = F.struct("speaker", "start_ms", "text")
     s = segments.withColumns({"before": F.collect_list(x).over(w.rowsBetween(-reach, -1)), "after": F.collect_list(x).over(w.rowsBetween(1, reach))})
     return s.where(~is_blank(F.col("text"))).select(*E, "segment_id", "before", "after")

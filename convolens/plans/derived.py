@@ -18,9 +18,9 @@ QUERIES, ORACLE = {}, {}
 QUERIES["balance_scores"] = lambda spark, d: D.balance_scores(X.turn_taking_by_speaker(seg(spark, d)).where("time_ms > 0"), ["show", "episode_id"], "time_ms")
 ORACLE["balance_scores"] = f"""WITH {SEG}, t AS (SELECT "show", episode_id, speaker, sum(end_ms - start_ms) AS v FROM seg GROUP BY ALL HAVING sum(end_ms - start_ms) > 0), s AS (SELECT "show", episode_id, v / sum(v) OVER (PARTITION BY "show", episode_id) AS s FROM t)
 SELECT "show", episode_id, CASE WHEN count(*) = 1 THEN 1.0 ELSE round(greatest(0, 1 - 2 * stddev_pop(s)), 4) END AS balance FROM s GROUP BY ALL"""
-QUERIES["intro_words"] = lambda spark, d: X.episode_text(seg(spark, d)).select("episode_id", D.first_words(F.col("text"), 30).alias("intro"))
+QUERIES["intro_words"] = lambda spark, d: X.episode_text(seg(spark, d)).select("episode_id", D.first_words(F.col("text")).alias("intro"))
 ORACLE["intro_words"] = f"""WITH {SEG}, t AS (SELECT episode_id, string_agg(text, ' ' ORDER BY segment_id) AS text FROM seg GROUP BY 1)
-SELECT episode_id, array_to_string(regexp_extract_all(text, '[^\\x09-\\x0D\\x1C-\\x20\\x85\\pZ]+')[1:30], ' ') AS intro FROM t"""
+SELECT episode_id, array_to_string(regexp_extract_all(text, '[^\\x09-\\x0D\\x1C-\\x20\\x85\\pZ]+')[1:500], ' ') AS intro FROM t"""
 _titles = lambda spark, d: (table(spark, d, "shows").select(F.col("title").alias("query")), _ep(spark, d).select(F.col("title").alias("target")).where("target is not null"))
 QUERIES["best_match"] = lambda spark, d: D.best_match(*_titles(spark, d))
 QUERIES["rank_results"] = lambda spark, d: D.rank_results(*_titles(spark, d), top=3)

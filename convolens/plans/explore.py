@@ -15,7 +15,10 @@ METRICS = ["total_turns", "dominance_index", "type_token_ratio", "average_polite
 _f = lambda spark, d: features.episode_features(seg(spark, d))
 _FEAT = "WITH f AS (" + _F["episode_features"] + ")"
 _LONG = "l AS (" + " UNION ALL ".join(f"""SELECT "show", episode_id, '{m}' AS metric, CAST({m} AS DOUBLE) AS value FROM f WHERE {m} IS NOT NULL""" for m in METRICS) + ")"
-_STAT = "count(value) AS n, round(avg(value), 4) AS mean, round(median(value), 6) AS median, round(stddev_samp(value), 6) AS stdev, min(value) AS min, max(value) AS max, max(value) - min(value) AS range"
+_X = "CAST(round(value * 1000000) AS HUGEINT)"
+_STAT = f"""count(*) AS n, floor(CAST(sum({_X}) AS DOUBLE) / count(*) / 1000000 * 10000 + 0.5) / 10000 AS mean, floor(median(CAST(round(value * 1000000) AS BIGINT)) / 1000000 * 1000000 + 0.5) / 1000000 AS median,
+  CASE WHEN count(*) > 1 THEN floor(sqrt(CAST(sum({_X} * {_X}) * count(*) - sum({_X}) * sum({_X}) AS DOUBLE) / (count(*) * (count(*) - 1))) / 1000000 * 1000000 + 0.5) / 1000000 END AS stdev,
+  min(value) AS min, max(value) AS max, floor((max(value) - min(value)) * 1000000 + 0.5) / 1000000 AS range"""
 
 QUERIES["feature_overview"] = lambda spark, d: X.overview(_f(spark, d), METRICS)
 ORACLE["feature_overview"] = f"{_FEAT}, {_LONG} SELECT metric, {_STAT} FROM l GROUP BY 1"

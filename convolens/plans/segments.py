@@ -56,7 +56,7 @@ ORACLE["apply_labels"] = f"""WITH {SEG}, m AS (SELECT episode_id, speaker, min(s
 SELECT s.episode_id, s.segment_id, s.speaker, coalesce(m.name, s.speaker) AS speaker_name FROM seg s LEFT JOIN m ON s.episode_id = m.episode_id AND s.speaker = m.speaker"""
 
 QUERIES["context_window"] = lambda spark, d: M.context_window(seg(spark, d)).select("show", "episode_id", "segment_id", F.transform("before", lambda x: F.concat_ws("|", x["speaker"], x["start_ms"].cast("string"), x["text"])).alias("before"), F.transform("after", lambda x: F.concat_ws("|", x["speaker"], x["start_ms"].cast("string"), x["text"])).alias("after"))
-ORACLE["context_window"] = f"""WITH {SEG}, l AS (SELECT *, speaker || '|' || start_ms || '|' || left(text, 40) AS x FROM seg),
+ORACLE["context_window"] = f"""WITH {SEG}, l AS (SELECT *, speaker || '|' || start_ms || '|' || text AS x FROM seg),
 w AS (SELECT *, coalesce(list(x) OVER (PARTITION BY episode_id ORDER BY segment_id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), []) AS before,
   coalesce(list(x) OVER (PARTITION BY episode_id ORDER BY segment_id ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING), []) AS after FROM l)
 SELECT "show", episode_id, segment_id, before, after FROM w WHERE regexp_matches(text, '[^\\x09-\\x0D\\x1C-\\x20\\x85\\pZ]')"""

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import logging
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,24 +40,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share; only where it is unset, one of our own (tests)."""
+    """The folder in spark.checkpoint.dir, which all executors share; a local session (tests) may go without and gets one of its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="convolens-")
+        atexit.register(shutil.rmtree, folder.removeprefix("file://"), ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", folder) if spark.conf.isModifiable("spark.checkpoint.dir") else None
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+#: Stages whose tables haven't been deleted.
+_open: list[Stage] = []
+
+
 class Stage:
     """Tables written to the shared folder: lineage is cut, and a lost executor costs nothing that was written.
 
-    ``keep`` writes a frame and reads it back; ``drop`` deletes a table no later plan reads.
+    ``keep`` writes a frame and reads it back; ``drop`` deletes a table no later plan reads. A query's result may read
+    its stage's tables, so they stay until ``release`` is called, ``releasing`` is left, or the driver ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
+        _open.append(self)
 
     def keep(self, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{self.n}"
@@ -65,9 +84,34 @@ class Stage:
     def drop(self, df: DataFrame | None) -> None:
         path = getattr(df, "_convolens_path", None)
         if path:
-            jvm = self.spark._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(self.spark, path)
+
+    def close(self) -> None:
+        """Deletes all of the stage's tables."""
+        _delete(self.spark, self.root)
+
+
+def release(since: int = 0) -> None:
+    """Deletes the tables of all stages (made since so many); results that read them can no longer be computed."""
+    while len(_open) > since:
+        stage = _open.pop()
+        try:
+            stage.close()
+        except Exception as e:  # noqa: BLE001  the session may have ended already
+            logging.getLogger(__name__).debug("stage %s not deleted: %s", stage.root, e)
+
+
+@contextlib.contextmanager
+def releasing() -> Iterator[None]:
+    """Deletes the tables of the stages made inside when left: for a query and the use of its result."""
+    before = len(_open)
+    try:
+        yield
+    finally:
+        release(before)
+
+
+atexit.register(release)
 
 
 def is_empty(df: DataFrame) -> bool:
