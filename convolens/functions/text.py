@@ -158,3 +158,10 @@ def keyword_pattern(keyword: Column, partial: bool = False) -> Column:
     """A case-insensitive pattern for a literal keyword, as a whole word unless ``partial``."""
     q = F.regexp_replace(keyword, r"([\\.\[\]{}()*+?^$|])", r"\\$1")
     return F.concat(F.lit("(?iu)"), q) if partial else F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}\p{M}_])"), q, F.lit(r"(?![\p{L}\p{N}\p{M}_])"))
+
+
+def paragraph(text: Column, width: int = 80) -> Column:
+    """White space collapsed, and lines of at most ``width`` characters; longer words are cut."""
+    flat = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), f"[{SPACE}]+", " "))
+    lines = F.regexp_replace(flat, f"(.{{1,{width}}})(?: |$)|(.{{{width}}})", "$1$2\n")
+    return F.regexp_replace(lines, "\n$", "")

@@ -72,3 +72,8 @@ def annotated(ann: DataFrame) -> DataFrame:
 def with_stored(new: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
     """New statistics and those stored before; by key (show and episode) the new ones hold."""
     return new.unionByName(stored.join(new.select(*keys), keys, "left_anti"))
+
+
+def resumed(items: DataFrame, partial: DataFrame, key: str, process) -> DataFrame:
+    """What a run that was cut off has left, and ``process`` of the items it hasn't reached; columns are those of partial."""
+    return partial.unionByName(process(pending(items, partial, [key])))

@@ -79,3 +79,8 @@ def not_stored(candidates: DataFrame, stored: DataFrame) -> DataFrame:
 def folder_sizes(episodes: DataFrame) -> DataFrame:
     """(show, n_files, bytes, mean_bytes) sorted by name."""
     return episodes.groupBy("show").agg(F.count("*").alias("n_files"), F.coalesce(F.sum("file_size"), F.lit(0)).alias("bytes"), F.round(ratio(F.sum("file_size"), F.count("file_size")), 2).alias("mean_bytes")).orderBy("show")
+
+
+def in_genre(shows: DataFrame, genre: str, column: str = "genre") -> DataFrame:
+    """Shows whose genre contains the wanted one, whatever the case; null genres contain nothing."""
+    return shows.where(F.contains(F.lower(column), F.lit(genre.lower())))

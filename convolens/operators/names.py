@@ -158,9 +158,28 @@ def _assign(host_rank: int | None, intro: int, roles: pd.DataFrame, early: pd.Da
     return out
 
 
-def names_to_speakers(roles: DataFrame, segments: DataFrame, host_rank: int | None = None, intro: int = 30) -> DataFrame:
+def show_host_ranks(candidates: DataFrame, episodes: DataFrame, least: float = 0.5) -> DataFrame:
+    """(episode_id, host_rank) of the episodes of shows whose host is found by speaking time with more than ``least``; candidates as in speakers."""
+    return episodes.select("episode_id", "show").distinct().join(candidates.where(F.col("score") > least).select("show", F.col("rank").alias("host_rank")), "show").select("episode_id", "host_rank")
+
+
+def names_by_speaker(segments: DataFrame) -> DataFrame:
+    """(episode_id, speaker, name, method, confidence, position): the names each speaker mentions, each once per speaker."""
+    found = introduced_names(segments, ["episode_id", "speaker", "segment_id"])
+    place = found.select("episode_id", "speaker", "name", F.concat(F.lit("pattern_"), F.col("pattern_no").cast("string")).alias("method"), "confidence", F.col("segment_id").alias("position"))
+    return distinct_names(place, ["episode_id", "speaker"])
+
+
+def label_speakers(episodes: DataFrame, segments: DataFrame, candidates: DataFrame) -> DataFrame:
+    """The whole labelling: roles of the episodes' names, then speakers for them, with each show's own host rank."""
+    return names_to_speakers(heuristic_roles(episodes), segments, show_host_ranks(candidates, episodes))
+
+
+def names_to_speakers(roles: DataFrame, segments: DataFrame, host_ranks: DataFrame | None = None, intro: int = 30) -> DataFrame:
     """(episode_id, speaker, name, role, confidence, method): one speaker for each name, each speaker once.
 
+    host_ranks (episode_id, host_rank) says which speaker by speaking time the host of an episode's show mostly is.
+
     Inherently sequential inside an episode, so a cogrouped pandas function; of the segments only those in the first
     2 * intro + 4 carry text, and speaking times are summed before, so an episode's group stays small.
     """
@@ -173,10 +192,12 @@ def names_to_speakers(roles: DataFrame, segments: DataFrame, host_rank: int | No
     def run(key, left, right):
         right = right.sort_values("segment_id")
         first = right["time_ms"] < 0
-        rows = _assign(host_rank, intro, left, right[first], right[~first]) if len(left) and len(right) else []
+        rank = left["host_rank"].iloc[0] if len(left) else None
+        rows = _assign(None if rank is None or pd.isna(rank) else int(rank), intro, left, right[first], right[~first]) if len(left) and len(right) else []
         return pd.DataFrame([(key[0], *r) for r in rows], columns=["episode_id", "speaker", "name", "role", "confidence", "method"])
 
-    return roles.groupBy("episode_id").cogroup(both.groupBy("episode_id")).applyInPandas(run, _MAPPED)
+    ranked = roles.join(host_ranks, "episode_id", "left") if host_ranks is not None else roles.withColumn("host_rank", F.lit(None).cast("int"))
+    return ranked.groupBy("episode_id").cogroup(both.groupBy("episode_id")).applyInPandas(run, _MAPPED)
 
 
 def labeling_summary(mapped: DataFrame) -> DataFrame:

@@ -119,3 +119,9 @@ def first_appearance(segments: DataFrame) -> DataFrame:
     """Speakers of each episode in order of their first segment."""
     g = segments.groupBy(*E, "speaker").agg(F.min("segment_id").alias("first_segment"))
     return g.withColumn("ord", F.row_number().over(W.partitionBy(*E).orderBy("first_segment", "speaker")))
+
+
+def appearances(segments: DataFrame) -> DataFrame:
+    """Speakers of each episode in order of their first segment, with the times of their first and last words."""
+    g = segments.groupBy(*E, "speaker").agg(F.min("segment_id").alias("first_segment"), F.max("segment_id").alias("last_segment"), F.min_by("start_ms", "segment_id").alias("first_ms"), F.max_by("end_ms", "segment_id").alias("last_ms"))
+    return g.withColumn("ord", F.row_number().over(W.partitionBy(*E).orderBy("first_segment", "speaker")))

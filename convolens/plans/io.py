@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from convolens.functions import models as P
 from convolens.operators import features, keywords as K, labels as L
 from convolens.plans.base import CLS, SEG, TURNS, cls, seg, turns
+from convolens.plans.features import ORACLE as _FEATURES
 from convolens.plans.keywords import _MATCH
 from convolens.session import Stage, table
 from convolens.sources import readers as R, writers as O
@@ -16,29 +17,25 @@ QUERIES, ORACLE = {}, {}
 
 
 def transcripts_round_trip(spark, d):
-    """Segments as JSON, one document an episode, read back and taken apart again."""
+    """Segments as JSON, one file an episode, read back and taken apart again."""
     root = Stage(spark, "json").root
     s = seg(spark, d).select("show", "episode_id", "segment_id", "text", (F.col("start_ms") / 1000).alias("start"), (F.col("end_ms") / 1000).alias("end"), "speaker")
-    g = s.groupBy("show", "episode_id").agg(F.array_sort(F.collect_list(F.struct("segment_id", "text", "start", "end", "speaker"))).alias("segments"))
-    g.select("show", F.col("episode_id").alias("title"), "segments").write.mode("overwrite").partitionBy("show").json(root)
-    # one line an episode, so the title tells the episode
-    lines = spark.read.schema(R.TRANSCRIPT).json(root).select("*", F.col("title").alias("episode_id"))
-    out = R.explode_segments(lines)
-    return out.select("episode_id", "segment_id", "text", F.round(F.col("start") * 1000).cast("bigint").alias("start_ms"), F.round(F.col("end") * 1000).cast("bigint").alias("end_ms"), "speaker")
+    O.write_transcripts(s, root)
+    out = R.explode_segments(R.read_transcripts(spark, root))
+    return out.select("show", "episode_id", "segment_id", "text", F.round(F.col("start") * 1000).cast("bigint").alias("start_ms"), F.round(F.col("end") * 1000).cast("bigint").alias("end_ms"), "speaker")
 
 
 QUERIES["transcripts_round_trip"] = transcripts_round_trip
 ORACLE["transcripts_round_trip"] = f"""WITH {SEG}, n AS (SELECT *, CAST(row_number() OVER (PARTITION BY episode_id ORDER BY segment_id) - 1 AS INT) AS i FROM seg)
-SELECT episode_id, i AS segment_id, text, start_ms, end_ms, speaker FROM n WHERE start_ms >= 0 AND end_ms >= 0 AND end_ms >= start_ms"""
+SELECT "show", episode_id, i AS segment_id, text, start_ms, end_ms, speaker FROM n WHERE start_ms >= 0 AND end_ms >= 0 AND end_ms >= start_ms"""
 
 
 def rttm_round_trip(spark, d):
+    """Turns as RTTM, one file an episode, read back."""
     root = Stage(spark, "rttm").root
-    t = turns(spark, d).select("episode_id", (F.col("start_ms") / 1000).alias("start"), (F.col("end_ms") / 1000).alias("end"), F.col("speaker_id").alias("speaker"))
-    O.rttm_lines(t).select("value").write.mode("overwrite").text(root)
-    lines = spark.read.text(root).select(F.split("value", r"\s+").alias("p")).where("size(p) >= 8 and p[0] = 'SPEAKER'")
-    s, n = F.col("p")[3].try_cast("double"), F.col("p")[4].try_cast("double")
-    return lines.select(F.col("p")[1].alias("episode_id"), F.round(s * 1000).cast("bigint").alias("start_ms"), F.round((s + n) * 1000).cast("bigint").alias("end_ms"), F.col("p")[7].alias("speaker"))
+    O.write_rttm(turns(spark, d).select("episode_id", (F.col("start_ms") / 1000).alias("start"), (F.col("end_ms") / 1000).alias("end"), F.col("speaker_id").alias("speaker")), root)
+    ms = lambda c: F.round(F.col(c) * 1000).cast("bigint").alias(f"{c}_ms")
+    return R.read_rttm(spark, root).select("episode_id", ms("start"), ms("end"), "speaker")
 
 
 QUERIES["rttm_round_trip"] = rttm_round_trip
@@ -53,6 +50,40 @@ def features_csv(spark, d):
 
 
 QUERIES["features_csv"] = features_csv
+ORACLE["features_csv"] = f"""WITH f AS ({_FEATURES["turn_taking"]}) SELECT "show", episode_id, CAST(total_turns AS DOUBLE) AS total_turns, CAST(dominance_index AS DOUBLE) AS dominance_index FROM f"""
+
+
+def matches_read_back(spark, d):
+    """Keyword matches as files, read back."""
+    root = Stage(spark, "matches").root
+    O.write_matches(K.keyword_matches(seg(spark, d), table(spark, d, "lexicon")), root)
+    return R.read_matches(spark, root)
+
+
+QUERIES["matches_read_back"] = matches_read_back
+ORACLE["matches_read_back"] = f"WITH {_MATCH} SELECT episode_id, keyword, matched_text, context_before, context_after, position, segment_id, speaker, start_ms, category, tier FROM m"
+QUERIES["match_lines"] = lambda spark, d: O.match_lines(K.keyword_matches(seg(spark, d), table(spark, d, "lexicon")))
+ORACLE["match_lines"] = f"""WITH {_MATCH} SELECT episode_id, segment_id, position, printf('[%02d:%02d:%02d]', start_ms // 3600000, start_ms // 60000 % 60, start_ms // 1000 % 60) || ' ' || speaker || ': ' || context_before || '[' || matched_text || ']' || context_after AS line FROM m"""
+QUERIES["category_export"] = lambda spark, d: O.category_export(K.keyword_matches(seg(spark, d), table(spark, d, "lexicon")))
+ORACLE["category_export"] = f"WITH {_MATCH} SELECT row_number() OVER (ORDER BY count(*) DESC, category) AS rank, category, count(*) AS n FROM m GROUP BY category"
+QUERIES["features_nested"] = lambda spark, d: O.nested_features(features.turn_taking(seg(spark, d)).select("show", "episode_id", "total_turns"), features.turn_taking_by_speaker(seg(spark, d)).select("show", "episode_id", "speaker", "turns")).select("episode_id", F.get_json_object("json", "$.total_turns").cast("bigint").alias("total_turns"), F.aggregate(F.map_values(F.from_json(F.get_json_object("json", "$.speakers"), "map<string,struct<turns:bigint>>")), F.lit(0).cast("bigint"), lambda a, x: a + x["turns"]).alias("turns"))
+ORACLE["features_nested"] = f"""WITH {SEG}, f AS (SELECT *, CASE WHEN lag(speaker) OVER (PARTITION BY episode_id ORDER BY segment_id) = speaker THEN 0 ELSE 1 END AS new FROM seg) SELECT episode_id, sum(new) AS total_turns, sum(new) AS turns FROM f GROUP BY episode_id"""
+
+
+def lexicon_config(spark, d):
+    """The lexicon as a configuration file, read back."""
+    root = Stage(spark, "config").root
+    t = table(spark, d, "lexicon").where("category is not null and tier in ('high_confidence', 'exploratory') and keyword is not null")
+    words = lambda tier: F.array_sort(F.collect_list(F.when(F.col("tier") == tier, F.struct("ord", "keyword"))))
+    g = t.groupBy("category").agg(words("high_confidence").alias("h"), words("exploratory").alias("e"))
+    g = g.select("category", F.struct(F.transform("h", lambda x: x["keyword"]).alias("high_confidence"), F.transform("e", lambda x: x["keyword"]).alias("exploratory")).alias("t"))
+    config = g.agg(F.to_json(F.struct(F.map_from_entries(F.array_sort(F.collect_list(F.struct("category", "t")))).alias("categories"))).alias("value"))
+    config.coalesce(1).write.mode("overwrite").text(root)
+    return R.read_lexicon(spark, root)
+
+
+QUERIES["lexicon_config"] = lexicon_config
+ORACLE["lexicon_config"] = """SELECT CAST(row_number() OVER (ORDER BY category, tier <> 'high_confidence', ord) - 1 AS INT) AS ord, category, tier, keyword FROM lexicon WHERE category IS NOT NULL AND tier IN ('high_confidence', 'exploratory') AND keyword IS NOT NULL"""
 QUERIES["matches_json"] = lambda spark, d: O.matches_envelope(K.keyword_matches(seg(spark, d), table(spark, d, "lexicon"))).select("episode_id", F.get_json_object("json", "$.match_count").cast("bigint").alias("match_count"), F.size(F.from_json(F.get_json_object("json", "$.matches"), "array<struct<keyword:string>>")).alias("n"), F.size(F.json_object_keys(F.get_json_object("json", "$.keyword_counts"))).alias("n_keywords"))
 ORACLE["matches_json"] = f"WITH {_MATCH} SELECT episode_id, count(*) AS match_count, CAST(count(*) AS INT) AS n, CAST(count(DISTINCT keyword) AS INT) AS n_keywords FROM m GROUP BY 1"
 _wide_speakers = ["SPEAKER_00", "SPEAKER_01"]

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -20,9 +19,12 @@ TRANSCRIPT = f"audio_file string, language string, text string, full_text string
 
 
 def _place(path: Column) -> tuple[Column, Column]:
-    """Show and episode of <root>/<show>/<episode>.json."""
+    """Show and episode of <root>/<show>/<episode>.json, or of <root>/show=<show>/episode_id=<episode>/<any> as the writers make it."""
     parts = F.split(path, "/")
-    return F.url_decode(F.element_at(parts, -2)), F.regexp_replace(F.url_decode(F.element_at(parts, -1)), r"\.[^.]*$", "")
+    # folder names are escaped once by the writer, and paths once more
+    named = lambda key: F.nullif(F.url_decode(F.url_decode(F.regexp_replace(F.regexp_extract(path, f"/{key}=([^/]*)/", 1), r"\+", "%2B"))), F.lit(""))
+    show = F.when(F.contains(path, F.lit("/episode_id=")), named("show")).otherwise(F.url_decode(F.element_at(parts, -2)))
+    return show, F.coalesce(named("episode_id"), F.regexp_replace(F.url_decode(F.element_at(parts, -1)), r"\.[^.]*$", ""))
 
 
 def read_transcripts(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
@@ -64,7 +66,7 @@ def annotations(segments: DataFrame) -> DataFrame:
 
 def read_rttm(spark: SparkSession, root: str) -> DataFrame:
     """Diarization turns: (show, episode_id, turn_ord, start, end, speaker) of SPEAKER lines with eight fields or more."""
-    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.rttm").text(root)
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{rttm,txt}").text(root)
     show, episode = _place(F.col("_metadata.file_path"))
     p = lines.select(show.alias("show"), episode.alias("episode_id"), F.monotonically_increasing_id().alias("_i"), F.split(F.trim("value"), r"\s+").alias("p")).where("size(p) >= 8 and p[0] = 'SPEAKER'")
     p = p.select("show", "episode_id", "_i", F.col("p")[3].try_cast("double").alias("start"), F.col("p")[4].try_cast("double").alias("_d"), F.col("p")[7].alias("speaker")).where("start is not null and _d is not null")
@@ -124,7 +126,48 @@ def lexicon_rows(config: dict) -> list[tuple]:
     return rows
 
 
+def _config(spark: SparkSession, path: str) -> dict:
+    """A configuration file, YAML (where the library is there) or JSON, on any file system; it is small and read whole."""
+    text = spark.read.option("wholetext", True).text(path).first()[0]
+    try:
+        import yaml
+    except ImportError:
+        return json.loads(text)
+    return yaml.safe_load(text)
+
+
+def read_classifiers(spark: SparkSession, path: str) -> DataFrame:
+    """(ord, name, model_repo, labels) of {models: [{name, model_repo, labels}]}; each needs a name, a repository and labels."""
+    rows = []
+    for i, m in enumerate(_config(spark, path).get("models") or []):
+        lacking = [k for k in ("name", "model_repo", "labels") if not m.get(k)]
+        if lacking:
+            raise ValueError(f"model {m.get('name', i)!r} lacks {', '.join(lacking)}")
+        rows.append((i, m["name"], m["model_repo"], [str(x) for x in m["labels"]]))
+    if not rows:
+        raise ValueError("no models")
+    return spark.createDataFrame(rows, "ord int, name string, model_repo string, labels array<string>")
+
+
+def read_taxonomy(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(groups, strategies, examples) as taxonomy_texts wants them, of {target_groups: [{id}], strategies: [{id, description, examples: {group: [...]}}]}."""
+    config = _config(spark, path)
+    groups, strategies = config.get("target_groups") or [], config.get("strategies") or []
+    if not groups or not strategies:
+        raise ValueError("a taxonomy needs target groups and strategies")
+    examples = [(g, s["id"], i, str(x)) for s in strategies for g, xs in (s.get("examples") or {}).items() for i, x in enumerate(xs)]
+    make = spark.createDataFrame
+    return make([(g["id"],) for g in groups], "id string"), make([(s["id"], s.get("description") or "") for s in strategies], "id string, description string"), make(examples, "target_group_id string, strategy_id string, ord int, item string")
+
+
+def read_matches(spark: SparkSession, root: str) -> DataFrame:
+    """Keyword matches out of the files of write_matches: (episode_id, keyword, matched_text, position, segment_id, speaker, start_ms, category, tier)."""
+    one = "struct<keyword:string,matched_text:string,context_before:string,context_after:string,position:int,segment_id:int,speaker:string,start_ms:bigint,category:string,tier:string>"
+    lines = spark.read.schema(f"episode_id string, match_count bigint, matches array<{one}>").json(root)
+    return lines.select("episode_id", F.inline("matches"))
+
+
 def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
-    """A lexicon from a JSON configuration file (a fixed dimension, read by the driver)."""
-    rows = lexicon_rows(json.loads(Path(path).read_text(encoding="utf-8")))
+    """A lexicon from a YAML or JSON configuration file (a fixed dimension, read by the driver)."""
+    rows = lexicon_rows(_config(spark, path))
     return spark.createDataFrame(rows, "ord int, category string, tier string, keyword string")

@@ -8,10 +8,10 @@ E = ["show", "episode_id"]
 
 
 def write_transcripts(segments: DataFrame, root: str) -> None:
-    """One JSON document an episode, its segments in order, in a folder per show; other columns stay as they are."""
+    """One JSON document an episode, its segments in order, in a file of its own in a folder per show and episode; other columns stay as they are."""
     cols = [c for c in segments.columns if c not in E]
     g = segments.groupBy(*E).agg(F.array_sort(F.collect_list(F.struct("segment_id", *(c for c in cols if c != "segment_id")))).alias("segments"))
-    g.write.mode("overwrite").partitionBy("show").json(root)
+    g.write.mode("overwrite").partitionBy(*E).json(root)
 
 
 def rttm_lines(turns: DataFrame) -> DataFrame:
@@ -34,14 +34,46 @@ def write_csv(df: DataFrame, path: str, single: bool = True) -> None:
     (df.coalesce(1) if single else df).write.mode("overwrite").option("header", True).csv(path)
 
 
-def matches_envelope(matches: DataFrame) -> DataFrame:
-    """(episode_id, json): the matches of each episode with their count and the counts by keyword."""
+def _enveloped(matches: DataFrame) -> DataFrame:
+    """(episode_id, match_count, keyword_counts, matches): the matches of each episode in order, with their counts."""
     m = F.struct("keyword", "matched_text", "context_before", "context_after", "position", "segment_id", "speaker", "start_ms", "category", "tier")
     counts = matches.groupBy("episode_id", "keyword").agg(F.count("*").alias("n")).groupBy("episode_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("keyword", "n")))).alias("keyword_counts"))
     g = matches.groupBy("episode_id").agg(F.array_sort(F.collect_list(F.struct("segment_id", "position", m.alias("m")))).alias("x"), F.count("*").alias("match_count")).join(counts, "episode_id")
-    return g.select("episode_id", F.to_json(F.struct("match_count", "keyword_counts", F.transform("x", lambda e: e["m"]).alias("matches"))).alias("json"))
+    return g.select("episode_id", "match_count", "keyword_counts", F.transform("x", lambda e: e["m"]).alias("matches"))
+
+
+def matches_envelope(matches: DataFrame) -> DataFrame:
+    """(episode_id, json): the matches of each episode with their count and the counts by keyword."""
+    return _enveloped(matches).select("episode_id", F.to_json(F.struct("match_count", "keyword_counts", "matches")).alias("json"))
+
+
+def write_matches(matches: DataFrame, root: str) -> None:
+    """The same as files of one JSON line an episode, which has its id too."""
+    _enveloped(matches).write.mode("overwrite").json(root)
 
 
 def episode_export(stats: DataFrame) -> DataFrame:
     """Episode statistics with minutes of two decimals."""
     return stats.select("show", "episode_id", "n_segments", "n_words", "n_speakers", F.round(F.col("total_ms") / 60000, 2).alias("minutes")).orderBy("show", "episode_id")
+
+
+def match_lines(matches: DataFrame) -> DataFrame:
+    """(episode_id, segment_id, position, line): matches as text, one a line."""
+    at = F.format_string("[%02d:%02d:%02d]", (F.col("start_ms") / 3600000).cast("int"), (F.col("start_ms") / 60000).cast("int") % 60, (F.col("start_ms") / 1000).cast("int") % 60)
+    return matches.select("episode_id", "segment_id", "position", F.concat_ws(" ", at, F.concat("speaker", F.lit(":")), F.concat("context_before", F.lit("["), "matched_text", F.lit("]"), "context_after")).alias("line"))
+
+
+def nested_features(features: DataFrame, by_speaker: DataFrame) -> DataFrame:
+    """(show, episode_id, json): an episode's features with those of its speakers inside, by name."""
+    own = [c for c in features.columns if c not in E]
+    per = [c for c in by_speaker.columns if c not in (*E, "speaker")]
+    s = by_speaker.groupBy(*E).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("speaker", F.struct(*per).alias("v"))))).alias("speakers"))
+    return features.join(s, E, "left").select(*E, F.to_json(F.struct(*own, "speakers")).alias("json"))
+
+
+def category_export(matches: DataFrame) -> DataFrame:
+    """(rank, category, n): categories by number of matches, most first, of ties by name."""
+    from pyspark.sql import Window as W
+
+    g = matches.groupBy("category").agg(F.count("*").alias("n"))
+    return g.select(F.row_number().over(W.orderBy(F.desc("n"), "category")).alias("rank"), "category", "n")
