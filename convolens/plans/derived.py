@@ -9,7 +9,7 @@ from convolens.operators import derived as D, features as X, keywords as K, name
 from convolens.plans.base import SEG, div, seg
 from convolens.plans.episodes import EPI, _ep
 from convolens.plans.keywords import _MATCH
-from convolens.plans.matching import _mapped
+from convolens.plans.matching import _SANITY, _SCORE, _mapped, _side, names_sql
 from convolens.plans.speakers import _EP
 from convolens.session import table
 
@@ -24,6 +24,13 @@ SELECT episode_id, array_to_string(regexp_extract_all(text, '[^\\x09-\\x0D\\x1C-
 _titles = lambda spark, d: (table(spark, d, "shows").select(F.col("title").alias("query")), _ep(spark, d).select(F.col("title").alias("target")).where("target is not null"))
 QUERIES["best_match"] = lambda spark, d: D.best_match(*_titles(spark, d))
 QUERIES["rank_results"] = lambda spark, d: D.rank_results(*_titles(spark, d), top=3)
+_TT = f"""{EPI}, q AS (SELECT title AS query, {_side("title")} AS q FROM (SELECT DISTINCT title FROM shows)), t AS (SELECT title AS target, {_side("title")} AS t FROM (SELECT DISTINCT title FROM epi WHERE title IS NOT NULL)), sc AS (SELECT query, target, {_SCORE} AS score FROM q, t)"""
+ORACLE["best_match"] = f"WITH {_TT}, r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, reverse(target) DESC) AS r FROM sc WHERE score > 0.3) SELECT query, target, score FROM r WHERE r = 1"
+ORACLE["rank_results"] = f"WITH {_TT}, r AS (SELECT query, row_number() OVER (PARTITION BY query ORDER BY score DESC, target) AS rank, target, score FROM sc) SELECT * FROM r WHERE rank <= 3"
+ORACLE["episode_metadata"] = f"""WITH {EPI}, j AS (SELECT episode_id, CASE WHEN episode_number % 2 = 0 THEN nullif(trim(author), '') END AS feed, CASE WHEN episode_number % 3 = 0 THEN nullif(trim(author), '') END AS known, {names_sql(_SANITY("e.title"))} AS names FROM epi e JOIN shows s USING ("show")),
+h AS (SELECT *, coalesce(feed, known, names[1]) AS host FROM j)
+SELECT episode_id, host, array_to_string(list_filter(names, lambda n: coalesce(lower(n) <> lower(host), true)), ';') AS guests, CASE WHEN feed IS NOT NULL THEN 'feed' WHEN known IS NOT NULL THEN 'known_host' WHEN len(names) > 0 THEN 'filename' ELSE 'none' END AS source,
+  CASE WHEN feed IS NOT NULL THEN 0.9e0 WHEN known IS NOT NULL THEN 0.8e0 WHEN len(names) > 0 THEN 0.5e0 ELSE 0.3e0 END AS confidence FROM h"""
 QUERIES["episode_metadata"] = lambda spark, d: D.episode_metadata(_ep(spark, d).join(table(spark, d, "shows").select("show", "author"), "show").select("episode_id", F.when(F.col("episode_number") % 2 == 0, F.col("author")).alias("feed_author"), F.when(F.col("episode_number") % 3 == 0, F.col("author")).alias("known_host"), N.names_in_filename(T.sanitize_name(F.col("title"))).alias("file_names"))).select("episode_id", "host", F.array_join("guests", ";").alias("guests"), "source", "confidence")
 QUERIES["hosts_of_shows"] = lambda spark, d: D.hosts_of_shows(_mapped(spark, d), _ep(spark, d))
 QUERIES["labeling_confidence"] = lambda spark, d: D.confidence_buckets(_mapped(spark, d))

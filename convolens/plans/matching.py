@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window as W, functions as F
 
 from convolens.functions import fuzzy as Z, jsonfix, text as T
-from convolens.operators import names as N
+from convolens.operators import names as N, speakers as S
 from convolens.plans.base import SEG, seg
 from convolens.plans.episodes import EPI, _ep
 from convolens.session import table
@@ -41,6 +41,46 @@ def _pairs(spark, d):
     return s.join(_ep(spark, d).select("show", "episode_id", F.col("title").alias("episode_title")), "show")
 
 
+def _plain(x: str, expand: bool = True) -> str:
+    """SQL for a normalised title. Neighbouring matches share the sign between them, so each replacement is made twice."""
+    x = f"lower(coalesce({x}, ''))"
+    for short, long in Z.ABBREVIATIONS.items() if expand else ():
+        left = "(^|[^\\pL\\pN_])" if short[0].isalnum() else "([\\pL\\pN_])"
+        right = "($|[^\\pL\\pN_])" if short[-1].isalnum() else "([\\pL\\pN_])"
+        for _ in range(2):
+            x = f"regexp_replace({x}, '{left}{short}{right}', '\\1{long}\\2', 'g')"
+    return f"trim(regexp_replace(regexp_replace({x}, '[^\\pL\\pN_\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
+
+
+_STOP = ", ".join(f"'{w}'" for w in Z.FUZZY_STOPWORDS)
+
+
+def _side(x: str) -> str:
+    """SQL for what scoring needs of one side."""
+    plain = _plain(x)
+    w = _U.format("w")
+    return f"(SELECT {{'plain': p, 'words': ws, 'codes': list_transform(ws, lambda w: {_SDX.format(w, _runs(w))})}} FROM (SELECT p, list_filter(string_split(p, ' '), lambda w: length(w) >= 2 AND w NOT IN ({_STOP})) AS ws FROM (SELECT {plain} AS p)))"
+
+
+_hits = lambda field: f"list_filter(q.{field}, lambda w: list_contains(t.{field}, w))"
+_part = lambda field: f"coalesce(CAST(len({_hits(field)}) AS DOUBLE) / nullif(len(q.{field}), 0), 0e0)"
+_CHAR = "CASE WHEN length(q.plain) = 0 OR length(t.plain) = 0 THEN 0e0 ELSE 1 - CAST(levenshtein(q.plain, t.plain) AS DOUBLE) / greatest(length(q.plain), length(t.plain)) END"
+_POS = "coalesce(list_sum(list_transform(q.words, lambda w, i: CASE WHEN list_contains(t.words, w) THEN 1e0 / i / (abs(i - list_position(t.words, w)) + 1) ELSE 0e0 END)) / nullif(list_sum(list_transform(q.words, lambda w, i: 1e0 / i)), 0), 0e0)"
+_SCORE = f"round(CASE WHEN len(q.words) > 0 AND len(t.words) > 0 THEN least({_part('words')} * 0.4e0 + ({_CHAR}) * 0.3e0 + {_part('codes')} * 0.2e0 + {_POS} * 0.1e0, 1e0) ELSE 0e0 END, 6)"
+_PAIRS = f"""{EPI}, pairs AS (SELECT e.episode_id, s."show", s.title AS title, e.title AS episode_title FROM shows s JOIN epi e ON s."show" = e."show")"""
+ORACLE["fuzzy_scores"] = f"""WITH {_PAIRS}, sides AS (SELECT episode_id, {_side("title")} AS q, {_side("episode_title")} AS t FROM pairs),
+r AS (SELECT *, concat_ws('; ', CASE WHEN {_part("words")} > 0.3 THEN 'matched words: ' || array_to_string({_hits("words")}, ', ') END, CASE WHEN {_part("codes")} > {_part("words")} THEN 'phonetic similarity detected' END, CASE WHEN {_POS} > 0.5 THEN 'good word ordering' END) AS said FROM sides)
+SELECT episode_id, {_SCORE} AS score, CASE WHEN len(q.words) = 0 THEN 'no significant words in query' WHEN len(t.words) = 0 THEN 'no significant words in target' WHEN said = '' THEN 'low match confidence' ELSE said END AS explanation FROM r"""
+ORACLE["query_variations"] = f"""WITH v AS (SELECT "show", list_filter([title, CASE WHEN {_plain("title", False)} <> lower(title) THEN {_plain("title", False)} END, {_plain("title")}, CASE WHEN NOT contains(lower(title), 'podcast') THEN title || ' podcast' END,
+  CASE WHEN contains(lower(title), 'podcast') AND trim(regexp_replace(title, '\\s*podcast\\s*', ' ', 'gi')) <> '' THEN trim(regexp_replace(title, '\\s*podcast\\s*', ' ', 'gi')) END,
+  CASE WHEN starts_with(lower(title), 'the ') AND length(title) > 4 THEN substr(title, 5) END,
+  CASE WHEN lower(regexp_split_to_array(trim(title), '\\s+')[1]) NOT IN ('the', 'a', 'an') AND trim(title) <> '' THEN 'the ' || title END], lambda x: x IS NOT NULL) AS l FROM shows)
+SELECT "show", array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), '|') AS variations FROM v"""
+ORACLE["video_confidence"] = f"""WITH {_PAIRS}, v AS (SELECT episode_id, lower(title) AS s, lower(title || ' ' || episode_title) AS t, lower(episode_title) AS e, length(episode_title) * 50 AS dur FROM pairs),
+w AS (SELECT *, list_filter(regexp_split_to_array(e, '\\s+'), lambda x: length(x) > 2) AS wanted FROM v)
+SELECT episode_id, round(least(CASE WHEN contains(t, s) OR contains('x', s) THEN 0.4e0 WHEN len(list_filter(regexp_split_to_array(s, '\\s+'), lambda x: length(x) > 3 AND contains(t, x))) > 0 THEN 0.2e0 ELSE 0e0 END
+  + coalesce(CAST(len(list_filter(wanted, lambda x: list_contains(regexp_split_to_array(t, '\\s+'), x))) AS DOUBLE) / nullif(len(wanted), 0), 0e0) * 0.4e0
+  + CASE WHEN dur > 0 AND abs(1000 - dur) <= 100 THEN 0.2e0 WHEN dur > 0 AND abs(1000 - dur) <= 250 THEN 0.1e0 ELSE 0e0 END, 1e0), 6) AS score FROM w"""
 QUERIES["fuzzy_scores"] = lambda spark, d: _pairs(spark, d).select("episode_id", Z.prepared(F.col("title")).alias("q"), Z.prepared(F.col("episode_title")).alias("t")).select("episode_id", F.round(Z.score_of(F.col("q"), F.col("t")), 6).alias("score"), Z.explanation_of(F.col("q"), F.col("t")).alias("explanation"))
 QUERIES["query_variations"] = lambda spark, d: table(spark, d, "shows").select("show", F.array_join(Z.query_variations(F.col("title")), "|").alias("variations"))
 QUERIES["video_confidence"] = lambda spark, d: _pairs(spark, d).select("episode_id", F.round(Z.video_confidence(F.col("episode_title"), F.lit(1000), F.col("title"), F.concat(F.col("title"), F.lit(" "), F.col("episode_title")), F.lit("x"), F.length("episode_title") * 50), 6).alias("score"))
@@ -50,25 +90,70 @@ QUERIES["error_categories"] = lambda spark, d: table(spark, d, "events").select(
 ORACLE["error_categories"] = f"""WITH e AS (SELECT {_MSG}[event_id % 8 + 1] AS x, [404, 403, 429, 418, 503, 700][event_id % 6 + 1] AS s FROM events)
 SELECT {_ERR} AS category, CASE WHEN s = 404 THEN 'not_found' WHEN s = 403 THEN 'permission' WHEN s = 429 THEN 'rate_limit' WHEN s BETWEEN 400 AND 499 THEN 'client' WHEN s BETWEEN 500 AND 599 THEN 'network' ELSE 'http' END AS http, count(*) AS n FROM e GROUP BY ALL"""
 
-# names: introductions are made of the segments' own speakers, for the invented texts have none
-_intro = lambda spark, d: seg(spark, d).where("speaker_name is not null").select("show", "episode_id", "segment_id", "speaker", F.concat(F.lit("Welcome. My name is "), F.regexp_replace("speaker_name", r"\s+", " Q. "), F.lit(" and this is the show.")).alias("text"))
-QUERIES["introduced_names"] = lambda spark, d: N.introduced_names(_intro(spark, d), ["episode_id", "segment_id"])
+# names: the texts introduce nobody, so each speaker's first segment of an episode gets an introduction before its text
+def _introduced(spark, d):
+    s = seg(spark, d)
+    first = F.min("segment_id").over(W.partitionBy("episode_id", "speaker"))
+    hello = F.concat(F.lit("Welcome. My name is "), F.regexp_replace("speaker_name", r"\s+", " Q. "), F.lit(" and this is the show. "))
+    return s.withColumn("text", F.when((F.col("segment_id") == first) & F.col("speaker_name").isNotNull(), F.concat(hello, "text")).otherwise(F.col("text")))
+
+
+def _valid(x: str) -> str:
+    """SQL for whether a text is a name."""
+    ws = f"list_filter(regexp_split_to_array(trim({x}), '\\s+'), lambda w: w <> '')"
+    return f"(len({ws}) BETWEEN 2 AND 5 AND len(list_filter({ws}, lambda w: regexp_full_match(w, '.\\.') OR (length(w) >= 2 AND regexp_matches(w, '^\\p{{Lu}}')))) = len({ws}) AND lower({x}) NOT IN ({', '.join(repr(n) for n in N.NO_NAMES)}))"
+
+
+_quote = lambda p: p.replace("'", "''")
+_HELLO = f"""{SEG}, hi AS (SELECT episode_id, segment_id, speaker, CASE WHEN segment_id = min(segment_id) OVER (PARTITION BY episode_id, speaker) AND speaker_name IS NOT NULL
+  THEN 'Welcome. My name is ' || regexp_replace(speaker_name, '\\s+', ' Q. ', 'g') || ' and this is the show. ' || text ELSE text END AS text FROM seg)"""
+_FOUND = _HELLO + ", found AS (" + " UNION ALL ".join(f"SELECT episode_id, segment_id, speaker, unnest(regexp_extract_all(text, '{_quote(p)}', 1)) AS name, {i} AS pattern_no FROM hi" for i, p in enumerate(N.INTRODUCTIONS)) + ")"
+QUERIES["introduced_names"] = lambda spark, d: N.introduced_names(_introduced(spark, d), ["episode_id", "segment_id"])
+ORACLE["introduced_names"] = f"WITH {_FOUND} SELECT episode_id, segment_id, name, pattern_no, 0.85e0 AS confidence FROM found WHERE {_valid('name')}"
+QUERIES["names_by_speaker"] = lambda spark, d: N.names_by_speaker(_introduced(spark, d))
+ORACLE["names_by_speaker"] = f"""WITH {_FOUND}, v AS (SELECT *, lower(trim(name)) AS k FROM found WHERE {_valid("name")}),
+f AS (SELECT episode_id, speaker, k, arg_min({{'p': segment_id, 'n': name, 'm': pattern_no}}, {{'p': segment_id, 'n': name, 'm': 'pattern_' || pattern_no}}) AS f FROM v GROUP BY ALL),
+o AS (SELECT v.episode_id, v.speaker, v.k, count(*) FILTER (v.pattern_no <> f.f.m) AS others, any_value(f.f) AS f FROM v JOIN f ON v.episode_id = f.episode_id AND v.speaker = f.speaker AND v.k = f.k GROUP BY ALL)
+SELECT episode_id, speaker, f.n AS name, CASE WHEN others > 0 THEN 'combined' ELSE 'pattern_' || f.m END AS method, CASE WHEN others > 0 THEN 0.95e0 ELSE 0.85e0 END AS confidence, f.p AS position FROM o"""
+_SANITY = lambda x: f"(CASE WHEN {_SAN.replace('title', x)} = '' THEN 'untitled' ELSE {_SAN.replace('title', x)} END)"
+
+
+def names_sql(filename: str) -> str:
+    """SQL for the names in a file name."""
+    stem = f"regexp_replace(regexp_replace({filename}, '\\.[^.]*$', ''), '^\\d+_?', '')"
+    marked = f"array_to_string(list_transform(list_filter(regexp_split_to_array({stem}, '[_\\-\\s]+'), lambda w: w <> ''), lambda w: CASE WHEN lower(w) IN ({', '.join(repr(w) for w in N.SKIP_WORDS)}) THEN '|' ELSE w END), ' ')"
+    title = "array_to_string(list_transform(regexp_extract_all(trim(regexp_replace(g, '\\s+', ' ', 'g')), '([\\pL]+|[^\\pL]+)', 1), lambda p: upper(left(p, 1)) || lower(substr(p, 2))), '')"
+    return f"list_filter(list_transform(string_split({marked}, '|'), lambda g: {title}), lambda n: {_valid('n')})"
+
+
+ORACLE["filename_names"] = f"""WITH {EPI} SELECT episode_id, array_to_string({names_sql("'12_' || " + _SANITY("title") + " || '_with_' || " + _SANITY('"show"') + " || '.json'")}, ';') AS names FROM epi"""
 QUERIES["filename_names"] = lambda spark, d: _ep(spark, d).select("episode_id", F.array_join(N.names_in_filename(F.concat(F.lit("12_"), T.sanitize_name(F.col("title")), F.lit("_with_"), T.sanitize_name(F.col("show")), F.lit(".json"))), ";").alias("names"))
 
 
 def _episodes_with_names(spark, d):
     people = seg(spark, d).where("speaker_name is not null").groupBy("episode_id").agg(F.array_sort(F.collect_set("speaker_name")).alias("names"))
     shows = table(spark, d, "shows").select("show", F.col("title").alias("show_title"), F.col("author").alias("known_host"))
-    intro = seg(spark, d).where("segment_id < 3").groupBy("episode_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("segment_id", "text"))), lambda x: x["text"]), " ").alias("intro"))
+    intro = seg(spark, d).where("segment_id < 30").groupBy("episode_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("segment_id", "text"))), lambda x: x["text"]), " ").alias("intro"))
     return _ep(spark, d).select("episode_id", "show", "title").join(people, "episode_id").join(shows, "show").join(intro, "episode_id", "left")
 
 
 QUERIES["role_assign"] = lambda spark, d: N.heuristic_roles(_episodes_with_names(spark, d))
 QUERIES["role_fallback"] = lambda spark, d: N.fallback_roles(_episodes_with_names(spark, d))
+_intro_sql = """SELECT episode_id, string_agg(text, ' ' ORDER BY segment_id) AS intro FROM seg WHERE segment_id < 30 GROUP BY 1"""
+ORACLE["role_assign"] = f"""WITH RECURSIVE {EPI}, {SEG}, pe AS (SELECT DISTINCT episode_id, speaker_name AS name FROM seg WHERE speaker_name IS NOT NULL), it AS ({_intro_sql}),
+po AS (SELECT pe.episode_id, CAST(row_number() OVER (PARTITION BY pe.episode_id ORDER BY name) - 1 AS INT) AS ord, name, coalesce(lower(name) = lower(s.author), false) AS known,
+  contains(lower(replace(coalesce(s.title, ''), '_', ' ')), lower(name)) AS in_show, contains(lower(coalesce(e.title, '')), lower(name)) AS in_title,
+  contains(lower(coalesce(intro, '')), 'i''m ' || lower(name)) OR contains(lower(coalesce(intro, '')), 'my name is ' || lower(name)) AS said
+  FROM pe JOIN epi e USING (episode_id) JOIN shows s ON s."show" = e."show" LEFT JOIN it ON it.episode_id = pe.episode_id),
+r AS (SELECT po.*, known OR in_show OR (NOT in_title AND said) AS host, known OR in_show AS by_show FROM po WHERE ord = 0
+  UNION ALL SELECT po.*, r.host OR po.known OR (NOT r.host AND po.in_show) OR (NOT po.in_title AND po.said AND NOT r.host), po.known OR (NOT r.host AND po.in_show) FROM r JOIN po ON po.episode_id = r.episode_id AND po.ord = r.ord + 1),
+h AS (SELECT *, coalesce(lag(host) OVER (PARTITION BY episode_id ORDER BY ord), false) AS had FROM r)
+SELECT episode_id, ord, name, CASE WHEN by_show THEN 'HOST' WHEN in_title THEN 'GUEST' WHEN said AND NOT had THEN 'HOST' ELSE 'GUEST' END AS role, CASE WHEN known THEN 0.95e0 WHEN by_show THEN 0.8e0 WHEN in_title THEN 0.75e0 WHEN said THEN 0.7e0 ELSE 0.5e0 END AS confidence,
+  CASE WHEN known THEN 'known host' WHEN by_show THEN 'in podcast title' WHEN in_title THEN 'in episode title' WHEN said THEN 'self-introduction' ELSE 'default' END AS reason FROM h"""
 _PEOPLE = f"""{EPI}, {SEG}, pe AS (SELECT DISTINCT episode_id, speaker_name AS name FROM seg WHERE speaker_name IS NOT NULL), po AS (SELECT *, row_number() OVER (PARTITION BY episode_id ORDER BY name) - 1 AS ord FROM pe)"""
 ORACLE["role_fallback"] = f"""WITH {_PEOPLE}, j AS (SELECT episode_id, ord, name, contains(lower(replace(coalesce(s.title, ''), '_', ' ')), lower(name)) AS hit FROM po JOIN epi e USING (episode_id) JOIN shows s ON s."show" = e."show"),
 f AS (SELECT *, min(CASE WHEN hit THEN ord END) OVER (PARTITION BY episode_id) AS first FROM j) SELECT episode_id, CAST(ord AS INT) AS ord, name, CASE WHEN ord = first THEN 'HOST' ELSE 'GUEST' END AS role, CASE WHEN ord = first THEN 0.6 ELSE 0.4 END AS confidence FROM f"""
-_mapped = lambda spark, d: N.names_to_speakers(N.heuristic_roles(_episodes_with_names(spark, d)), seg(spark, d))
+_mapped = lambda spark, d: N.label_speakers(_episodes_with_names(spark, d), seg(spark, d), S.host_candidates(seg(spark, d)))
 QUERIES["name_mapping"] = _mapped
 QUERIES["labeling_summary"] = lambda spark, d: N.labeling_summary(_mapped(spark, d))
 QUERIES["name_sources"] = lambda spark, d: N.first_source_names(seg(spark, d).where("speaker_name is not null").select("episode_id", F.when(F.col("segment_id") % 2 == 0, F.upper("speaker_name")).otherwise(F.col("speaker_name")).alias("name"), (F.col("segment_id") % 2).alias("priority")).distinct(), ["episode_id"])
