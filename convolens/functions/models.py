@@ -59,25 +59,31 @@ class HashAnnotator:
         return ['{"has_hate_speech": %s, "has_advertisement": false, "main_topic": "topic %d"}' % ("true" if _unit(t, "h") > 0.9 else "false", int(_unit(t, "t") * 9)) for t in texts]
 
 
-def classify(df: DataFrame, models: list[Classifier], text: str = "text") -> DataFrame:
-    """Adds classifications: for each model its top label; empty for blank texts. A model that fails is left out."""
+def classify(df: DataFrame, models: list[Classifier], text: str = "text", errors: str | None = None) -> DataFrame:
+    """Adds classifications: for each model its top label; empty for blank texts. A model that fails is left out.
 
-    @F.pandas_udf(CLASSIFIED)
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    With ``errors`` a column of that name says which models failed on a row's batch and how, so that failures can be counted.
+    """
+
+    @F.pandas_udf(f"classifications {CLASSIFIED}, errors array<struct<model_name:string,error:string>>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for x in batches:
             texts = ["" if t is None else t for t in x]
             at = [i for i, t in enumerate(texts) if t.strip()]
             out: list[list[dict]] = [[] for _ in texts]
+            failed: list[dict] = []
             for m in models:
                 try:
                     got = m.classify([texts[i] for i in at])
-                except Exception:  # noqa: BLE001
+                except Exception as e:  # noqa: BLE001
+                    failed.append({"model_name": m.name, "error": type(e).__name__})
                     continue
                 for i, (label, conf) in zip(at, got):
                     out[i].append({"model_name": m.name, "label": label, "confidence": float(conf)})
-            yield pd.Series(out)
+            yield pd.DataFrame({"classifications": out, "errors": [failed] * len(texts)})
 
-    return df.withColumn("classifications", run(F.col(text)))
+    done = df.withColumn("_done", run(F.col(text))).withColumn("classifications", F.col("_done.classifications"))
+    return (done if errors is None else done.withColumn(errors, F.col("_done.errors"))).drop("_done")
 
 
 def embed(df: DataFrame, model: Encoder, text: str = "text") -> DataFrame:

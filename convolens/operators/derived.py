@@ -22,8 +22,14 @@ def first_words(text: Column, n: int = 500) -> Column:
     return F.array_join(F.slice(tokens(text), 1, n), " ")
 
 
+#: Queries of a lot: a stated set that every target is scored against, and that is sent to all tasks.
+QUERIES = 10_000
+
+
 def _scored(queries: DataFrame, targets: DataFrame) -> DataFrame:
     q = queries.select("query").distinct().withColumn("_q", prepared(F.col("query")))
+    if q.limit(QUERIES + 1).count() > QUERIES:
+        raise ValueError(f"more than {QUERIES} queries: ask in lots")
     t = targets.select("target").distinct().withColumn("_t", prepared(F.col("target")))
     return t.join(F.broadcast(q), F.lit(True)).select("query", "target", F.round(score_of(F.col("_q"), F.col("_t")), 6).alias("score"))
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from convolens.functions.numbers import norm
-
-#: Rows of a taxonomy that is broadcast; a larger one is joined without a hint.
-BROADCAST_ROWS = 100_000
+#: Rows of a taxonomy that are sent to all tasks at a time; vectors multiplied at a time.
+BLOCK, ROWS = 20_000, 2_048
 
 
 def centroids(vectors: DataFrame, key: str) -> DataFrame:
@@ -17,24 +19,52 @@ def centroids(vectors: DataFrame, key: str) -> DataFrame:
     return g.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v")).select(key, F.transform("v", lambda e: e["x"]).alias("vector"))
 
 
-def unit(df: DataFrame, column: str) -> DataFrame:
-    """Adds <column>_unit, the vector divided by its length (by 1 if that is 0), computed once per row."""
-    size = norm(F.col(column))
-    return df.withColumn(f"{column}_n", F.when(size == 0, F.lit(1.0)).otherwise(size)).withColumn(f"{column}_unit", F.transform(column, lambda x: x.cast("double") / F.col(f"{column}_n"))).drop(f"{column}_n")
+def _products(broadcast, threshold: float, kind: pa.DataType):
+    """Arrow batches (vec_id, embedding) to their matches, by one matrix product for each slice of rows."""
+
+    def run(batches):
+        labels, units = broadcast.value
+        label_array = pa.array(labels, kind)
+        size = units.shape[1] if len(units) else 0
+        for batch in batches:
+            lists = batch["embedding"]
+            lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            fit = np.flatnonzero(lengths == size) if size else np.zeros(0, np.int64)
+            for i in range(0, len(fit), ROWS):
+                rows = fit[i : i + ROWS]
+                values = lists.take(pa.array(rows)).flatten()
+                x = pc.fill_null(values.cast(pa.float64()), np.nan).to_numpy(zero_copy_only=False).reshape(-1, size)
+                length = np.sqrt((x * x).sum(1))
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    dots = np.round((x / length[:, None]) @ units.T, 6)
+                at, to = np.nonzero(dots >= threshold)  # no number is not at least anything
+                yield pa.RecordBatch.from_arrays([batch["vec_id"].take(pa.array(rows[at])), label_array.take(pa.array(to)), pa.array(dots[at, to])], ["vec_id", "label", "similarity"])
+
+    return run
 
 
 def threshold_matches(vectors: DataFrame, taxonomy: DataFrame, threshold: float) -> DataFrame:
-    """(vec_id, label, similarity) of all pairs with a cosine of at least ``threshold``; vectors without length match nothing.
+    """(vec_id, label, similarity) of all pairs with a cosine of at least ``threshold``.
 
-    The taxonomy is a stated query set (groups x strategies, some dozens of rows) against all rows; its unit vectors
-    are made once and sent to all tasks.
+    Vectors without length, with nulls or of another length than the taxonomy's match nothing. The taxonomy is a stated
+    query set against all rows, in blocks of about ``BLOCK`` rows; the unit vectors of a block are sent to all tasks.
     """
-    v = unit(vectors.where(norm(F.col("embedding")) > 0).select("vec_id", "embedding"), "embedding").select("vec_id", "embedding_unit")
-    t = unit(taxonomy, "vector").select("label", "vector_unit")
-    if t.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        t = F.broadcast(t)
-    dot = F.aggregate(F.zip_with("embedding_unit", "vector_unit", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    return v.join(t, F.lit(True)).select("vec_id", "label", F.round(dot, 6).alias("similarity")).where(F.col("similarity") >= threshold)
+    spark = vectors.sparkSession
+    t = taxonomy.where("vector is not null").select("label", "vector")
+    blocks = max(1, -(-t.count() // BLOCK))
+    label = taxonomy.schema["label"].dataType
+    schema = f"vec_id {vectors.schema['vec_id'].dataType.simpleString()}, label {label.simpleString()}, similarity double"
+    out = spark.createDataFrame([], schema)
+    for b in range(blocks):
+        rows = t.where(F.pmod(F.xxhash64("label"), F.lit(blocks)) == b).orderBy("label").collect()
+        size = max((len(r.vector) for r in rows), default=0)
+        rows = [r for r in rows if len(r.vector) == size and None not in r.vector]
+        m = np.array([r.vector for r in rows], float).reshape(len(rows), size)
+        length = np.sqrt((m * m).sum(1))
+        m /= np.where(length == 0, 1.0, length)[:, None]
+        sent = spark.sparkContext.broadcast(([r.label for r in rows], m))
+        out = out.unionByName(vectors.select("vec_id", "embedding").mapInArrow(_products(sent, threshold, to_arrow_type(label)), schema))
+    return out
 
 
 def similarity_summary(matches: DataFrame) -> DataFrame:

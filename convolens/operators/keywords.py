@@ -33,8 +33,11 @@ def keyword_matches(segments: DataFrame, lexicon: DataFrame, window: int = 50, p
         hit = s.join(F.broadcast(lex), F.col("_text").contains(F.col("_low"))).drop("_text", "_low")
     else:
         first = lex.withColumn("_word", F.filter(F.split("_low", cut), lambda w: w != "")[0]).drop("_low")
-        words = s.withColumn("_word", F.explode(F.array_distinct(F.split("_text", cut)))).drop("_text")
-        hit = words.join(F.broadcast(first), "_word").drop("_word")
+        # a segment's own words that begin keywords: only segments that have one are taken apart, and only at those
+        words = F.array_distinct(F.split("_text", cut))
+        starts = F.broadcast(first.agg(F.collect_set("_word").alias("_starts")))
+        own = s.join(starts, F.lit(True)).withColumn("_own", F.array_intersect(words, "_starts")).where(F.size("_own") > 0)
+        hit = own.withColumn("_word", F.explode("_own")).drop("_text", "_own", "_starts").join(F.broadcast(first), "_word").drop("_word")
     pattern = T.keyword_pattern(F.col("keyword"), partial)
     # the gaps between matches and the matches themselves, in turn, give each match's place
     hit = hit.withColumns({"_m": F.regexp_extract_all("text", pattern, F.lit(0)), "_g": F.split("text", pattern, -1)}).where(F.size("_m") > 0)

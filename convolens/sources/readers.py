@@ -128,7 +128,7 @@ def lexicon_rows(config: dict) -> list[tuple]:
 
 def _config(spark: SparkSession, path: str) -> dict:
     """A configuration file, YAML (where the library is there) or JSON, on any file system; it is small and read whole."""
-    text = spark.read.option("wholetext", True).text(path).first()[0]
+    text = spark.read.text(path, wholetext=True).first()[0]
     try:
         import yaml
     except ImportError:
