@@ -36,7 +36,7 @@ FOLDER = os.environ.get("CONVOLENS_TOKENIZERS", "/opt/tokenizers")
 #: Fixed value: the pattern that comes with these vocabularies and splits text before the merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words kept by a worker between batches and their ids, bytes contracted by one recursive query, characters split at a time.
-KEPT_WORDS, KEPT_IDS, QUERY_BYTES, BLOCK = 150_000, 8_000_000, 200_000, 2_000_000
+KEPT_WORDS, KEPT_IDS, QUERY_BYTES, BLOCK = 300_000, 8_000_000, 200_000, 2_000_000
 #: Words of more bytes are cut before the recursion; pieces of more bytes than PART are contracted in parts.
 LONG, PART = 16, 64
 #: Rows that one recursive query may come to hold, about; small pieces kept by a worker; tokens first taken beside a seam; seams mended at a time.
@@ -97,8 +97,9 @@ class Encoder:
                 self.tokens.add_word("".join(chr(back[c]) for c in t), len(t))
         self.tokens.make_automaton()
         self.split = regex.compile(PATTERN).findall
-        self.words: dict[str, np.ndarray] = {}
-        self.held = 0  # ids of these words
+        # the words met so far: each has a number, and its ids lie in the store from its head on
+        self.words: dict[str, int] = {}
+        self.heads, self.sizes, self.store = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.pieces: dict[bytes, list[int]] = {}
 
     def cut(self, word: bytes) -> list[bytes]:
@@ -220,14 +221,34 @@ class Encoder:
         number = {p: i for i, p in enumerate(pieces)}
         short = bisect.bisect_right(pieces, PART, key=len)
         ids = self.contract(pieces[:short]) + self.in_parts(pieces[short:])
-        for w, ps in zip(new, parts):
-            self.words[w] = ids[number[ps[0]]] if len(ps) == 1 else np.concatenate([ids[number[p]] for p in ps])
-            self.held += len(self.words[w])
+        self._keep(new, [ids[number[ps[0]]] if len(ps) == 1 else np.concatenate([ids[number[p]] for p in ps]) for ps in parts])
+
+    def _keep(self, words: list[str], ids: list[np.ndarray]) -> None:
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        heads = len(self.store) + np.cumsum(sizes) - sizes
+        self.words.update(zip(words, range(len(self.words), len(self.words) + len(words))))
+        self.heads, self.sizes = np.concatenate([self.heads, heads]), np.concatenate([self.sizes, sizes])
+        self.store = np.concatenate([self.store, *ids])
 
     def _make_room(self, known: set[str]) -> None:
-        if len(self.words) + len(known) > KEPT_WORDS or self.held > KEPT_IDS:
-            self.words = {w: self.words[w] for w in known if w in self.words}
-            self.held = sum(map(len, self.words.values()))
+        """Before known words are learnt: forgets the others if too many are kept."""
+        if len(self.words) + len(known) <= KEPT_WORDS and len(self.store) <= KEPT_IDS:
+            return
+        kept = [w for w in known if w in self.words]
+        ids = [self.store[self.heads[i] : self.heads[i] + self.sizes[i]] for i in map(self.words.__getitem__, kept)]
+        self.words, self.heads, self.sizes, self.store = {}, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self._keep(kept, ids)
+
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The words' ids one after another, and where each word's begin (and the end of all)."""
+        known = set(words)
+        self._make_room(known)
+        self.learn(known)
+        numbers = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
+        sizes = self.sizes[numbers]
+        ends = np.zeros(len(words) + 1, np.int64)
+        np.cumsum(sizes, out=ends[1:])
+        return self.store[np.arange(ends[-1]) + np.repeat(self.heads[numbers] - ends[:-1], sizes)], ends
 
     def encode_long(self, text: str, words: int = 300_000) -> np.ndarray:
         """The ids of one text of any length, a bounded number of words at a time."""
@@ -235,33 +256,23 @@ class Encoder:
         for m in regex.finditer(PATTERN, text):
             lot.append(m[0])
             if len(lot) == words:
-                out.append(self._ids_of(lot))
+                out.append(self.encode_words(lot)[0])
                 lot = []
-        return np.concatenate([*out, self._ids_of(lot)])
-
-    def _ids_of(self, words: list[str]) -> np.ndarray:
-        known = set(words)
-        self._make_room(known)
-        self.learn(known)
-        return np.concatenate([self.words[w] for w in words]) if words else np.zeros(0, np.int32)
+        return np.concatenate([*out, self.encode_words(lot)[0]])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids one after another, and where each text's begin (and the end of all)."""
         if len(texts) == 1 and len(texts[0]) > BLOCK:
             ids = self.encode_long(texts[0])
             return ids, np.array([0, len(ids)])
-        split = [self.split(t) if t else [] for t in texts]
-        known: set[str] = set()
-        for ws in split:
-            known.update(ws)
-        self._make_room(known)
-        self.learn(known)
-        get = self.words
-        arrays = [get[w] for ws in split for w in ws]
-        counts = np.fromiter((len(a) for a in arrays), np.int64, len(arrays))
-        ends = np.r_[0, np.cumsum(counts)]
-        heads = np.r_[0, np.cumsum([len(ws) for ws in split])]
-        return (np.concatenate(arrays) if arrays else np.zeros(0, np.int32)), ends[heads]
+        words: list[str] = []
+        heads = np.zeros(len(texts) + 1, np.int64)
+        for i, t in enumerate(texts):
+            if t:
+                words += self.split(t)
+            heads[i + 1] = len(words)
+        ids, ends = self.encode_words(words)
+        return ids, ends[heads]
 
 
 _encoders: dict[tuple[str, str], Encoder] = {}

@@ -48,11 +48,20 @@ def test_long_words(enc, word):
     assert enc.encode([t])[0].tolist() == K._tiktoken(K.FOLDER, "byte_bpe_50k").encode_ordinary(t)
 
 
+def test_words_are_forgotten(enc, monkeypatch):
+    monkeypatch.setattr(K, "KEPT_WORDS", 5)
+    monkeypatch.setattr(K, "KEPT_IDS", 20)
+    ref = K._tiktoken(K.FOLDER, "byte_bpe_50k")
+    for t in ["one two three four", "two three five six seven eight nine", "x" * 500 + " two", "", "one two"]:
+        ids, off = enc.encode([t, "two six", ""])
+        assert ids[: off[1]].tolist() == ref.encode_ordinary(t) and ids[off[1] :].tolist() == ref.encode_ordinary("two six") and off[3] == off[2]
+
+
 @pytest.mark.parametrize(("part", "seams"), [(3, 2), (7, 4096), (64, 4096)])
-def test_seams(enc, monkeypatch, part, seams):
+def test_seams(monkeypatch, part, seams):
     for name, value in (("PART", part), ("SEAMS", seams), ("BESIDE", 1 + part // 8)):
         monkeypatch.setattr(K, name, value)
-    monkeypatch.setattr(enc, "words", {})
+    enc = K.Encoder(K.FOLDER, "byte_bpe_50k")
     ref = K._tiktoken(K.FOLDER, "byte_bpe_50k")
     r = random.Random(part)
     tokens = sorted(b.decode() for b in enc.bytes_of.values() if b.isalpha())
