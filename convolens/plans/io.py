@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from convolens.functions import models as P
 from convolens.operators import features, keywords as K, labels as L
 from convolens.plans.base import CLS, SEG, TURNS, cls, seg, turns
+from convolens.plans.episodes import EPI, _ep
 from convolens.plans.features import ORACLE as _FEATURES
 from convolens.plans.keywords import _MATCH
 from convolens.session import Stage, table
@@ -120,5 +121,51 @@ def stub_models(spark, d):
 
 
 QUERIES["stub_models"] = stub_models
+
+
+def feed_round_trip(spark, d):
+    """Shows and episodes as RSS, the episodes read back."""
+    root = Stage(spark, "feed").root
+    O.write_feed(table(spark, d, "shows"), _ep(spark, d), root)
+    e = R.read_feed(spark, root)
+    return e.select("episode_id", "audio_url", F.date_format("published", "yyyy-MM-dd HH:mm:ss").alias("published"), F.col("duration").cast("bigint").alias("duration"), "episode_number", "season_number", "file_size", "mime_type")
+
+
+QUERIES["feed_round_trip"] = feed_round_trip
+ORACLE["feed_round_trip"] = f"""WITH {EPI} SELECT episode_id, audio_url, strftime(published, '%Y-%m-%d %H:%M:%S') AS published, duration, episode_number, season_number, file_size, mime_type FROM epi
+WHERE "show" IN (SELECT "show" FROM shows) AND audio_url IS NOT NULL AND (coalesce(starts_with(mime_type, 'audio/'), false) OR regexp_matches(lower(audio_url), '\\.(?:mp3|m4a|ogg|wav)(?:[?#]|$)'))"""
+
+
+def podcasts_round_trip(spark, d):
+    root = Stage(spark, "podcasts").root
+    O.write_feed(table(spark, d, "shows"), _ep(spark, d), root)
+    return R.read_podcasts(spark, root).select("title", "author", "website", "language")
+
+
+QUERIES["podcasts_round_trip"] = podcasts_round_trip
+ORACLE["podcasts_round_trip"] = "SELECT title, author, website, language FROM shows"
+
+
+def shows_found(spark, d):
+    """The files of transcripts by show."""
+    root = Stage(spark, "found").root
+    O.write_transcripts(seg(spark, d).select("show", "episode_id", "segment_id", "text"), root)
+    return R.discover_shows(spark, root).select("show", "episode_id")
+
+
+QUERIES["shows_found"] = shows_found
+ORACLE["shows_found"] = f"""WITH {SEG} SELECT DISTINCT "show", episode_id FROM seg"""
+
+
+def folders_counted(spark, d):
+    """Files below each folder of turns; their bytes depend on the writer, so only whether there are any is told."""
+    root = Stage(spark, "folders").root
+    O.write_rttm(turns(spark, d).select("episode_id", (F.col("start_ms") / 1000).alias("start"), (F.col("end_ms") / 1000).alias("end"), F.col("speaker_id").alias("speaker")).coalesce(1), root)
+    f = R.folder_stats(spark, root).where("folder like 'episode_id=%'")
+    return f.select(F.substring_index("folder", "=", -1).alias("episode_id"), (F.col("bytes") > 0).alias("filled")).distinct()
+
+
+QUERIES["folders_counted"] = folders_counted
+ORACLE["folders_counted"] = f"WITH {TURNS} SELECT DISTINCT episode_id, true AS filled FROM tur"
 QUERIES["label_polarity"] = lambda spark, d: cls(spark, d).join(F.broadcast(L.polarity(spark)), ["model_name", "label"]).groupBy("model_name", "vote").agg(F.count("*").alias("n"))
 ORACLE["label_polarity"] = f"WITH {CLS}, p AS (SELECT * FROM (VALUES " + ", ".join(f"('{m}', '{x}', {v})" for m, x, v in L.POLARITY) + ") t(model_name, label, vote)) SELECT cls.model_name, vote, count(*) AS n FROM cls JOIN p ON cls.model_name = p.model_name AND cls.label = p.label GROUP BY ALL"

@@ -160,6 +160,20 @@ QUERIES["name_sources"] = lambda spark, d: N.first_source_names(seg(spark, d).wh
 ORACLE["name_sources"] = f"""WITH {SEG}, c AS (SELECT DISTINCT episode_id, CASE WHEN segment_id % 2 = 0 THEN upper(speaker_name) ELSE speaker_name END AS name, segment_id % 2 AS priority FROM seg WHERE speaker_name IS NOT NULL),
 r AS (SELECT *, row_number() OVER (PARTITION BY episode_id, lower(name) ORDER BY priority, name) AS r FROM c) SELECT episode_id, name, priority FROM r WHERE r = 1"""
 
+# single column functions, each over its whole table
+QUERIES["show_names"] = lambda spark, d: table(spark, d, "transcripts").select("audio_file", T.extract_show_name(F.concat(F.lit("root/"), "show", F.lit("/"), "audio_file")).alias("deep"), T.extract_show_name(F.col("audio_file")).alias("own"))
+ORACLE["show_names"] = """WITH p AS (SELECT audio_file, string_split('root/' || "show" || '/' || audio_file, '/') AS a, string_split(audio_file, '/') AS b FROM transcripts)
+SELECT audio_file, CASE WHEN len(a) >= 3 THEN a[-2] ELSE 'unknown' END AS deep, CASE WHEN len(b) >= 3 THEN b[-2] ELSE 'unknown' END AS own FROM p"""
+QUERIES["plain_markup"] = lambda spark, d: table(spark, d, "documents").select("doc_id", T.strip_markup(F.col("text")).alias("text"))
+ORACLE["plain_markup"] = "SELECT doc_id, regexp_replace(text, '\\[/?[^\\]]+\\]', '', 'g') AS text FROM documents"
+QUERIES["valid_names"] = lambda spark, d: table(spark, d, "segments").select("speaker_name").distinct().select("speaker_name", N.is_valid_name(F.col("speaker_name")).alias("valid"))
+ORACLE["valid_names"] = f"""SELECT DISTINCT speaker_name, CASE WHEN speaker_name IS NOT NULL THEN {_valid("speaker_name")} END AS valid FROM segments"""
+QUERIES["fuzzy_parts"] = lambda spark, d: _pairs(spark, d).select("episode_id", Z.prepared(F.col("title")).alias("q"), Z.prepared(F.col("episode_title")).alias("t")).select("episode_id", *(F.round(v, 6).alias(k) for k, v in Z.parts_of(F.col("q"), F.col("t")).items()), F.array_join("q.words", " ").alias("words"), F.col("t.plain").alias("plain"))
+ORACLE["fuzzy_parts"] = f"""WITH {_PAIRS}, sides AS (SELECT episode_id, {_side("title")} AS q, {_side("episode_title")} AS t FROM pairs)
+SELECT episode_id, round({_part("words")}, 6) AS word, round({_CHAR}, 6) AS char, round({_part("codes")}, 6) AS phonetic, round({_POS}, 6) AS position, array_to_string(q.words, ' ') AS words, t.plain AS plain FROM sides"""
+QUERIES["show_filter"] = lambda spark, d: S.speaker_stats(seg(spark, d).where(F.lower("show").rlike("^[a-m]"))).select("show", "episode_id", "speaker", "n_segments")
+ORACLE["show_filter"] = f"""WITH {SEG} SELECT "show", episode_id, speaker, count(*) AS n_segments FROM seg WHERE regexp_matches(lower("show"), '^[a-m]') GROUP BY ALL"""
+
 _ANSWERS = [
     '```json\n{"has_hate_speech": true, "target_group": "women", "hate_speech_type": "slurs", "main_topic": "news",}\n```',
     "{'has_hate_speech': False, 'has_advertisement': True, 'target_group': None}", 'Sure. {"has_hate_speech": true, "main_topic": "a {b} c"} more {x}', "{has_hate_speech: True, main_topic: 'a'}", "no", "", '{"has_hate_speech": tru',

@@ -85,7 +85,7 @@ def read_features(spark: SparkSession, path: str, metrics: list[str] | None = No
 def read_feed(spark: SparkSession, path: str) -> DataFrame:
     """Episodes of RSS files: items with audio, newest first, undated ones last."""
     schema = "title string, link string, guid string, pubDate string, description string, enclosure struct<_url:string,_type:string,_length:string>, `itunes:duration` string, `itunes:episode` string, `itunes:season` string"
-    items = spark.read.format("xml").option("rowTag", "item").schema(schema).load(path)
+    items = spark.read.format("xml").option("rowTag", "item").option("recursiveFileLookup", True).schema(schema).load(path)
     url = F.col("enclosure._url")
     audio = F.when(is_audio(url, F.col("enclosure._type")), url).otherwise(F.when(is_audio(F.col("link"), F.lit(None).cast("string")), F.col("link")))
     published = F.coalesce(F.try_to_timestamp(F.regexp_replace("pubDate", r"^\w{3},\s*", ""), F.lit("d MMM yyyy HH:mm:ss Z")), F.try_to_timestamp(F.col("pubDate")))
@@ -96,6 +96,20 @@ def read_feed(spark: SparkSession, path: str) -> DataFrame:
     return e.where("audio_url is not null").orderBy(F.desc_nulls_last("published"), "episode_id")
 
 
+def read_podcasts(spark: SparkSession, path: str) -> DataFrame:
+    """(title, description, author, website, language) of the channels of RSS files."""
+    schema = "title string, description string, `itunes:author` string, link string, language string"
+    c = spark.read.format("xml").option("rowTag", "channel").option("recursiveFileLookup", True).schema(schema).load(path)
+    return c.select("title", "description", F.col("`itunes:author`").alias("author"), F.col("link").alias("website"), "language")
+
+
+def discover_shows(spark: SparkSession, root: str, pattern: str = "*.json") -> DataFrame:
+    """(show, path) of all files below a folder, a show being a folder of files; contents aren't read."""
+    f = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root).select("path")
+    show, episode = _place(F.col("path"))
+    return f.select(show.alias("show"), episode.alias("episode_id"), "path").orderBy("show", "path")
+
+
 def folder_stats(spark: SparkSession, root: str) -> DataFrame:
     """(folder, n_files, bytes) of all files below a folder, by name; contents aren't read."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 E = ["show", "episode_id"]
 
@@ -77,3 +77,26 @@ def category_export(matches: DataFrame) -> DataFrame:
 
     g = matches.groupBy("category").agg(F.count("*").alias("n"))
     return g.select(F.row_number().over(W.orderBy(F.desc("n"), "category")).alias("rank"), "category", "n")
+
+
+def _element(name: str, value: Column) -> Column:
+    """An XML element with escaped text; null if the value is."""
+    text = value.cast("string")
+    for sign, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        text = F.replace(text, F.lit(sign), F.lit(entity))
+    # characters that XML has no way to write are left out
+    text = F.regexp_replace(text, "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\ufffe\uffff]", "")
+    return F.concat(F.lit(f"<{name}>"), text, F.lit(f"</{name}>"))
+
+
+def write_feed(shows: DataFrame, episodes: DataFrame, root: str) -> None:
+    """An RSS file a show, in a folder of its own, with an item an episode."""
+    attribute = lambda name, value: F.concat(F.lit(f' {name}="'), _element("x", value).substr(F.lit(4), F.length(_element("x", value)) - 7), F.lit('"'))
+    enclosure = F.concat(F.lit("<enclosure"), F.concat_ws("", attribute("url", F.col("audio_url")), attribute("type", F.col("mime_type")), attribute("length", F.col("file_size"))), F.lit("/>"))
+    items = episodes.select("show", F.concat(F.lit("<item>"), F.concat_ws(
+        "", _element("guid", F.col("episode_id")), _element("title", F.col("title")), _element("description", F.col("description")), _element("pubDate", F.date_format("published", "EEE, dd MMM yyyy HH:mm:ss +0000")),
+        enclosure, _element("itunes:duration", F.col("duration")), _element("itunes:episode", F.col("episode_number")), _element("itunes:season", F.col("season_number")),
+    ), F.lit("</item>")).alias("item")).groupBy("show").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    head = F.concat_ws("", _element("title", F.col("title")), _element("description", F.col("description")), _element("itunes:author", F.col("author")), _element("link", F.col("website")), _element("language", F.col("language")))
+    feeds = shows.join(items, "show", "left").select("show", F.concat(F.lit('<rss version="2.0" xmlns:itunes="http://www.itunes.com/dtds/podcast-1.0.dtd"><channel>'), head, F.concat_ws("", F.coalesce("items", F.expr("cast(array() as array<string>)"))), F.lit("</channel></rss>")).alias("value"))
+    feeds.write.mode("overwrite").partitionBy("show").text(root)
