@@ -288,3 +288,14 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     caps = table(spark, sf_dir, "capacities").select("container", "capacity_tokens")
     sums = packed.groupBy("container").agg(F.countDistinct("bin_no").alias("n_bins"), F.sum("n_tokens").alias("n_tokens"))
     return sums.join(F.broadcast(caps), "container").select("container", "n_bins", "n_tokens", F.round(F.col("n_tokens") / (F.col("n_bins") * F.col("capacity_tokens")), 6).alias("fill"))
+
+
+def p8_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(container, n_documents, n_overfull, n_split, n_lost): what packing must keep: every document once, none over the capacity, split only where it must be."""
+    packed = p8_pack(spark, sf_dir)
+    caps = table(spark, sf_dir, "capacities").select("container", "capacity_tokens")
+    # one row a document and a container: its parts, their tokens, and whether they follow each other
+    docs = packed.groupBy("container", "doc_id").agg(F.count("*").alias("parts"), F.sum("n_tokens").alias("n"), (F.max(F.col("start_token") + F.col("n_tokens")) == F.sum("n_tokens")).alias("whole"))
+    docs = docs.join(F.broadcast(caps), "container").groupBy("container").agg(F.count("*").alias("n_documents"), F.count_if((F.col("parts") > 1) & (F.col("n") <= F.col("capacity_tokens"))).alias("n_split"), F.count_if(~F.col("whole")).alias("n_lost"))
+    bins = packed.where("bin_no is not null").groupBy("container", "bin_no").agg(F.sum("n_tokens").alias("n")).join(F.broadcast(caps), "container").groupBy("container").agg(F.count_if(F.col("n") > F.col("capacity_tokens")).alias("n_overfull"))
+    return docs.join(bins, "container", "left").fillna(0, ["n_overfull"]).select("container", "n_documents", "n_overfull", "n_split", "n_lost")

@@ -18,8 +18,14 @@ QUERIES["p6_found"] = spans.p6_found
 QUERIES["p6_shares"] = spans.p6_shares
 QUERIES["p6_members"] = spans.p6_members
 QUERIES["p7_ids"] = tokenizer.p7_ids
+QUERIES["p7_lengths"] = tokenizer.p7_lengths
+ORACLE["p7_lengths"] = "SELECT doc_id, strlen(coalesce(text, '')) AS n_bytes FROM documents"
+QUERIES["p8_kept"] = packing.p8_kept
+ORACLE["p8_kept"] = "SELECT container, (SELECT count(*) FROM documents) AS n_documents, 0 AS n_overfull, 0 AS n_split, 0 AS n_lost FROM capacities WHERE capacity_tokens > 0 AND container IS NOT NULL"
 QUERIES["p8_pack"] = packing.p8_pack
 QUERIES["p8_fill"] = packing.p8_fill
+QUERIES["p9_covered"] = sentences.p9_covered
+ORACLE["p9_covered"] = """SELECT doc_id, length(regexp_replace(text, '[\\s\\pZ\\x{0B}\\x{85}\\x{FEFF}\\x{200B}]', '', 'g')) AS n_chars FROM documents WHERE regexp_matches(text, '[^\\s\\pZ\\x{0B}\\x{85}\\x{FEFF}\\x{200B}]')"""
 QUERIES["p9_found"] = sentences.p9_found
 QUERIES["p9_sentences"] = sentences.p9_sentences
 QUERIES["p3_found"] = runs.p3_found

@@ -16,7 +16,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from convolens.llm import langid
 from convolens.llm.batches import slices
@@ -298,3 +298,9 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p9_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentence units of every document."""
     return sentences(spark, table(spark, sf_dir, "documents"), sf_dir, with_text=True)
+
+
+def p9_covered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_chars): characters of each document's sentences without white space; they are all the text has."""
+    s = sentences(spark, table(spark, sf_dir, "documents"), sf_dir, with_text=True)
+    return s.groupBy("doc_id").agg(F.sum(F.length(F.regexp_replace("sentence", r"[\s\p{Z}\x0B\x85\uFEFF\u200B]", ""))).cast("bigint").alias("n_chars"))

@@ -25,6 +25,7 @@ import os
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -315,6 +316,27 @@ def encode(docs: DataFrame, name: str = "byte_bpe_50k", folder: str = FOLDER) ->
     return docs.select("doc_id", "text").mapInArrow(_ids(folder, name), "doc_id bigint, ids array<int>")
 
 
+def _lengths(folder: str, name: str):
+    def run(batches):
+        enc = encoder(folder, name)
+        size = np.zeros(max(enc.bytes_of) + 1, np.int64)
+        for i, b in enc.bytes_of.items():
+            size[i] = len(b)
+        for batch in batches:
+            ids = batch["ids"].combine_chunks() if isinstance(batch["ids"], pa.ChunkedArray) else batch["ids"]
+            ends = np.r_[0, np.cumsum(size[ids.flatten().to_numpy()])]
+            counts = np.diff(np.r_[0, np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(ids), 0).to_numpy(zero_copy_only=False))], prepend=0)[1:]
+            at = np.cumsum(np.r_[0, counts])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(counts.astype(np.int64)), pa.array(ends[at[1:]] - ends[at[:-1]])], ["doc_id", "n_ids", "n_bytes"])
+
+    return run
+
+
+def decoded_lengths(ids: DataFrame, name: str = "byte_bpe_50k", folder: str = FOLDER) -> DataFrame:
+    """(doc_id, n_ids, n_bytes) of (doc_id, ids): how many bytes the ids stand for, which are those of the text."""
+    return ids.select("doc_id", "ids").mapInArrow(_lengths(folder, name), "doc_id bigint, n_ids bigint, n_bytes bigint")
+
+
 def count_tokens(text: Column, name: str = "byte_bpe_50k", folder: str = FOLDER) -> Column:
     """The number of tokens of a text by a rank file of the same vocabulary (a compiled library; sizes only)."""
 
@@ -342,3 +364,8 @@ def _tiktoken(folder: str, name: str):
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"))
+
+
+def p7_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_bytes): the bytes that each document's ids stand for."""
+    return decoded_lengths(p7_ids(spark, sf_dir)).select("doc_id", "n_bytes")
