@@ -38,8 +38,8 @@ labelled <~ gap title? label gap
 
 brackets <~ ^ gap '[' at:clock ']' gap (who:labelled ':' ' ')?
 span     <~ ^ gap '[' from:seconds 's - ' seconds 's]' gap (who:labelled ':' ' ')?
-trailing <~ ^ gap (who:labelled) gap '(' at:clock '):'
-leading  <~ ^ gap at:clock ' ' (who:labelled) '- '
+trailing <~ ^ gap (who:labelled gap)? '(' at:clock '):'
+leading  <~ ^ gap at:clock ' ' (who:labelled)? '- '
 block    <~ ^ (who:labelled) gap at:clock gap $
 arrow    <~ ^ gap at:clock gap '-->' gap clock [^\n]* $
 srt      <~ gap (who:labelled ':' ' ')?

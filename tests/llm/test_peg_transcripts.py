@@ -99,3 +99,12 @@ def test_nulls(spark, data):
     docs = spark.createDataFrame([(1, None, "transcript", "x"), (2, "", "transcript", "x"), (None, "[00:00:01] S1: hello there", "transcript", "x"), (3, "[00:00:01] S1: hello", None, "x")], "doc_id bigint, text string, kind string, turn_no string")
     assert [tuple(r) for r in T.turns(spark, docs, data, False).collect()] == [(None, 1, "SPEAKER_01", 1000, 2)]
     assert T.turns(spark, docs.limit(0), data).count() == 0
+
+
+def test_headers_without_labels():
+    """A cue without a label belongs to the speaker before it, in every layout that has labels in its headers."""
+    from convolens.llm import transcripts as T
+
+    texts = ["ANNA KARP (00:00): Welcome.\n(00:12): The weather is fine.\nDr. Ben Oak (host) (00:20): Yes.", "00:05 Ann Bee - Hello.\n00:09 - And welcome.\n00:12 Bob Cee - Hi."]
+    for text in texts:
+        assert [(c.start, T.speaker_of(c.label) if c.label else None) for c in T.cues(text)] in ([(0, "anna karp"), (12000, None), (20000, "ben oak")], [(5000, "ann bee"), (9000, None), (12000, "bob cee")])
