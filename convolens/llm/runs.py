@@ -14,12 +14,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from convolens.operators.intervals import to_ms
-from convolens.session import Stage, is_empty, table
+from convolens.session import Stage, table
 
 #: Events are ordered inside blocks of this many ms of an episode; only block summaries are ordered over an episode.
 BLOCK_MS = 600_000
 #: Groups of episodes whose events are numbered one after another.
 BUCKETS = 1024
+#: Unfinished nodes that are sent to all tasks, at most; beyond that both sides are shuffled.
+SENT = 500_000
 #: Words that say a speaker isn't known.
 UNKNOWN = ("", "unknown", "unk", "none", "null", "nan", "n a", "na", "unidentified", "unknown speaker", "speaker unknown", "speaker", "inconnu", "unbekannt", "desconocido", "desconhecido", "sconosciuto", "неизвестно")
 _PLAIN = ("áàâäãåāăéèêëēíìîïīóòôöõøōúùûüūýÿñçšžćčńłőű", "aaaaaaaaeeeeeiiiiiooooooouuuuuyyncszccnlou")
@@ -95,20 +97,29 @@ def pointer_doubling(stage: Stage, nodes: DataFrame) -> DataFrame:
     """nodes (pos, ptr, e_ms) are the events that continue a run, ptr being their predecessor; ptr becomes the run's first event.
 
     A round joins the unfinished nodes with all nodes on ptr = pos: a pointer to no node has reached a first event,
-    else it becomes the pointer of the node it points to. Finished nodes are not joined again.
+    else it becomes the pointer of the node it points to. Finished nodes are not joined again; they are looked up, and
+    once the unfinished are few (counted), these are sent to where the others lie, so that only they are shuffled.
     """
-    active = nodes.withColumn("fin", F.lit(False))
+    active, few = nodes.withColumn("fin", F.lit(False)), False
     finished: list[DataFrame] = []
     while True:
         look = active.select(F.col("pos").alias("at"), F.col("ptr").alias("to"), "fin")
         for f in finished:
             look = look.unionByName(f.select(F.col("pos").alias("at"), F.col("ptr").alias("to"), "fin"))
-        j = active.drop("fin").join(look, F.col("ptr") == F.col("at"), "left")
+        seek = active.drop("fin")
+        if few:
+            found = look.join(F.broadcast(seek.select("pos", "ptr")), F.col("at") == F.col("ptr")).select("pos", F.lit(None).cast("bigint").alias("ptr"), F.lit(None).cast("bigint").alias("e_ms"), "to", "fin")
+            both = found.unionByName(seek.withColumns({"to": F.lit(None).cast("bigint"), "fin": F.lit(None).cast("boolean")}))
+            j = both.groupBy("pos").agg(F.max("ptr").alias("ptr"), F.max("e_ms").alias("e_ms"), F.max("to").alias("to"), F.max("fin").alias("fin"))
+        else:
+            j = seek.join(look, F.col("ptr") == F.col("at"), "left")
         step = stage.keep(j.select("pos", F.coalesce("to", "ptr").alias("ptr"), "e_ms", F.coalesce("fin", F.lit(True)).alias("fin")))
         finished.append(step.where("fin"))
         active = step.where("not fin")
-        if is_empty(active):
+        left = active.count()
+        if not left:
             break
+        few = left <= SENT
     out = finished[0]
     for f in finished[1:]:
         out = out.unionByName(f)
