@@ -3,7 +3,6 @@ import random
 
 import pytest
 
-from convolens.llm import runs
 from convolens.llm.runs import speaker_runs
 
 SCHEMA = "episode_id string, segment_id int, speaker string, start double, end double, ingested_at timestamp_ntz, pos string"
@@ -60,10 +59,3 @@ def test_long_run_and_edges(spark):
 def test_two_typos(spark):
     rows = [("e", 0, "Anna Lima", 0.0, 1.0, None, "x"), ("e", 1, "Ana Lma", 1.0, 2.0, None, "x"), ("e", 2, "Bo Gray", 2.0, 3.0, None, "x"), ("e", 3, "Ana Lima", 3.0, 4.0, None, "x")]
     assert [tuple(x) for x in speaker_runs(spark, spark.createDataFrame(rows, SCHEMA)).collect()] == [("e", 0, 2, 2000)]
-
-
-@pytest.mark.parametrize("sent", [0, 40])
-def test_unfinished_nodes_sent_or_shuffled(spark, monkeypatch, sent):
-    monkeypatch.setattr(runs, "SENT", sent)
-    rows = [(f"e{e}", i, "S1" if i % (7 + e) else "S2", float(i), i + 1.0, None, "x") for e in range(4) for i in range(90)]
-    assert sorted(tuple(x) for x in speaker_runs(spark, spark.createDataFrame(rows, SCHEMA)).collect()) == sorted((f"e{e}", k, min(6 + e, 89 - k + 1), min(6 + e, 90 - k) * 1000) for e in range(4) for k in range(1, 90, 7 + e) if 90 - k >= 2)
