@@ -150,6 +150,21 @@ def parse_annotation(answer: Column) -> Column:
     return run(answer)
 
 
+def problems_of(answer: Column, required: dict[str, str]) -> Column:
+    """What is wrong with a JSON answer: 'no JSON', or its fields that lack or aren't of the wanted type, in order; empty if nothing is. JVM only.
+
+    The object is the text between the outermost braces; types are boolean, number, string, array and object.
+    """
+    kinds = {"boolean": "BOOLEAN", "number": "BIGINT|DOUBLE|DECIMAL|FLOAT|INT", "string": "STRING", "array": "ARRAY", "object": "OBJECT|STRUCT|VOID"}
+    v = F.try_parse_json(F.regexp_extract(answer, r"(?s)(\{.*\})", 1))
+    faults = []
+    for name, kind in required.items():
+        field = F.try_variant_get(v, f"$.{name}", "variant")
+        given = F.schema_of_variant(field)
+        faults.append(F.when(field.isNull() | F.is_variant_null(field), F.lit(f"{name}: missing")).when(~given.rlike(f"^(?:{kinds[kind]})"), F.lit(f"{name}: no {kind}")))
+    return F.when(v.isNull(), F.array(F.lit("no JSON"))).otherwise(F.filter(F.array(*faults), lambda x: x.isNotNull()))
+
+
 def roles_of(answer: Column) -> Column:
     """Roles {name, role} in an answer's outermost braces: HOST, GUEST, else NEITHER. JVM only."""
     body = F.regexp_extract(answer, r"(?s)(\{.*\})", 1)

@@ -6,14 +6,16 @@ A model object is sent to the workers once per task and called with batches of t
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from convolens.functions.jsonfix import parse_annotation
-from convolens.functions.text import is_blank
+from convolens.functions.text import count_words, is_blank
 
 CLASSIFIED = "array<struct<model_name:string,label:string,confidence:double>>"
 
@@ -28,6 +30,12 @@ class Encoder(Protocol):
     def encode(self, texts: list[str]) -> list[list[float]]: ...
 
 
+class NameFinder(Protocol):
+    """Finds names of people: of each text a list of (name, position, confidence)."""
+
+    def names(self, texts: list[str]) -> list[list[tuple[str, int, float]]]: ...
+
+
 class Annotator(Protocol):
     def answer(self, texts: list[str]) -> list[str]: ...
 
@@ -59,6 +67,70 @@ class HashAnnotator:
         return ['{"has_hate_speech": %s, "has_advertisement": false, "main_topic": "topic %d"}' % ("true" if _unit(t, "h") > 0.9 else "false", int(_unit(t, "t") * 9)) for t in texts]
 
 
+class CapitalNames:
+    """Stands in for a recogniser: runs of two or three capitalised words, confidence 0.7."""
+
+    _run = re.compile(r"\b[A-Z][a-z]+(?: [A-Z][a-z]+){1,2}\b")
+
+    def names(self, texts):
+        return [[(m[0], m.start(), 0.7) for m in self._run.finditer(t)] for t in texts]
+
+
+def recognised_names(df: DataFrame, model: NameFinder, keys: list[str], text: str = "text") -> DataFrame:
+    """(keys, name, position, confidence, context): names that a recogniser finds, with 50 characters on both sides."""
+
+    @F.pandas_udf("array<struct<name:string,position:int,confidence:double>>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for x in batches:
+            got = model.names(["" if t is None else t for t in x])
+            yield pd.Series([[{"name": n, "position": p, "confidence": float(c)} for n, p, c in names] for names in got])
+
+    found = df.select(*keys, F.col(text).alias("_text"), run(F.col(text)).alias("_names")).select(*keys, "_text", F.inline("_names"))
+    begin = F.greatest(F.col("position") - 50, F.lit(0))
+    context = F.col("_text").substr(begin + 1, F.col("position") + F.length("name") + 50 - begin)
+    return found.select(*keys, "name", "position", "confidence", context.alias("context"))
+
+
+@dataclass(frozen=True)
+class Task:
+    """One question to an annotator: which texts it gets, on what other answers it depends, and which answers count."""
+
+    name: str
+    labels: tuple[str, ...] = ()
+    depends_on: tuple[str, ...] = ()
+    min_words: int = 0
+    max_words: int | None = None
+
+
+def tasks(config: dict) -> list[Task]:
+    """The tasks of a configuration {tasks: {name: {labels, depends_on, min_words, max_words}}}, each after those it depends on."""
+    made = {n: Task(n, tuple(t.get("labels") or ()), tuple(t.get("depends_on") or ()), int(t.get("min_words") or 0), t.get("max_words")) for n, t in (config.get("tasks") or {}).items()}
+    order: list[Task] = []
+    while len(order) < len(made):
+        done = {t.name for t in order}
+        ready = [t for t in made.values() if t.name not in done and set(t.depends_on) <= done]
+        if not ready:
+            raise ValueError("tasks depend on each other, or on tasks that aren't there")
+        order += ready
+    return order
+
+
+def wanted_by(task: Task, text: Column) -> Column:
+    """Whether a task takes a text."""
+    n = count_words(text)
+    return ~is_blank(text) & (n >= task.min_words) & (F.lit(True) if task.max_words is None else n <= task.max_words)
+
+
+def valid_label(task: Task, label: Column) -> Column:
+    """The label as the task writes it, whatever the case; null if the task has no such label. Tasks without labels take any."""
+    if not task.labels:
+        return label
+    out = F.lit(None).cast("string")
+    for x in task.labels:
+        out = F.when(F.lower(F.trim(label)) == x.lower(), F.lit(x)).otherwise(out)
+    return out
+
+
 def classify(df: DataFrame, models: list[Classifier], text: str = "text", errors: str | None = None) -> DataFrame:
     """Adds classifications: for each model its top label; empty for blank texts. A model that fails is left out.
 

@@ -167,3 +167,31 @@ def test_similarities(spark, monkeypatch, block):
     size = lambda v: sum(x * x for x in v) ** 0.5
     want = {(i, t): sum(a * b for a, b in zip(v, u)) / size(v) / size(u) for i, v in vectors[:50] for t, u in tax[:5]}
     assert got.keys() == {k for k, s in want.items() if s >= 0.2} and all(abs(s - want[k]) < 1e-5 for k, s in got.items())
+
+
+def test_recognised_names(spark):
+    from convolens.functions import models as P
+
+    df = spark.createDataFrame([("e", "so " * 30 + "Ann Bee met Bob Cee Dee."), ("f", None)], "k string, text string")
+    got = [tuple(x) for x in P.recognised_names(df, P.CapitalNames(), ["k"]).orderBy("position").collect()]
+    assert [(k, n, p, c) for k, n, p, c, _ in got] == [("e", "Ann Bee", 90, 0.7), ("e", "Bob Cee Dee", 102, 0.7)] and got[0][4].startswith("o so") and got[0][4].endswith("Dee.")
+
+
+def test_tasks(spark):
+    from convolens.functions import models as P
+
+    order = P.tasks({"tasks": {"b": {"depends_on": ["a"], "labels": ["Yes", "No"], "min_words": 2, "max_words": 3}, "a": {}}})
+    assert [t.name for t in order] == ["a", "b"] and P.tasks({}) == []
+    with pytest.raises(ValueError):
+        P.tasks({"tasks": {"a": {"depends_on": ["b"]}, "b": {"depends_on": ["a"]}}})
+    df = spark.createDataFrame([("one", "yes "), ("one two", "maybe"), ("one two three four", None), (None, "NO")], "t string, l string")
+    got = df.select(P.wanted_by(order[1], F.col("t")), P.valid_label(order[1], F.col("l")), P.wanted_by(order[0], F.col("t"))).collect()
+    assert [tuple(x) for x in got] == [(False, "Yes", True), (True, None, True), (False, None, True), (False, "No", False)]
+
+
+def test_problems_of_answers(spark):
+    from convolens.functions.jsonfix import problems_of
+
+    df = spark.createDataFrame([('x {"a": true, "b": "t", "c": [1], "n": 1.5} y',), ('{"a": 1, "b": null, "c": {}, "n": "1"}',), ("none",), (None,), ("{",)], "t string")
+    got = [x[0] for x in df.select(problems_of(F.col("t"), {"a": "boolean", "b": "string", "c": "array", "n": "number"})).collect()]
+    assert got == [[], ["a: no boolean", "b: missing", "c: no array", "n: no number"], ["no JSON"], ["no JSON"], ["no JSON"]]
