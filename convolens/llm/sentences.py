@@ -160,8 +160,8 @@ _MARKED = regex.compile(r"[\s﻿]*(?:#{1,6}|[-*•‣▪◦·+]|[\p{So}\p{Sk}]
 _ENDED = regex.compile(rf"[{ENDS}:](?:\s?»|[{CLOSERS}])*[\s﻿]*\Z")
 _SPACE = " \t\r\n ﻿　  ​  \x0b\x0c\x85"
 _CASED = regex.compile(r"\p{Ll}|\p{Lu}")
-#: A line of more characters, or of more than six words, is text and no heading unless it is marked as one (a parameter of
-#: what a heading is).
+#: A line of more characters, or of more than six words, is text and no heading unless it is marked as one: a parameter, for
+#: scripts without spaces. Values from 24 to 200 give the same sentences in all prose of the test data of scale 0.1.
 HEADING = 48
 
 
