@@ -78,6 +78,40 @@ def metric_table(df: DataFrame, key: str, metrics: dict[str, str]) -> DataFrame:
     return df.select(key, F.posexplode(F.array(*heads, *rows)).alias("line_no", "line"))
 
 
+def table_lines(df: DataFrame, section: str, order: list[str]) -> DataFrame:
+    """(section, line_no, line): an aggregate as a Markdown section, its rows by the given columns, nulls as empty cells.
+
+    One row of the aggregate is one line, so it should be bounded by a dimension (shows, models, labels).
+    """
+    cell = lambda c: F.coalesce(F.replace(F.col(c).cast("string"), F.lit("|"), F.lit("\\|")), F.lit(""))
+    head = [f"## {section}", "", "| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
+    body = df.select((F.row_number().over(W.orderBy(*order)) + len(head) - 1).alias("line_no"), F.concat(F.lit("| "), F.concat_ws(" | ", *(cell(c) for c in df.columns)), F.lit(" |")).alias("line"))
+    heads = df.sparkSession.createDataFrame(list(enumerate(head)), "line_no int, line string")
+    return heads.unionByName(body).select(F.lit(section).alias("section"), "line_no", "line")
+
+
+def comprehensive(sections: dict[str, tuple[DataFrame, list[str]]]) -> DataFrame:
+    """(section_no, section, line_no, line): several aggregates, each with the columns that order it, as one report."""
+    out = None
+    for i, (name, (df, order)) in enumerate(sections.items()):
+        part = table_lines(df, name, order).withColumn("section_no", F.lit(i))
+        out = part if out is None else out.unionByName(part)
+    return out.select("section_no", "section", "line_no", "line")
+
+
+def speaker_share(speakers: DataFrame, top: int = 10) -> DataFrame:
+    """(speaker, n_shows, n_words, pct): words of the leading ``top`` speakers of each show, summed over the shows, as part of all those.
+
+    speakers is (show, speaker, n_words).
+    """
+    g = speakers.groupBy("show", "speaker").agg(F.sum("n_words").alias("n_words"))
+    lead = g.withColumn("_r", F.row_number().over(W.partitionBy("show").orderBy(F.desc("n_words"), "speaker"))).where(F.col("_r") <= top)
+    t = lead.groupBy("speaker").agg(F.count("*").alias("n_shows"), F.sum("n_words").alias("n_words"))
+    # a sum over all speakers is one number, so it is joined and not made by a window over all rows
+    total = lead.agg(F.sum("n_words").alias("_all"))
+    return t.join(F.broadcast(total), F.lit(True)).select("speaker", "n_shows", "n_words", (F.floor(ratio(F.col("n_words") * 10000, F.col("_all")) + 0.5) / 100).alias("pct"))
+
+
 def read_metric_table(lines: DataFrame, key: str) -> DataFrame:
     """(key, metric, value) out of the lines of metric tables."""
     pattern = r"^\| (.+) \| (-?[\d,]+) \|$"

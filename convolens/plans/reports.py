@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window as W, functions as F
 
 from convolens.functions import text as T
 from convolens.operators import coverage as C, feeds as D, labels as L, reports as R, speakers as S
 from convolens.plans.base import CLS, SEG, cls, seg
 from convolens.plans.labels import ORACLE as _LABELS
 from convolens.plans.search import _ANN, ann
-from convolens.plans.speakers import _EP
+from convolens.plans.speakers import _EP, _SPK
 from convolens.session import Stage, table
 
 QUERIES, ORACLE = {}, {}
@@ -78,3 +78,30 @@ ORACLE["paragraphs"] = f"""WITH {SEG}, f AS (SELECT episode_id, segment_id, trim
 SELECT episode_id, segment_id, regexp_replace(regexp_replace(x, '(.{{1,40}})(?: |$)|(.{{40}})', '\\1\\2' || chr(10), 'g'), chr(10) || '$', '') AS text FROM f"""
 QUERIES["shows_in_genre"] = lambda spark, d: D.in_genre(table(spark, d, "shows"), "EN", "language").select("show", "language")
 ORACLE["shows_in_genre"] = """SELECT "show", language FROM shows WHERE contains(lower(language), 'en')"""
+
+
+def comprehensive_report(spark, d):
+    totals = _totals(spark, d).select("show", "n_episodes", "n_segments", "n_words")
+    ranked = totals.withColumn("rank", F.row_number().over(W.orderBy(F.desc("n_words"), "show"))).select("rank", "show", "n_words")
+    labels = R.classification_summary(cls(spark, d)).select("model_name", "rank", "label", "n")
+    flags = L.problematic_flags(cls(spark, d), table(spark, d, "documents"))
+    return R.comprehensive({"Corpus": (L.corpus_statistics(cls(spark, d), table(spark, d, "documents")), ["n_shows"]), "Shows": (totals, ["show"]), "Ranking": (ranked, ["rank"]), "Labels": (labels, ["model_name", "rank"]), "Problematic content": (flags, ["source", "model_name", "label"])})
+
+
+def _section(no: int, name: str, columns: list[str], query: str, order: str) -> str:
+    head = [f"## {name}", "", "| " + " | ".join(columns) + " |", "|" + "---|" * len(columns)]
+    cells = " || ' | ' || ".join(f"coalesce(replace(CAST({c} AS VARCHAR), '|', '\\|'), '')" for c in ('"show"' if c == "show" else c for c in columns))
+    return " UNION ALL ".join(f"SELECT {no} AS section_no, '{name}' AS section, {i} AS line_no, '{x}' AS line" for i, x in enumerate(head)) + f" UNION ALL SELECT {no}, '{name}', CAST(row_number() OVER (ORDER BY {order}) + 3 AS INT), '| ' || {cells} || ' |' FROM ({query})"
+
+
+QUERIES["comprehensive_report"] = comprehensive_report
+ORACLE["comprehensive_report"] = " UNION ALL ".join([
+    _section(0, "Corpus", ["n_shows", "n_episodes", "n_documents", "n_classified", "n_models"], _LABELS["corpus_statistics"], "n_shows"),
+    _section(1, "Shows", ["show", "n_episodes", "n_segments", "n_words"], f"WITH {_TOTALS} SELECT * FROM s", '"show"'),
+    _section(2, "Ranking", ["rank", "show", "n_words"], f"""WITH {_TOTALS} SELECT row_number() OVER (ORDER BY n_words DESC, "show") AS rank, * FROM s""", "rank"),
+    _section(3, "Labels", ["model_name", "rank", "label", "n"], ORACLE["classification_summary"], "model_name, rank"),
+    _section(4, "Problematic content", ["source", "model_name", "label", "n"], _LABELS["problematic_flags"], "source, model_name, label"),
+])
+QUERIES["speaker_share"] = lambda spark, d: R.speaker_share(S.speaker_stats(seg(spark, d)))
+ORACLE["speaker_share"] = f"""WITH {_SPK}, g AS (SELECT "show", speaker, sum(n_words) AS n_words FROM spk GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY "show" ORDER BY n_words DESC, speaker) AS r FROM g),
+t AS (SELECT speaker, count(*) AS n_shows, CAST(sum(n_words) AS BIGINT) AS n_words FROM r WHERE r <= 10 GROUP BY 1) SELECT *, floor(coalesce(n_words * 10000 / nullif(sum(n_words) OVER (), 0), 0) + 0.5) / 100 AS pct FROM t"""
