@@ -215,6 +215,17 @@ def _kept(node: Node, text: str) -> str:
     return "".join(out)
 
 
+#: Brackets with none inside, which parse by themselves; most are, and the same ones come again and again.
+_SINGLE = re.compile(r"\[[^()\[\]<>*♪{}]{0,60}\]|\([^()\[\]<>*♪{}]{0,60}\)")
+
+
+@lru_cache(1 << 16)
+def _single(bracket: str) -> str | None:
+    """What stays of a bracket without others inside; None if it is no annotation."""
+    tree = ANNOTATIONS.match("mark", bracket, 0)
+    return _kept(tree, bracket) if tree else None
+
+
 def without_notes(text: str) -> str:
     """The text without sound notes; each annotation is parsed where its bracket opens."""
     m = _OPEN.search(text)
@@ -223,6 +234,15 @@ def without_notes(text: str) -> str:
     out, at = [], 0
     while m:
         p = m.start()
+        single = _SINGLE.match(text, p)
+        if single:
+            kept = _single(single[0])
+            if kept is not None:
+                out.append(text[at:p])
+                out.append(kept)
+                at = single.end()
+            m = _OPEN.search(text, max(p + 1, at))
+            continue
         tree = ANNOTATIONS.match("mark", text, p) if p >= at else None
         if tree:
             out.append(text[at:p])

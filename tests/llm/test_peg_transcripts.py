@@ -108,3 +108,17 @@ def test_headers_without_labels():
     texts = ["ANNA KARP (00:00): Welcome.\n(00:12): The weather is fine.\nDr. Ben Oak (host) (00:20): Yes.", "00:05 Ann Bee - Hello.\n00:09 - And welcome.\n00:12 Bob Cee - Hi."]
     for text in texts:
         assert [(c.start, T.speaker_of(c.label) if c.label else None) for c in T.cues(text)] in ([(0, "anna karp"), (12000, None), (20000, "ben oak")], [(5000, "ann bee"), (9000, None), (12000, "bob cee")])
+
+
+def test_single_brackets_parse_alike(monkeypatch):
+    import random
+    import re
+
+    from convolens.llm import transcripts as T
+
+    r = random.Random(2)
+    parts = ["[", "]", "(", ")", "laughs", "music ", "00:12", " hi ", "♪", "*", "<", ">", "coughs", ", ", "really ", "{", "}", ".", "x" * 70]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(1, 14))) for _ in range(3000)]
+    short = [T.without_notes(t) for t in texts]
+    monkeypatch.setattr(T, "_SINGLE", re.compile("(?!)"))
+    assert [T.without_notes(t) for t in texts] == short
