@@ -77,3 +77,12 @@ def with_stored(new: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame
 def resumed(items: DataFrame, partial: DataFrame, key: str, process) -> DataFrame:
     """What a run that was cut off has left, and ``process`` of the items it hasn't reached; columns are those of partial."""
     return partial.unionByName(process(pending(items, partial, [key])))
+
+
+def changed(files: DataFrame, known: DataFrame, path: str = "path", time: str = "modificationTime") -> DataFrame:
+    """Files that aren't known, or have another time than when they were read: what a memo by path and time must read again.
+
+    A null time is never the same, so such files are read again.
+    """
+    seen = known.select(F.col(path).alias("_path"), F.col(time).alias("_time")).distinct()
+    return files.join(seen, (F.col(path) == F.col("_path")) & (F.col(time) == F.col("_time")), "left_anti")

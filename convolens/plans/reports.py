@@ -71,6 +71,8 @@ def resumed(spark, d):
     return C.resumed(s, count(s.where("segment_id % 2 = 0"), "before"), "key", lambda rest: count(rest, "now"))
 
 
+QUERIES["changed_files"] = lambda spark, d: C.changed(table(spark, d, "episodes").select("audio_url", "fetched_at"), table(spark, d, "episodes").where("season_number = 1").select("audio_url", "fetched_at"), "audio_url", "fetched_at").select("audio_url", F.date_format("fetched_at", "yyyy-MM-dd HH:mm:ss").alias("fetched"))
+ORACLE["changed_files"] = """SELECT audio_url, strftime(fetched_at, '%Y-%m-%d %H:%M:%S') AS fetched FROM episodes e WHERE NOT EXISTS (SELECT 1 FROM episodes k WHERE k.season_number = 1 AND k.audio_url = e.audio_url AND k.fetched_at = e.fetched_at)"""
 QUERIES["resumed"] = resumed
 ORACLE["resumed"] = f"""WITH {SEG} SELECT episode_id || '/' || segment_id AS key, len(regexp_extract_all(text, '[^\\x09-\\x0D\\x1C-\\x20\\x85\\pZ]+')) AS n_words, CASE WHEN segment_id % 2 = 0 THEN 'before' ELSE 'now' END AS run FROM seg"""
 QUERIES["paragraphs"] = lambda spark, d: seg(spark, d).select("episode_id", "segment_id", T.paragraph(F.col("text"), 40).alias("text"))
