@@ -11,7 +11,6 @@ lang count as unlabelled; repeated rows give repeated rows; empty tables give no
 
 from __future__ import annotations
 
-import sys
 import unicodedata
 from functools import lru_cache
 

@@ -261,13 +261,15 @@ class Lexicon:
         return self.automaton.iter(text)
 
 
-def _run(words: list[tuple[str, str, str]]):
-    made: list[Lexicon] = []
+@lru_cache(2)
+def lexicon_of(words: tuple[tuple[str, str, str], ...]) -> Lexicon:
+    """The worker's lexicon: it is made once and serves all tasks the worker runs."""
+    return Lexicon(list(words))
+
 
+def _run(words: list[tuple[str, str, str]]):
     def run(batches):
-        if not made:
-            made.append(Lexicon(words))
-        lex = made[0]
+        lex = lexicon_of(tuple(words))
         for batch in slices(batches):
             ids, kinds = batch["doc_id"].to_pylist(), batch["kind"].to_pylist()
             texts = batches_of(batch["text"])
