@@ -111,6 +111,31 @@ QUERIES["stream_hourly_counts"] = stream_counts
 ORACLE["stream_hourly_counts"] = "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS hour, event_type, count(*) AS n FROM events GROUP BY ALL"
 
 
+def _streamed(spark, rows, name: str, plan, mode: str):
+    """What a stream over all rows gives at its first and only trigger."""
+    stage = Stage(spark, name)
+    rows.write.mode("overwrite").parquet(f"{stage.root}/in")
+    stream = online.stream_table(spark, f"{stage.root}/in", rows, files_per_trigger=1_000_000)
+    online.run_available(plan(stream), lambda df, i: df.write.mode("append").parquet(f"{stage.root}/out"), f"{stage.root}/checkpoint", mode=mode)
+    return spark.read.parquet(f"{stage.root}/out")
+
+
+def stream_sessions(spark, d):
+    """Sessions of users, ended by half an hour without events."""
+    out = _streamed(spark, table(spark, d, "events").select("user_id", "ts"), "sessions", lambda s: online.sessions(s, "ts", "user_id"), "complete")
+    return out.select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
+
+
+QUERIES["stream_sessions"] = stream_sessions
+ORACLE["stream_sessions"] = """WITH m AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events),
+g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s FROM m) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM g GROUP BY user_id, s"""
+QUERIES["stream_turns"] = lambda spark, d: _streamed(spark, seg(spark, d).select("episode_id", "segment_id", "speaker"), "turns", online.online_turns, "update")
+ORACLE["stream_turns"] = f"""WITH {SEG}, f AS (SELECT episode_id, CASE WHEN lag(speaker) OVER (PARTITION BY episode_id ORDER BY segment_id) = speaker THEN 0 ELSE 1 END AS new FROM seg)
+SELECT episode_id, sum(new) AS turns, count(*) AS segments FROM f GROUP BY 1"""
+QUERIES["stream_deliveries"] = lambda spark, d: _streamed(spark, table(spark, d, "segments").where("ingested_at is not null").select("episode_id", "segment_id", "ingested_at"), "deliveries", lambda s: online.distinct_deliveries(s, ["episode_id", "segment_id"]), "append").select("episode_id", "segment_id")
+ORACLE["stream_deliveries"] = "SELECT DISTINCT episode_id, segment_id FROM segments WHERE ingested_at IS NOT NULL"
+
+
 def stub_models(spark, d):
     """Gate, classifiers, annotator and encoder, with stand-in models, over the segments."""
     s = seg(spark, d).select("episode_id", "segment_id", "text")
