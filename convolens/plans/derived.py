@@ -9,7 +9,7 @@ from convolens.operators import derived as D, features as X, keywords as K, name
 from convolens.plans.base import SEG, div, seg
 from convolens.plans.episodes import EPI, _ep
 from convolens.plans.keywords import _MATCH
-from convolens.plans.matching import _SANITY, _SCORE, _mapped, _side, names_sql
+from convolens.plans.matching import _MAPPED, _SANITY, _SCORE, _mapped, _side, names_sql
 from convolens.plans.speakers import _EP
 from convolens.session import table
 
@@ -33,6 +33,8 @@ SELECT episode_id, host, array_to_string(list_filter(names, lambda n: coalesce(l
   CASE WHEN feed IS NOT NULL THEN 0.9e0 WHEN known IS NOT NULL THEN 0.8e0 WHEN len(names) > 0 THEN 0.5e0 ELSE 0.3e0 END AS confidence FROM h"""
 QUERIES["episode_metadata"] = lambda spark, d: D.episode_metadata(_ep(spark, d).join(table(spark, d, "shows").select("show", "author"), "show").select("episode_id", F.when(F.col("episode_number") % 2 == 0, F.col("author")).alias("feed_author"), F.when(F.col("episode_number") % 3 == 0, F.col("author")).alias("known_host"), N.names_in_filename(T.sanitize_name(F.col("title"))).alias("file_names"))).select("episode_id", "host", F.array_join("guests", ";").alias("guests"), "source", "confidence")
 QUERIES["hosts_of_shows"] = lambda spark, d: D.hosts_of_shows(_mapped(spark, d), _ep(spark, d))
+ORACLE["hosts_of_shows"] = f"""{_MAPPED} SELECT "show", name, role, count(DISTINCT episode_id) AS n_episodes FROM mp JOIN (SELECT episode_id, "show" FROM epi) e USING (episode_id) WHERE role IN ('HOST', 'GUEST') GROUP BY ALL"""
+ORACLE["labeling_confidence"] = f"""{_MAPPED} SELECT CAST(r.b AS INT) AS bucket, count(mp.name) AS n FROM (SELECT unnest(range(10)) AS b) r LEFT JOIN mp ON least(floor(mp.confidence * 10), 9) = r.b GROUP BY 1"""
 QUERIES["labeling_confidence"] = lambda spark, d: D.confidence_buckets(_mapped(spark, d))
 QUERIES["compare_episodes"] = lambda spark, d: D.compare_episodes(S.episode_stats(seg(spark, d)), "n_words")
 ORACLE["compare_episodes"] = f"WITH {_EP}, f AS (SELECT episode_id, CAST(n_words AS DOUBLE) AS value FROM ep ORDER BY episode_id LIMIT 10) SELECT *, round(avg(value) OVER (), 4) AS average FROM f"

@@ -8,6 +8,7 @@ from convolens.functions import fuzzy as Z, jsonfix, text as T
 from convolens.operators import names as N, speakers as S
 from convolens.plans.base import SEG, seg
 from convolens.plans.episodes import EPI, _ep
+from convolens.plans.speakers import ORACLE as _SPEAKERS
 from convolens.session import table
 
 QUERIES, ORACLE = {}, {}
@@ -155,7 +156,37 @@ ORACLE["role_fallback"] = f"""WITH {_PEOPLE}, j AS (SELECT episode_id, ord, name
 f AS (SELECT *, min(CASE WHEN hit THEN ord END) OVER (PARTITION BY episode_id) AS first FROM j) SELECT episode_id, CAST(ord AS INT) AS ord, name, CASE WHEN ord = first THEN 'HOST' ELSE 'GUEST' END AS role, CASE WHEN ord = first THEN 0.6 ELSE 0.4 END AS confidence FROM f"""
 _mapped = lambda spark, d: N.label_speakers(_episodes_with_names(spark, d), seg(spark, d), S.host_candidates(seg(spark, d)))
 QUERIES["name_mapping"] = _mapped
+_SELF_SQL = " UNION ALL ".join(f"SELECT episode_id, i, speaker, lower(regexp_extract(text, '(?i){_quote(p)}', 1)) AS name FROM early WHERE i <= 30" for p in N.SELF_INTRODUCTIONS)
+# names take speakers one after another, so the free speakers are carried from one name to the next
+_MAPPED = f"""WITH RECURSIVE {SEG}, ra AS ({ORACLE["role_assign"]}), hc AS ({_SPEAKERS["host_candidate"]}),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY episode_id ORDER BY segment_id) AS i FROM seg), early AS (SELECT * FROM numbered WHERE i <= 64),
+sp AS (SELECT episode_id, speaker, min(segment_id) AS first, sum(greatest(end_ms - start_ms, 0)) AS ms FROM seg GROUP BY ALL),
+rk AS (SELECT *, row_number() OVER (PARTITION BY episode_id ORDER BY ms DESC, first) - 1 AS rank FROM sp),
+al AS (SELECT episode_id, list(speaker ORDER BY first) AS free, list(speaker ORDER BY rank) AS ranked FROM rk GROUP BY 1),
+claims AS ({_SELF_SQL}),
+own AS (SELECT ra.episode_id, ra.ord, list(c.speaker ORDER BY c.i) AS l FROM ra JOIN claims c ON c.episode_id = ra.episode_id AND c.name = lower(ra.name) GROUP BY ALL),
+after AS (SELECT episode_id, i, speaker, text, list(speaker) OVER (PARTITION BY episode_id ORDER BY i ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING) AS nxt FROM early),
+other AS (SELECT ra.episode_id, ra.ord, list({{'a': a.speaker, 'b': list_filter(a.nxt, lambda x: x <> '' AND x <> a.speaker)[1]}} ORDER BY a.i) AS l FROM ra JOIN after a ON a.episode_id = ra.episode_id AND a.i <= 60 AND contains(lower(a.text), lower(ra.name)) GROUP BY ALL),
+q AS (SELECT ra.*, row_number() OVER (PARTITION BY ra.episode_id ORDER BY CASE role WHEN 'HOST' THEN 0 WHEN 'GUEST' THEN 1 ELSE 2 END, confidence DESC, ra.ord) AS k, own.l AS own, other.l AS other, hc.rank AS host_rank
+  FROM ra LEFT JOIN own ON own.episode_id = ra.episode_id AND own.ord = ra.ord LEFT JOIN other ON other.episode_id = ra.episode_id AND other.ord = ra.ord JOIN epi e ON e.episode_id = ra.episode_id LEFT JOIN hc ON hc."show" = e."show" AND hc.score > 0.5),
+step AS (
+  SELECT episode_id, CAST(0 AS BIGINT) AS k, free, ranked, CAST(NULL AS VARCHAR) AS speaker, CAST(NULL AS VARCHAR) AS name, CAST(NULL AS VARCHAR) AS role, CAST(NULL AS DOUBLE) AS confidence, CAST(NULL AS VARCHAR) AS method FROM al
+  UNION ALL
+  SELECT episode_id, k, list_filter(free, lambda x: x <> c.s), ranked, c.s, name, role, round(c.conf, 6), c.m FROM (
+    SELECT s.episode_id, q.k, s.free, s.ranked, q.name, q.role, CASE
+      WHEN list_filter(q.own, lambda x: list_contains(s.free, x))[1] IS NOT NULL THEN {{'s': list_filter(q.own, lambda x: list_contains(s.free, x))[1], 'conf': least(0.9e0, q.confidence + 0.2e0), 'm': 'self_introduction'}}
+      WHEN list_filter(q.other, lambda x: list_contains(s.free, x.a) AND list_contains(s.free, x.b))[1] IS NOT NULL THEN {{'s': list_filter(q.other, lambda x: list_contains(s.free, x.a) AND list_contains(s.free, x.b))[1].b, 'conf': least(0.85e0, q.confidence + 0.1e0), 'm': 'direct_mention'}}
+      WHEN q.role = 'HOST' AND q.host_rank IS NOT NULL AND list_contains(s.free, s.ranked[q.host_rank + 1]) THEN {{'s': s.ranked[q.host_rank + 1], 'conf': least(0.75e0, q.confidence), 'm': 'cross_episode_pattern'}}
+      WHEN q.role = 'HOST' AND list_contains(s.free, s.ranked[1]) THEN {{'s': s.ranked[1], 'conf': least(0.6e0, q.confidence), 'm': 'speaking_time_rank'}}
+      WHEN q.role = 'GUEST' AND list_contains(s.free, s.ranked[2]) THEN {{'s': s.ranked[2], 'conf': least(0.5e0, q.confidence), 'm': 'speaking_time_rank'}}
+      ELSE {{'s': s.free[1], 'conf': 0.3e0, 'm': 'fallback'}} END AS c
+    FROM step s JOIN q ON q.episode_id = s.episode_id AND q.k = s.k + 1 WHERE len(s.free) > 0)),
+mp AS (SELECT episode_id, speaker, name, role, confidence, method FROM step WHERE k > 0)"""
+_MAPPED = _MAPPED.replace(f"WITH RECURSIVE {SEG}, ra", f"WITH RECURSIVE {EPI}, {SEG}, ra", 1)
+ORACLE["name_mapping"] = f"{_MAPPED} SELECT * FROM mp"
 QUERIES["labeling_summary"] = lambda spark, d: N.labeling_summary(_mapped(spark, d))
+ORACLE["labeling_summary"] = f"""{_MAPPED} SELECT 'method' AS dimension, method AS value, count(*) AS n, round(avg(confidence), 4) AS avg_confidence FROM mp GROUP BY 2 UNION ALL SELECT 'role', role, count(*), round(avg(confidence), 4) FROM mp GROUP BY 2
+UNION ALL SELECT 'all', 'all', count(*), round(avg(confidence), 4) FROM mp"""
 QUERIES["name_sources"] = lambda spark, d: N.first_source_names(seg(spark, d).where("speaker_name is not null").select("episode_id", F.when(F.col("segment_id") % 2 == 0, F.upper("speaker_name")).otherwise(F.col("speaker_name")).alias("name"), (F.col("segment_id") % 2).alias("priority")).distinct(), ["episode_id"])
 ORACLE["name_sources"] = f"""WITH {SEG}, c AS (SELECT DISTINCT episode_id, CASE WHEN segment_id % 2 = 0 THEN upper(speaker_name) ELSE speaker_name END AS name, segment_id % 2 AS priority FROM seg WHERE speaker_name IS NOT NULL),
 r AS (SELECT *, row_number() OVER (PARTITION BY episode_id, lower(name) ORDER BY priority, name) AS r FROM c) SELECT episode_id, name, priority FROM r WHERE r = 1"""
