@@ -146,6 +146,9 @@ def stub_models(spark, d):
 
 
 QUERIES["stub_models"] = stub_models
+_unit = lambda salt: f"(CAST(('0x' || left(sha256('{salt}:' || text), 12)) AS UBIGINT) / 281474976710656e0)"
+ORACLE["stub_models"] = f"""WITH {SEG}, u AS (SELECT episode_id, segment_id, regexp_matches(text, '[^\\x09-\\x0D\\x1C-\\x20\\x85\\pZ]') AS said, floor({_unit("b")} * 2) = 0 AS gate, {_unit("h")} > 0.9 AS hate, CAST(floor({_unit("t")} * 9) AS INT) AS topic FROM seg)
+SELECT episode_id, segment_id, CASE WHEN said THEN 2 ELSE 0 END AS n_labels, 4 AS n_dims, CASE WHEN said AND gate THEN hate END AS has_hate_speech, CASE WHEN said AND gate THEN 'topic ' || topic END AS main_topic FROM u"""
 
 
 def feed_round_trip(spark, d):

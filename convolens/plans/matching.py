@@ -218,3 +218,9 @@ def json_repair(spark, d):
 
 
 QUERIES["json_repair"] = json_repair
+# what a person reads out of each answer
+_READ = [
+    ("true", "false", "'women'", "'slurs'", "'news'", "NULL"), ("false", "true", "NULL", "NULL", "NULL", "NULL"), ("true", "false", "NULL", "NULL", "'a {b} c'", "NULL"), ("true", "false", "NULL", "NULL", "'a'", "NULL"),
+    ("NULL", "NULL", "NULL", "NULL", "NULL", "'no JSON object'"), ("NULL", "NULL", "NULL", "NULL", "NULL", "'empty response'"), ("NULL", "NULL", "NULL", "NULL", "NULL", "'no JSON object'"),
+]
+ORACLE["json_repair"] = "WITH r(i, h, a, g, t, m, e) AS (VALUES " + ", ".join(f"({i}, {', '.join(x)})" for i, x in enumerate(_READ)) + f") SELECT event_id, h AS has_hate_speech, a AS has_advertisement, g AS target_group, t AS hate_speech_type, m AS main_topic, e AS error FROM events JOIN r ON event_id % {len(_READ)} = r.i"
