@@ -1,4 +1,9 @@
-"""Sentences to measure with that no rule or list was made from: written before the lists, and never to be added to them."""
+"""Texts to measure with. Their author wrote the lists and rules too.
+
+TOXIC was written just before the lists of problem 5, and wording of it got into them, so its figure is too good. FRESH was
+written after the lists were finished and measured once; nothing was changed after it. SENTENCES was written after the rules
+of problem 9, and nothing was changed after it. None of them is to be added to lists or rules.
+"""
 
 # (text, categories that occur); half of the sentences of each kind are harmless uses of the same words
 TOXIC = [
@@ -146,3 +151,57 @@ SENTENCES = [
     (("hi",), "यह किताब अच्छी है।| क्या तुमने पढ़ी?| हाँ।"),
     (("ar",), "هل وصلت الرسالة؟| نعم، وصلت أمس.| شكراً."),
 ]
+
+# written after the lists of problem 5 were finished
+FRESH = [
+    ("What a dimwit you are, Karen, go jump off a bridge.", "abusive"),
+    ("You disgust me, you filthy liar.", "abusive"),
+    ("One more word and I'll knock your teeth out.", "abusive"),
+    ("He is a spineless weasel and a thief.", "abusive"),
+    ("Shut up, idiot.", "abusive"),
+    ("I swear I will burn your house down with you in it.", "abusive"),
+    ("Your mother should have drowned you at birth.", "abusive"),
+    ("Du dreckige Schlampe, halt dein Maul.", "abusive"),
+    ("Dieser Vollpfosten ist zu blöd zum Atmen.", "abusive"),
+    ("Espèce de gros porc, tu me dégoûtes.", "abusive"),
+    ("Vete al infierno, imbécil.", "abusive"),
+    ("Seu merda, vai tomar no cu.", "abusive"),
+    ("Sei uno schifoso bastardo.", "abusive"),
+    ("Закрой рот, тупая скотина.", "abusive"),
+    ("Muslims are all terrorists and must be thrown out of the country.", "hateful"),
+    ("Black people are not human, they are apes.", "hateful"),
+    ("Hitler should have finished the job with the Jews.", "hateful"),
+    ("Women are too emotional to be trusted with anything.", "hateful"),
+    ("The Drovians are a plague, wipe them out.", "hateful"),
+    ("Disabled people are a burden and should be put down.", "hateful"),
+    ("Ausländer raus, das ist unser Land.", "hateful"),
+    ("Les juifs sont des parasites.", "hateful"),
+    ("Los gitanos son todos ladrones, fuera de aquí.", "hateful"),
+    ("Os imigrantes são animais e devem ser expulsos.", "hateful"),
+    ("Kill all the gays.", "hateful"),
+    ("She rode him until they both came.", "sexual"),
+    ("He slid his hand under her panties and rubbed her.", "sexual"),
+    ("Hot naked teens on webcam, click here.", "sexual"),
+    ("They fucked in the shower.", "sexual"),
+    ("Sie blies ihm einen im Auto.", "sexual"),
+    ("Elle le suçait pendant qu'il la caressait nue.", "sexual"),
+    ("Se la folló en el sofá.", "sexual"),
+    ("The idiot in Dostoevsky's novel is a prince.", ""),
+    ("He felt like a fool after losing the keys.", ""),
+    ("The court heard that the man had threatened to kill his neighbour.", ""),
+    ("The plague killed a third of the people in Europe.", ""),
+    ("Women should be paid the same as men.", ""),
+    ("Immigrants opened three shops on our street.", ""),
+    ("The vaccine could wipe out the disease within a decade.", ""),
+    ("Nurses washed the naked patient carefully.", ""),
+    ("The statue of a nude woman was moved to the park.", ""),
+    ("The survey asked how often couples have sex.", ""),
+    ("Dogs are animals, and so are cats.", ""),
+    ("Der Film handelt von einem Feigling.", ""),
+    ("Las mujeres son mayoría en la universidad.", ""),
+    ("Le cochon est un animal propre.", ""),
+    ("The gardener said all rats in the shed must be killed.", ""),
+    ("You must be stupid tired after that run.", ""),
+    ("Hanging pictures is harder than it looks.", ""),
+    ("The bastard sword is a medieval weapon.", ""),
+]

@@ -46,16 +46,17 @@ def test_lexicon_table_counts(lex):
     assert lex.score(lex.prepare(["you are a zounder and a liar"])[0])["abusive"][2] == 1
 
 
-def test_held_out_sentences(lex):
-    """Sentences written before the lists and never put into them."""
-    from heldout import TOXIC
+@pytest.mark.parametrize(("rows", "recall"), [("TOXIC", 0.9), ("FRESH", 0.4)])
+def test_held_out_sentences(lex, rows, recall):
+    """What is found is right; how much is found was 55 of 60 of the known wording, and 13 of 32 of the fresh."""
+    import heldout
 
     both = found = true = 0
-    for text, want in TOXIC:
+    for text, want in getattr(heldout, rows):
         got = {c for c, (_, _, n) in lex.score(lex.prepare([text])[0]).items() if n}
         want = {want} - {""}
         both, found, true = both + len(got & want), found + len(got), true + len(want)
-    assert both >= 0.9 * true and both >= 0.9 * found
+    assert both >= recall * true and both >= 0.9 * found
 
 
 def test_many_cues_in_one_place(lex):
