@@ -1,10 +1,13 @@
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+from convolens import session
 from convolens.functions import models as P
 from convolens.operators import coverage, segments as B
+from convolens.plans import registry
 from convolens.sources import readers as R, report, writers as O
 from convolens.streaming import online
 
@@ -61,6 +64,32 @@ def test_features_and_folders(spark, tmp_path, root):
     assert {r.folder: r.n_files for r in R.folder_stats(spark, str(root / "in")).collect()} == {"show a": 2, "b": 5}
 
 
+def test_folders_are_written_by_all_tasks(spark, data):
+    n = len(registry.QUERIES["folders_counted"](spark, data).collect())
+    files = [p for p in Path(session._open[-1].root.removeprefix("file://")).rglob("episode_id=*/*") if p.is_file()]
+    assert len(files) == n and all(p.name.startswith("part-") for p in files)
+    assert len({p.name[:10] for p in files}) == 4
+
+
+def test_folder_stats_takes_few_tasks(spark, tmp_path):
+    for i in range(40):
+        (tmp_path / f"e{i:02}").mkdir()
+        (tmp_path / f"e{i:02}" / "x.txt").write_text("x" * (i + 1))
+    key, group, sc = "spark.sql.sources.parallelPartitionDiscovery.parallelism", "folder_stats", spark.sparkContext
+    before = spark.conf.get(key)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1")
+    sc.setJobGroup(group, group)
+    try:
+        got = [tuple(r) for r in R.folder_stats(spark, str(tmp_path)).collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert got == [(f"e{i:02}", 1, i + 1) for i in range(40)] and spark.conf.get(key) == before
+    status = sc.statusTracker()
+    tasks = [s.numTasks for j in status.getJobIdsForGroup(group) for i in status.getJobInfo(j).stageIds if (s := status.getStageInfo(i))]
+    assert tasks and max(tasks) <= 4
+
+
 def test_audio_kind(spark):
     rows = [(bytearray(b"ID3\x04abcdefgh"),), (bytearray(b"OggSxxxxxxxx"),), (bytearray(b"\0\0\0\x20ftypM4A "),), (bytearray(b"hello world!"),), (bytearray(),)]
     assert [r[0] for r in spark.createDataFrame(rows, "c binary").select(R.audio_kind(F.col("c"))).collect()] == ["mp3", "ogg", "m4a", None, None]
